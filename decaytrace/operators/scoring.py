@@ -63,9 +63,7 @@ def score_arms(
             .withColumn(output, F.coalesce("_mean", cells.agg(mean).scalar()))
             .drop("_mean")
         )
-    for output in arms:
-        out = out.withColumn(error_name(output), abs_error(output, target))
-    return out
+    return out.select(*rows.columns, *arms, *[abs_error(o, target).alias(error_name(o)) for o in arms])
 
 
 def error_name(output: str) -> str:

@@ -23,5 +23,5 @@ def register(name: str, run: Run, sql: str | None = None) -> None:
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import (  # noqa: F401
-        feature_queries, profile_queries,
+        evidence_queries, feature_queries, profile_queries,
     )

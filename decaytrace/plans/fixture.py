@@ -92,7 +92,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         "control_predicted_total": scoring.GroupMeanArm(flags + ["is_new_code"], CONTROL_PERIODS),
     }
     with_flag = rows.withColumn("is_new_code", features.enc.extra_flag("vendor_id", NEW_CODE))
-    return scoring.score_arms(with_flag, arms, SCORE_PERIOD, target=features.TARGET)
+    return scoring.score_arms(with_flag, arms, SCORE_PERIOD, target=features.TARGET).drop("is_new_code")
 
 
 FEED_CTE = """
