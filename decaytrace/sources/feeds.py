@@ -45,9 +45,14 @@ def tag_period(spark: SparkSession, path: str, pattern: str, period: str = "feed
     )
 
 
-def union_periods(spark: SparkSession, paths: Mapping[str, str], period: str = "feed_month") -> DataFrame:
-    """UNION ALL of one read per period, each tagged with its literal period."""
-    parts = [spark.read.parquet(path).withColumn(period, F.lit(p)) for p, path in paths.items()]
+def union_periods(
+    spark: SparkSession, paths: Mapping[str, str], keep: Sequence[str] = (), period: str = "feed_month"
+) -> DataFrame:
+    """UNION ALL of one scan per period, each tagged with its literal period."""
+    parts = [
+        scan_feed(spark.read.parquet(path).withColumn(period, F.lit(p)), keep=(*keep, period))
+        for p, path in paths.items()
+    ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
