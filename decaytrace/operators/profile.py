@@ -111,17 +111,26 @@ def code_counts_all(
 
 def scan_codes(
     df: DataFrame, columns: Sequence[str], period: str = "feed_month",
-    null_as_code: bool = True, present: str | None = None,
+    null_as_code: bool = True, present: str | None = None, limit: int | None = None,
 ) -> DataFrame:
-    """Codes that appear after the first period in which their column is present."""
-    firsts = (
-        code_counts_all(df, columns, period, null_as_code, present)
-        .groupBy("column", "code")
-        .agg(F.min(period).alias("first_seen"), F.min_by("rows", period).alias("rows_in_first_period"))
-    )
-    baseline = firsts.groupBy("column").agg(F.min("first_seen").alias("baseline"))
+    """Codes that appear after the first period in which their column is present.
+
+    ``limit`` drops columns that are not categorical in every period.
+    """
+    counts = code_counts_all(df, columns, period, null_as_code, present)
+    firsts = counts.groupBy("column", "code").agg(
+        F.min(period).alias("first_seen"), F.min_by("rows", period).alias("rows_in_first_period")
+    )
+    per_period = counts.groupBy("column", period).agg(F.count("*").alias("codes"))
+    baseline = per_period.groupBy("column").agg(F.min(period).alias("baseline"), F.max("codes").alias("codes"))
+    if limit is not None:
+        baseline = baseline.filter(F.col("codes") <= limit)
     # one row per scanned column: bounded by the argument list, not by the data
-    return firsts.join(F.broadcast(baseline), "column").filter(F.col("first_seen") > F.col("baseline")).drop("baseline")
+    return (
+        firsts.join(F.broadcast(baseline), "column")
+        .filter(F.col("first_seen") > F.col("baseline"))
+        .drop("baseline", "codes")
+    )
 
 
 def unseen_categories(

@@ -24,5 +24,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from . import (  # noqa: F401
         evidence_queries, feature_queries, lineage_queries, profile_queries,
-        source_queries,
+        record_queries, source_queries,
     )
