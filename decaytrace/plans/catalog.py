@@ -23,6 +23,6 @@ def register(name: str, run: Run, sql: str | None = None) -> None:
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import (  # noqa: F401
-        evidence_queries, feature_queries, lineage_queries, profile_queries,
+        evidence_queries, feature_queries, interval_queries, lineage_queries, profile_queries,
         record_queries, source_queries,
     )
