@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import round_n
+from ..session import materialize
 
 ERROR, CONTROL, TARGET = "abs_error", "control_abs_error", "total_amount"
 
@@ -95,16 +96,17 @@ def attribution_all(df: DataFrame, segment: str, time: str = "pickup_at") -> Dat
     """The estimate for every segment from one shuffle.
 
     Each baseline is the table total less the segment's own sums. The total is a
-    one-row subquery over the same grouped exchange, not another scan.
+    one-row subquery over the grouped result, not another scan.
     """
-    per_segment = (
+    per_segment = materialize(
         df.filter(F.col(segment).isNotNull())
         .groupBy(F.col(segment).alias("segment"))
         .agg(
             F.count("*").alias("n"), F.sum(ERROR).alias("e"), F.sum(CONTROL).alias("c"),
             F.sum(F.col(ERROR) - F.col(CONTROL)).alias("d"), F.sum(TARGET).alias("t"),
             F.min(time).alias("first_affected_at"), F.max(time).alias("last_affected_at"),
-        )
+        ),
+        "segments",
     )
     total = per_segment.agg(F.struct(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("c").alias("c"))).scalar()
     with_total = per_segment.withColumn("all", total)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.numbers import NUMERIC_TYPES, round_n, safe_double
+from ..session import materialize
 
 # Columns that are no model input.
 EXCLUDED = (
@@ -124,7 +125,7 @@ def drift_report(
     fire when unrelated flags vary freely.
     """
     inputs = list(inputs or discover_inputs(df, segment))
-    stats = segment_stats(df, segment, inputs, errors)
+    stats = materialize(segment_stats(df, segment, inputs, errors), "segments")
     flat = degenerate(inputs)
     report = stats.select(
         "*",

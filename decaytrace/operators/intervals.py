@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
+
 # Offsets of the level threshold, and limits in seconds.
 FLOOR_OFFSET, SPEECH_OFFSET = 25.0, 30.0
 SNAP_LIMIT = 0.9
@@ -113,52 +115,54 @@ def below_runs(
         F.row_number().over(w).alias("rn"),
     )
     begins = F.col("below") & ~F.coalesce("was", F.lit(False))
-    w_run = w.orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = marked.withColumn("run", F.sum(begins.cast("int")).over(w_run))
-    local = (
-        numbered.filter("below")
-        .groupBy(key, "chunk", "run")
-        .agg(
-            F.min("t").alias("start"),
-            F.max_by("next_t", "rn").alias("end"),
-            (F.min("rn") == 1).alias("at_head"),
-        )
+    so_far = Window.partitionBy(key, "chunk").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+    # rows that are not below share number 0, so every chunk keeps a row and its own time span
+    numbered = marked.withColumn(
+        "run", F.when(F.col("below"), F.sum(begins.cast("int")).over(so_far)).otherwise(0)
     )
-    interior = local.filter(~F.col("at_head") & F.col("end").isNotNull()).select(
+    local = numbered.groupBy(key, "chunk", "run").agg(
+        F.min("t").alias("start"),
+        F.max("t").alias("last"),
+        F.max_by("next_t", "rn").alias("end"),
+        ((F.min("rn") == 1) & (F.col("run") > 0)).alias("at_head"),
+    )
+    local = materialize(local.withColumn("at_tail", F.col("end").isNull() & (F.col("run") > 0)), "runs")
+    interior = local.filter((F.col("run") > 0) & ~F.col("at_head") & ~F.col("at_tail")).select(
         key, "start", "end", F.lit(False).alias("open_end")
     )
-    # one row per chunk: what its first and last rows say to the neighbours
-    edge = local.filter(F.col("at_head") | F.col("end").isNull()).groupBy(key, "chunk").agg(
+    # one row per chunk: its span, and what its first and last rows say to the neighbours
+    chunks = local.groupBy(key, "chunk").agg(
+        F.min("start").alias("first_t"),
+        F.max("last").alias("last_t"),
         F.max(F.when(F.col("at_head"), F.col("end"))).alias("head_end"),
-        F.max(F.when(F.col("end").isNull(), F.col("start"))).alias("tail_start"),
+        F.max(F.when(F.col("at_tail"), F.col("start"))).alias("tail_start"),
         F.bool_or("at_head").alias("head"),
-        F.bool_or(F.col("at_head") & F.col("end").isNull()).alias("whole"),
-    )
-    spans = rows.groupBy(key, "chunk").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
-    off = F.lit(False)
-    chunks = spans.join(edge, [key, "chunk"], "left").select(
-        key, "chunk", "first_t", "last_t", "head_end", "tail_start",
-        F.coalesce("head", off).alias("head"), F.coalesce("whole", off).alias("whole"),
-        F.col("tail_start").isNotNull().alias("open"),
+        F.bool_or("at_tail").alias("open"),
+        F.bool_or(F.col("at_head") & F.col("at_tail")).alias("whole"),
     )
     forward = Window.partitionBy(key).orderBy("chunk")
-    later = Window.partitionBy(key).orderBy(F.desc("chunk"))
+    later = Window.partitionBy(key).orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
     close = F.when(~F.col("whole"), F.when(F.col("head"), F.col("head_end")).otherwise(F.col("first_t")))
     linked = chunks.withColumn("close", close).select(
         "*",
-        F.coalesce(F.lag("open").over(forward), off).alias("joined"),
-        F.last("close", ignorenulls=True).over(later.rowsBetween(Window.unboundedPreceding, -1)).alias("closed_at"),
+        F.coalesce(F.lag("open").over(forward), F.lit(False)).alias("joined"),
+        F.last("close", ignorenulls=True).over(later).alias("closed_at"),
         F.max("last_t").over(Window.partitionBy(key)).alias("series_end"),
     )
-    heads = linked.filter(F.col("head") & ~F.col("whole") & ~F.col("joined")).select(
-        key, F.col("first_t").alias("start"), F.col("head_end").alias("end"), F.lit(False).alias("open_end")
+    head = F.when(
+        F.col("head") & ~F.col("whole") & ~F.col("joined"),
+        F.struct(F.col("first_t").alias("start"), F.col("head_end").alias("end"), F.lit(False).alias("open_end")),
     )
-    tails = linked.filter(F.col("open") & ~(F.col("whole") & F.col("joined"))).select(
-        key, F.col("tail_start").alias("start"),
-        F.coalesce("closed_at", F.col("series_end") + F.lit(step)).alias("end"),
-        F.col("closed_at").isNull().alias("open_end"),
+    tail = F.when(
+        F.col("open") & ~(F.col("whole") & F.col("joined")),
+        F.struct(
+            F.col("tail_start").alias("start"),
+            F.coalesce("closed_at", F.col("series_end") + F.lit(step)).alias("end"),
+            F.col("closed_at").isNull().alias("open_end"),
+        ),
     )
-    runs = interior.unionByName(heads).unionByName(tails)
+    crossing = linked.select(key, F.explode(F.array_compact(F.array(head, tail))).alias("r")).select(key, "r.*")
+    runs = interior.unionByName(crossing)
     if not keep_trailing:
         runs = runs.filter(~F.col("open_end"))
     kept = runs.filter(F.col("end") - F.col("start") >= min_len).select(
@@ -175,9 +179,12 @@ def below_runs(
 # ------------------------------------------------------------------ merging and complements
 
 def carry_in(chunk_max: DataFrame, key: str) -> DataFrame:
-    """Largest end in all earlier chunks of the series."""
+    """Largest end in all earlier chunks of the series, and in the whole of it."""
     earlier = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return chunk_max.select(key, "chunk", F.max("chunk_end").over(earlier).alias("carry"))
+    return chunk_max.select(
+        key, "chunk", F.max("chunk_end").over(earlier).alias("carry"),
+        F.max("chunk_end").over(Window.partitionBy(key)).alias("series_end"),
+    )
 
 
 def merge_intervals(df: DataFrame, key: str, width: float, start: str = "start", end: str = "end") -> DataFrame:
@@ -186,35 +193,31 @@ def merge_intervals(df: DataFrame, key: str, width: float, start: str = "start",
     w = Window.partitionBy(key, "chunk").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opens = cut.withColumn("opens", (reach.isNull() | (F.col("start") > reach)).cast("int"))
-    islands = (
+    islands = materialize(
         opens.withColumn("island", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(key, "chunk", "island")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        .agg(F.min("start").alias("start"), F.max("end").alias("end")),
+        "islands",
     )
-    carried = carry_in(islands.groupBy(key, "chunk").agg(F.max("end").alias("chunk_end")), key)
-    placed = islands.join(carried, [key, "chunk"]).withColumn(
-        "absorbed", F.coalesce(F.col("start") <= F.col("carry"), F.lit(False))
+    ends = islands.groupBy(key, "chunk").agg(F.max("end").alias("chunk_end"))
+    in_chunk = Window.partitionBy(key, "chunk")
+    absorbed = F.coalesce(F.col("start") <= F.col("carry"), F.lit(False))
+    placed = materialize(
+        islands.join(carry_in(ends, key), [key, "chunk"]).select(
+            key, "chunk", "start", "end", "carry", "series_end",
+            absorbed.alias("absorbed"),
+            F.max(F.when(absorbed, F.col("end"))).over(in_chunk).alias("absorbed_end"),
+            F.lead("start").over(in_chunk.orderBy("start")).isNull().alias("last"),
+        ).filter(~F.col("absorbed")),
+        "islands",
     )
     # an island whose successor in the chunk is separate is final; the last one stays open
-    nxt = F.lead("start").over(Window.partitionBy(key, "chunk").orderBy("start"))
-    ordered = placed.withColumn("last", nxt.isNull())
-    final = ordered.filter(~F.col("absorbed") & ~F.col("last")).select(key, "start", "end")
-    per_chunk = ordered.groupBy(key, "chunk").agg(
-        F.max(F.when(~F.col("absorbed") & F.col("last"), F.struct("start", "end"))).alias("tail"),
-        F.max(F.when(F.col("absorbed"), F.col("end"))).alias("absorbed_end"),
-    )
-    starts_tail = F.col("tail").isNotNull().cast("int")
-    seen = F.sum(starts_tail).over(Window.partitionBy(key).orderBy("chunk"))
-    grouped = per_chunk.withColumn("group", seen).withColumn("absorbed_by", F.col("group") - starts_tail)
-    stretch = (
-        grouped.filter(F.col("absorbed_end").isNotNull())
-        .groupBy(key, F.col("absorbed_by").alias("group"))
-        .agg(F.max("absorbed_end").alias("stretched"))
-    )
-    tails = (
-        grouped.filter(F.col("tail").isNotNull())
-        .join(stretch, [key, "group"], "left")
-        .select(key, F.col("tail.start").alias("start"), F.greatest("tail.end", "stretched").alias("end"))
+    final = placed.filter(~F.col("last")).select(key, "start", "end")
+    # an open island reaches whatever comes before the next chunk that opens one
+    reached = F.greatest("carry", "absorbed_end")
+    upcoming = F.lead(F.struct(reached.alias("end"))).over(Window.partitionBy(key).orderBy("chunk"))
+    tails = placed.filter(F.col("last")).select(
+        key, "start", F.greatest("end", F.coalesce(upcoming["end"], F.col("series_end"))).alias("end")
     )
     return final.unionByName(tails)
 
@@ -226,7 +229,7 @@ def keep_ranges(merged: DataFrame, spans: DataFrame, key: str, width: float) ->
     series. The range after the last cut is always given, as is the whole span of
     a series without cuts.
     """
-    cuts = merged.select(key, "start", "end", chunk_of("start", width).alias("chunk"))
+    cuts = materialize(merged.select(key, "start", "end", chunk_of("start", width).alias("chunk")), "cuts")
     carried = carry_in(cuts.groupBy(key, "chunk").agg(F.max("end").alias("chunk_end")), key)
     w = Window.partitionBy(key, "chunk").orderBy("start")
     before = cuts.withColumn("_lag", F.lag("end").over(w)).join(carried, [key, "chunk"]).join(spans, key)
@@ -243,43 +246,42 @@ def keep_ranges(merged: DataFrame, spans: DataFrame, key: str, width: float) ->
 
 # ------------------------------------------------------------------ nearest neighbours in time
 
-def asof(
-    points: DataFrame, refs: DataFrame, key: str, time: str, ref_time: str, payload: Sequence[str], width: float,
-    backward: bool = True, output: str = "ref",
-) -> DataFrame:
-    """Each point with the last reference at or before it (or the first at or after it).
-
-    Points and references are sorted together, so the work is linear in both and
-    no pair is built. The last reference of earlier chunks is carried across.
-    """
-    sign = 1 if backward else -1
-    ref = F.struct(*payload)
-    row = F.struct(*points.columns)
-    both = points.select(key, F.col(time).alias("_t"), row.alias("_point"), F.lit(None).cast(refs.select(ref.alias("r")).schema["r"].dataType).alias("_ref")).unionByName(
-        refs.select(key, F.col(ref_time).alias("_t"), F.lit(None).cast(points.select(row.alias("r")).schema["r"].dataType).alias("_point"), ref.alias("_ref"))
-    ).withColumn("_chunk", chunk_of("_t", width))
-    order = [F.col("_t") * sign, F.col("_ref").isNull()]
-    w = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    near = both.withColumn("_near", F.last("_ref", ignorenulls=True).over(w)).filter(F.col("_point").isNotNull())
-    ends = both.groupBy(key, "_chunk").agg(F.max_by("_ref", F.when(F.col("_ref").isNotNull(), F.col("_t") * sign)).alias("_end"))
-    earlier = Window.partitionBy(key).orderBy(F.col("_chunk") * sign).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(key, "_chunk", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
-    return near.join(carried, [key, "_chunk"]).select("_point.*", F.coalesce("_near", "_carry").alias(output))
+def tagged(points: DataFrame, refs: DataFrame, key: str, time: str, at: str, ref: Column) -> DataFrame:
+    """Points and references in one frame: ``_t``, ``_chunk``, and one of ``_point`` and ``_ref``."""
+    point = F.struct(*[c for c in points.columns if c != "_chunk"])
+    left = points.select(key, "_chunk", F.col(time).alias("_t"), point.alias("_point"))
+    right = refs.select(key, "_chunk", F.col(at).alias("_t"), ref.alias("_ref"))
+    return left.unionByName(right, allowMissingColumns=True)
 
 
 def nearest_snap(
     points: DataFrame, gaps: DataFrame, key: str, time: str, width: float, limit: float = SNAP_LIMIT
 ) -> DataFrame:
-    """Move each point to the nearest gap midpoint closer than ``limit``; the earlier one on ties."""
-    mids = gaps.select(key, ((F.col("start") + F.col("end")) / F.lit(2.0)).alias("mid"))
-    left = asof(points, mids, key, time, "mid", ["mid"], width, backward=True, output="_before")
-    both = asof(left, mids, key, time, "mid", ["mid"], width, backward=False, output="_after")
-    t = F.col(time)
-    d_before = F.when(t - F.col("_before.mid") < limit, t - F.col("_before.mid"))
-    d_after = F.when(F.col("_after.mid") - t < limit, F.col("_after.mid") - t)
+    """Move each point to the nearest gap midpoint closer than ``limit``; the earlier one on ties.
+
+    Points and midpoints are sorted together in time chunks, so the work is linear
+    in both and no pair is built. A midpoint within ``limit`` of a chunk border is
+    repeated in the chunk across it, which is all that a point there can need.
+    """
+    if limit > width:
+        raise ValueError("width must be at least the snapping limit")
+    mid = (F.col("start") + F.col("end")) / F.lit(2.0)
+    near = F.sequence(chunk_of(F.col("mid") - F.lit(limit), width), chunk_of(F.col("mid") + F.lit(limit), width))
+    mids = gaps.select(key, mid.alias("mid")).select(key, "mid", F.explode(near).alias("_chunk"))
+    both = tagged(points.withColumn("_chunk", chunk_of(time, width)), mids, key, time, "mid", F.col("mid"))
+    w = Window.partitionBy(key, "_chunk")
+    up_to = Window.unboundedPreceding
+    found = both.select(
+        "*",
+        F.last("_ref", ignorenulls=True).over(w.orderBy("_t", F.col("_ref").isNull()).rowsBetween(up_to, 0)).alias("_before"),
+        F.last("_ref", ignorenulls=True).over(w.orderBy(F.desc("_t"), F.col("_ref").isNull()).rowsBetween(up_to, 0)).alias("_after"),
+    ).filter(F.col("_point").isNotNull())
+    t = F.col("_t")
+    d_before = F.when(t - F.col("_before") < limit, t - F.col("_before"))
+    d_after = F.when(F.col("_after") - t < limit, F.col("_after") - t)
     pick_after = d_after.isNotNull() & (d_before.isNull() | (d_after < d_before))
-    snapped = F.when(pick_after, F.col("_after.mid")).when(d_before.isNotNull(), F.col("_before.mid")).otherwise(t)
-    return both.select(*points.columns, snapped.alias("snapped"))
+    snapped = F.when(pick_after, F.col("_after")).when(d_before.isNotNull(), F.col("_before")).otherwise(t)
+    return found.select("_point.*", snapped.alias("snapped"))
 
 
 def overlap_fraction(
@@ -289,18 +291,26 @@ def overlap_fraction(
 
     ``drops`` are disjoint (see ``merge_intervals``). A drop that covers more than
     half of a cut contains its midpoint, so only the last drop that starts at or
-    before the midpoint can qualify: a lookup, not a range join.
+    before the midpoint can qualify: a lookup, not a range join. A drop is repeated
+    in every chunk it spans; as drops are disjoint that adds at most one row per
+    chunk of the series.
     """
     if fraction < 0.5:
         raise ValueError("the midpoint argument needs a fraction of at least one half")
     mid = cuts.withColumn("_mid", (F.col("start") + F.col("end")) / F.lit(2.0))
-    found = asof(mid, drops.select(key, "start", "end"), key, "_mid", "start", ["start", "end"], width, output="_drop")
+    spanned = F.sequence(chunk_of("start", width), chunk_of(F.greatest("start", "end"), width))
+    refs = drops.select(key, "start", "end").withColumn("_chunk", F.explode(spanned))
+    both = tagged(
+        mid.withColumn("_chunk", chunk_of("_mid", width)), refs, key, "_mid", "start", F.struct("start", "end")
+    )
+    w = Window.partitionBy(key, "_chunk").orderBy("_t", F.col("_ref").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_drop", F.last("_ref", ignorenulls=True).over(w)).filter(F.col("_point").isNotNull()).select(
+        "_point.*", "_drop"
+    )
     covered = F.least("end", "_drop.end") - F.greatest("start", "_drop.start")
     length = F.col("end") - F.col("start")
-    return found.select(
-        *cuts.columns,
-        F.coalesce((F.col("_drop").isNotNull()) & (covered > F.lit(fraction) * length), F.lit(False)).alias("in_drop"),
-    )
+    inside = F.col("_drop").isNotNull() & (covered > F.lit(fraction) * length)
+    return found.select(*cuts.columns, F.coalesce(inside, F.lit(False)).alias("in_drop"))
 
 
 # ------------------------------------------------------------------ anchors

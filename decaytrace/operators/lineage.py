@@ -12,36 +12,35 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import csv_to_array, urn_table_key
-from ..session import cut_lineage
+from ..session import materialize
 
 # Walk depth, and the page size of a parent listing.
 DEPTH = 3
 LISTED = 25
 
 
-def lineage_upstream(edges: DataFrame, starts: DataFrame, depth: int = DEPTH, cut_every: int = 4) -> DataFrame:
+def lineage_upstream(edges: DataFrame, starts: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Breadth-first walk: one row per (start, hop, dataset, upstream).
 
-    Each dataset is reported at its shallowest hop. Parents of the last level are
-    listed but not visited. A walk of at most ``depth`` levels ends on cycles too,
-    and the minimum over walk lengths is the first visit. Deep walks are cut with
-    a reliable checkpoint so the plan does not grow without bound.
+    Each dataset is visited once per start, at its shallowest hop, so cycles end.
+    Parents of the last level are listed but not visited. Every frontier is
+    written to shared storage: a level costs one join, and the plan does not grow
+    with the depth.
     """
-    links = edges.select("src", "dst").distinct()
-    level = starts.select(F.col("dataset").alias("start"), "dataset").distinct()
-    levels = [level.withColumn("hop", F.lit(0))]
+    links = materialize(edges.select("src", "dst").distinct(), "edges")
+    frontier = starts.select(F.col("dataset").alias("start"), "dataset").distinct().withColumn("hop", F.lit(0))
+    visited = frontier
     for hop in range(1, depth):
-        level = (
-            level.join(links, level["dataset"] == links["dst"])
+        reached = (
+            frontier.join(links, frontier["dataset"] == links["dst"])
             .select("start", F.col("src").alias("dataset"))
             .distinct()
         )
-        if hop % cut_every == 0:
-            level = cut_lineage(level)
-        levels.append(level.withColumn("hop", F.lit(hop)))
-    visited = (
-        reduce(lambda a, b: a.unionByName(b), levels).groupBy("start", "dataset").agg(F.min("hop").alias("hop"))
-    )
+        frontier = materialize(
+            reached.join(visited.select("start", "dataset"), ["start", "dataset"], "left_anti").withColumn("hop", F.lit(hop)),
+            "frontier",
+        )
+        visited = visited.unionByName(frontier)
     return visited.join(links, visited["dataset"] == links["dst"], "left").select(
         "start", "hop", "dataset", F.col("src").alias("upstream")
     )
@@ -60,6 +59,7 @@ def lineage_hops(walk: DataFrame, other: str = "upstream", listed: int = LISTED)
     the rank filter is applied before the shuffle, so a hub is never gathered.
     """
     key = ["start", "hop", "dataset"]
+    walk = materialize(walk, "walk")
     totals = walk.groupBy(*key).agg(F.count(other).alias(f"{other}_count"))
     w = Window.partitionBy(*key).orderBy(other)
     page = (
@@ -78,17 +78,18 @@ def lineage_paths_between(
     edges: DataFrame, starts: DataFrame, targets: DataFrame, max_hops: int = DEPTH
 ) -> DataFrame:
     """Every path of at most ``max_hops`` edges from a start upstream to a target."""
-    links = edges.select("src", "dst").distinct()
+    links = materialize(edges.select("src", "dst").distinct(), "edges")
     ends = targets.select(F.col("dataset").alias("target")).distinct()
     paths = starts.select(F.col("dataset").alias("start"), F.col("dataset").alias("at")).distinct().withColumn(
         "path", F.array("at")
     )
     found = []
     for _ in range(max_hops):
-        paths = (
+        paths = materialize(
             paths.join(links, paths["at"] == links["dst"])
             .filter(~F.array_contains("path", F.col("src")))
-            .select("start", F.col("src").alias("at"), F.array_append("path", F.col("src")).alias("path"))
+            .select("start", F.col("src").alias("at"), F.array_append("path", F.col("src")).alias("path")),
+            "paths",
         )
         found.append(paths.join(ends, F.col("at") == F.col("target"), "left_semi"))
     return reduce(lambda a, b: a.unionByName(b), found).select(

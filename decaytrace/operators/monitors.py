@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from ..functions.numbers import pct, round_n, safe_double
 from ..functions.times import epoch_seconds
+from ..session import materialize
 from .profile import per_value
 
 # Thresholds above which a monitor fires.
@@ -115,7 +116,7 @@ def monitor_verdicts(
     All periods are read through one schema here, so type and schema are stable
     by construction; ``monitor_schema`` compares the files themselves.
     """
-    metrics = monitor_metrics(df, column, period)
+    metrics = materialize(monitor_metrics(df, column, period), "metrics")
     stale = (
         monitor_freshness(df, time, period, max_gap_seconds).agg(F.coalesce(F.max("fires"), F.lit(False))).scalar()
         if time

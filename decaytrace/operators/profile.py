@@ -9,29 +9,28 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.encoding import price_per_unit
 from ..functions.numbers import pct, round_n
 from ..functions.times import minute_boundaries
+from ..session import materialize
 
 # Fixed value: a column is categorical when no period has more distinct values.
 MAX_CATEGORIES = 50
 
 
 def per_value(df: DataFrame, column: str, period: str = "feed_month") -> DataFrame:
-    """Rows per period and value. Every profile below starts here, so one plan that
-    needs several of them shuffles the table once and reuses the exchange."""
+    """Rows per period and value: the reduction that every profile below starts from."""
     return df.groupBy(period, column).agg(F.count("*").alias("n"))
 
 
-def profile_cardinality(df: DataFrame, column: str, period: str = "feed_month") -> DataFrame:
-    """Distinct values, rows and null share per period."""
-    return per_value(df, column, period).groupBy(period).agg(
+def cardinality_of(counts: DataFrame, column: str, period: str) -> DataFrame:
+    return counts.groupBy(period).agg(
         F.count(column).alias("distinct_values"),
         F.sum("n").alias("rows"),
         pct(F.sum(F.when(F.col(column).isNull(), F.col("n")).otherwise(0)), F.sum("n")).alias("null_pct"),
     )
 
 
-def is_low_card(df: DataFrame, column: str, period: str = "feed_month", limit: int = MAX_CATEGORIES) -> Column:
-    """The categorical gate as a one-row subquery, so nothing is collected."""
-    return profile_cardinality(df, column, period).agg(F.max("distinct_values") <= limit).scalar()
+def profile_cardinality(df: DataFrame, column: str, period: str = "feed_month") -> DataFrame:
+    """Distinct values, rows and null share per period."""
+    return cardinality_of(per_value(df, column, period), column, period)
 
 
 def low_card_gate(df: DataFrame, column: str, period: str = "feed_month", limit: int = MAX_CATEGORIES) -> DataFrame:
@@ -45,13 +44,16 @@ def low_card_gate(df: DataFrame, column: str, period: str = "feed_month", limit:
 def value_counts(
     df: DataFrame, column: str, period: str = "feed_month", limit: int | None = MAX_CATEGORIES
 ) -> DataFrame:
-    """Rows per period and value, NULL as its own group; empty if not categorical."""
-    counts = per_value(df, column, period).select(
-        period, F.col(column).cast("string").alias("value"), F.col("n").alias("rows")
-    )
+    """Rows per period and value, NULL as its own group; empty if not categorical.
+
+    The counts are written once; the gate is a one-row subquery over them.
+    """
+    counts = materialize(per_value(df, column, period), "values")
+    named = counts.select(period, F.col(column).cast("string").alias("value"), F.col("n").alias("rows"))
     if limit is None:
-        return counts
-    return counts.filter(is_low_card(df, column, period, limit))
+        return named
+    gate = cardinality_of(counts, column, period).agg(F.max("distinct_values") <= limit).scalar()
+    return named.filter(gate)
 
 
 def value_sets(df: DataFrame, column: str, period: str = "feed_month", limit: int = MAX_CATEGORIES) -> DataFrame:
@@ -64,24 +66,48 @@ def value_sets(df: DataFrame, column: str, period: str = "feed_month", limit: in
     )
 
 
-def first_period_count(
-    df: DataFrame, column: str, period: str = "feed_month", limit: int | None = MAX_CATEGORIES
-) -> DataFrame:
+def first_seen(counts: DataFrame, period: str) -> DataFrame:
     """First period of each value and its rows there, from the counts alone."""
     return (
-        value_counts(df, column, period, limit)
-        .filter(F.col("value").isNotNull())
+        counts.filter(F.col("value").isNotNull())
         .groupBy("value")
         .agg(F.min(period).alias("first_seen"), F.min_by("rows", period).alias("rows_in_first_period"))
     )
 
 
+def first_period_count(
+    df: DataFrame, column: str, period: str = "feed_month", limit: int | None = MAX_CATEGORIES
+) -> DataFrame:
+    return first_seen(value_counts(df, column, period, limit), period)
+
+
 def new_values(
     df: DataFrame, column: str, period: str = "feed_month", limit: int | None = MAX_CATEGORIES
 ) -> DataFrame:
     """Values that appear after the first period. A value that returns is not new."""
-    firsts = first_period_count(df, column, period, limit)
-    return firsts.filter(F.col("first_seen") > firsts.agg(F.min("first_seen")).scalar())
+    counts = value_counts(df, column, period, limit)
+    baseline = counts.filter(F.col("value").isNotNull()).agg(F.min(period)).scalar()
+    return first_seen(counts, period).filter(F.col("first_seen") > baseline)
+
+
+def known_so_far(df: DataFrame, column: str, period: str = "feed_month", limit: int = MAX_CATEGORIES) -> DataFrame:
+    """Sorted values known up to and including each period.
+
+    Each value enters once, in its first period, so the running lists hold no
+    more than the gate allows per period.
+    """
+    counts = value_counts(df, column, period, limit)
+    new_here = F.when(F.col(period) == F.col("first_seen"), F.col("value"))
+    entered = (
+        counts.join(first_seen(counts, period), "value")
+        .groupBy(period)
+        .agg(F.array_compact(F.collect_list(new_here)).alias("entered"))
+    )
+    w = Window.orderBy(period).rowsBetween(Window.unboundedPreceding, 0)
+    return entered.select(
+        period, F.size("entered").alias("entered"),
+        F.array_sort(F.flatten(F.collect_list("entered").over(w))).alias("known"),
+    )
 
 
 def as_code(c: str, null_as_code: bool) -> Column:
@@ -117,7 +143,7 @@ def scan_codes(
 
     ``limit`` drops columns that are not categorical in every period.
     """
-    counts = code_counts_all(df, columns, period, null_as_code, present)
+    counts = materialize(code_counts_all(df, columns, period, null_as_code, present), "codes")
     firsts = counts.groupBy("column", "code").agg(
         F.min(period).alias("first_seen"), F.min_by("rows", period).alias("rows_in_first_period")
     )

@@ -16,6 +16,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import round_n
+from ..session import materialize
 from .features import period_in
 
 # Boosted-tree settings shared by both arms.
@@ -53,7 +54,7 @@ def score_arms(
     rows: DataFrame, arms: Mapping[str, GroupMeanArm], score_period: str, target: str, period: str = "feed_month"
 ) -> DataFrame:
     """Predictions of every arm over one period, with absolute errors."""
-    cells = training_cells(rows, arms, target, period)
+    cells = materialize(training_cells(rows, arms, target, period), "cells")
     out = rows.filter(F.col(period) == score_period)
     for output, arm in arms.items():
         mean = F.sum(f"sum__{output}") / F.nullif(F.sum(f"n__{output}"), F.lit(0))

@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numbers import round_n
+from ..session import materialize
 from . import drift
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -19,7 +20,7 @@ Transform = Callable[[DataFrame], DataFrame]
 
 def family_stats(df: DataFrame, segment: str, inputs: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
     names = list(inputs or drift.discover_inputs(df, segment, exclude=()))
-    return drift.segment_stats(df, segment, names), names
+    return materialize(drift.segment_stats(df, segment, names), "segments"), names
 
 
 def _active(stats: DataFrame, inputs: Sequence[str], value) -> DataFrame:

@@ -7,12 +7,11 @@ a different price level; some rows are impossible and some counts are missing.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import features, scoring
-from ..sources import feeds
+from ..session import scratch_path
+from ..sources import feeds, tables
 
 NEW_CODE = 7
 TRAIN_PERIODS = ("1995", "1996", "1997", "1998", "1999")
@@ -95,6 +94,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_arms(with_flag, arms, SCORE_PERIOD, target=features.TARGET).drop("is_new_code")
 
 
+def served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predictions as a written table: what several evidence passes read."""
+    return tables.write_predictions(scored(spark, sf_dir), scratch_path(spark, "predictions"))
+
+
 FEED_CTE = """
 lines AS (
   SELECT l_orderkey, sum(l_quantity) AS qty, min(l_suppkey) AS supp FROM lineitem GROUP BY l_orderkey

@@ -67,6 +67,13 @@ register(
     lambda spark, d: profile.first_period_count(fx.feed(spark, d), "vendor_id"),
     fx.oracle(FEED, FIRSTS + "SELECT * FROM firsts"),
 )
+register(
+    "known_so_far",
+    lambda spark, d: profile.known_so_far(fx.feed(spark, d), "vendor_id").withColumn("known", F.array_join("known", ",")),
+    fx.oracle(FEED, FIRSTS + """
+, p AS (SELECT feed_month, CAST(count(*) FILTER (first_seen = feed_month) AS INTEGER) AS entered FROM counts JOIN firsts USING (value) GROUP BY 1)
+SELECT feed_month, entered, (SELECT string_agg(value, ',' ORDER BY value) FROM firsts WHERE first_seen <= feed_month) AS known FROM p"""),
+)
 register(
     "scan_codes",
     lambda spark, d: profile.scan_codes(fx.feed(spark, d), CODES),

@@ -230,7 +230,7 @@ ROOTS = [(f, "vendor_id") for f in features.KNOWN_VENDORS] + [
 
 def diagnosis(spark, d):
     roots = spark.createDataFrame(ROOTS, "feature string, root_column string")
-    return diagnose.diagnose(fx.feed(spark, d), fx.scored(spark, d), CODE_COLUMNS, features.FEATURES, roots)
+    return diagnose.diagnose(fx.feed(spark, d), fx.served(spark, d), CODE_COLUMNS, features.FEATURES, roots)
 
 
 register(
@@ -271,7 +271,7 @@ SELECT 'raw.orders' AS dataset, 'vendor_id 7 appeared in ' || (SELECT min(feed_m
 register(
     "results_tables",
     lambda spark, d: diagnose.results_tables(
-        fx.feed(spark, d), fx.mart(spark, d), fx.scored(spark, d), "vendor_id", fx.NEW_CODE, "avg_speed_mph",
+        fx.feed(spark, d), fx.mart(spark, d), fx.served(spark, d), "vendor_id", fx.NEW_CODE, "avg_speed_mph",
         ["trip_distance", "trip_minutes", "avg_speed_mph", *features.KNOWN_VENDORS],
     ),
     fx.oracle(SCORED, """

@@ -49,9 +49,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/decaytrace/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are in shared storage and outlive any executor."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a reduced result to the shared folder and go on from the written table.
+
+    Used where a big table has been reduced and the small result is read several
+    times: the reduction then runs once, the rows outlive any executor, the plan
+    stays short, and file sizes tell Spark what is small enough to broadcast.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
