@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.numbers import NUMERIC_TYPES, round_n, safe_double
@@ -26,6 +24,10 @@ def discover_inputs(df: DataFrame, segment: str, exclude: Sequence[str] = EXCLUD
     ]
 
 
+def quoted(name: str) -> str:
+    return f"`{name}`"
+
+
 def segment_stats(
     df: DataFrame, segment: str, inputs: Sequence[str], errors: Sequence[str] = ()
 ) -> DataFrame:
@@ -35,31 +37,34 @@ def segment_stats(
     non-binary counts, min, max, sum). One scan, one shuffle, whatever the number
     of inputs.
     """
-    aggs: list[Column] = [F.count("*").alias("rows")]
-    aggs += [F.avg(e).alias(f"mean__{e}") for e in errors]
+    typed = df.select(
+        F.col(segment).alias("segment"), *errors,
+        *[safe_double(c, df.schema[c].dataType).alias(f"v__{c}") for c in inputs],
+    )
+    aggs = ["count(*) AS rows"] + [f"avg({quoted(e)}) AS `mean__{e}`" for e in errors]
     for c in inputs:
-        v = safe_double(c, df.schema[c].dataType)
-        real = F.when(~F.isnan(v), v)
+        v = quoted(f"v__{c}")
         aggs += [
-            F.avg(v).alias(f"mean__{c}"),
-            F.stddev_pop(v).alias(f"sd__{c}"),
-            F.count(real).alias(f"n__{c}"),
-            F.count_if(~real.isin(0.0, 1.0)).alias(f"other__{c}"),
-            F.min(v).alias(f"min__{c}"),
-            F.max(v).alias(f"max__{c}"),
-            F.sum(v).alias(f"sum__{c}"),
+            f"avg({v}) AS `mean__{c}`",
+            f"stddev_pop({v}) AS `sd__{c}`",
+            f"count_if({v} IS NOT NULL AND NOT isnan({v})) AS `n__{c}`",
+            f"count_if(NOT isnan({v}) AND {v} NOT IN (0D, 1D)) AS `other__{c}`",
+            f"min({v}) AS `min__{c}`",
+            f"max({v}) AS `max__{c}`",
+            f"sum({v}) AS `sum__{c}`",
         ]
-    return df.groupBy(F.col(segment).alias("segment")).agg(*aggs)
+    return typed.groupBy("segment").agg(*[F.expr(a) for a in aggs])
 
 
-def names_where(conditions: Sequence[tuple[str, Column]]) -> Column:
-    """Names whose condition holds, in the given order."""
-    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in conditions])).cast("array<string>")
+def names_where(conditions: Sequence[tuple[str, str]]) -> Column:
+    """Names whose SQL condition holds, in the given order."""
+    cases = ", ".join(f"CASE WHEN {cond} THEN '{name}' END" for name, cond in conditions)
+    return F.expr(f"array_compact(CAST(array({cases}) AS array<string>))")
 
 
-def is_binary(c: str) -> Column:
+def is_binary(c: str) -> str:
     """Aggregate over segments: some value, and none but 0 and 1."""
-    return (F.sum(f"n__{c}") > 0) & (F.sum(f"other__{c}") == 0)
+    return f"sum(`n__{c}`) > 0 AND sum(`other__{c}`) = 0"
 
 
 def indicators(stats: DataFrame, inputs: Sequence[str]) -> DataFrame:
@@ -69,15 +74,13 @@ def indicators(stats: DataFrame, inputs: Sequence[str]) -> DataFrame:
 
 def encoding_family(stats: DataFrame, inputs: Sequence[str]) -> DataFrame:
     """Binary inputs that are constant within every segment: they encode it."""
-    def constant(c):
-        return F.coalesce(F.every(F.coalesce(F.col(f"min__{c}") == F.col(f"max__{c}"), F.lit(True))), F.lit(True))
-
-    return stats.agg(names_where([(c, is_binary(c) & constant(c)) for c in inputs]).alias("indicators"))
+    family = [(c, f"{is_binary(c)} AND every(coalesce(`min__{c}` = `max__{c}`, true))") for c in inputs]
+    return stats.agg(names_where(family).alias("indicators"))
 
 
 def degenerate(inputs: Sequence[str]) -> Column:
-    """Inputs without variance in the segment."""
-    return names_where([(c, F.coalesce(round_n(f"sd__{c}", 8), F.lit(0.0)) == 0) for c in inputs])
+    """Inputs without variance (to 8 digits) in the segment."""
+    return names_where([(c, f"coalesce(round(`sd__{c}` * 1e8D), 0D) = 0") for c in inputs])
 
 
 def largest_first() -> Column:
@@ -89,14 +92,11 @@ def reference_segment(stats: DataFrame) -> DataFrame:
     return stats.agg(F.min_by("segment", largest_first()).alias("reference_segment"))
 
 
-def all_zero(names: Column, inputs: Sequence[str], exact: bool = False) -> Column:
-    """Every named indicator has mean zero; false for no names, and for NULL means."""
-    def zero(c):
-        mean = F.col(f"mean__{c}") if exact else round_n(f"mean__{c}", 4)
-        return F.coalesce(mean == 0, F.lit(False))
-
-    each = [~F.array_contains(names, c) | zero(c) for c in inputs]
-    return (F.size(names) > 0) & reduce(lambda a, b: a & b, each, F.lit(True))
+def all_zero(names: str, inputs: Sequence[str], exact: bool = False) -> Column:
+    """Every indicator in the array column has mean zero; false for none, and for NULL means."""
+    mean = "`mean__{c}`" if exact else "round(`mean__{c}` * 1e4D)"
+    tests = [f"(NOT array_contains({names}, '{c}') OR coalesce({mean.format(c=c)} = 0, false))" for c in inputs]
+    return F.expr(" AND ".join([f"size({names}) > 0", *tests]))
 
 
 def drift_stats(
@@ -145,7 +145,7 @@ def drift_report(
         F.array_sort(F.array_except("degenerate_in_segment", "_reference_flat")).alias("degenerate_only"),
         "reference_segment",
         "indicator_inputs",
-        all_zero(F.col("indicator_inputs"), inputs, exact).alias("all_indicators_zero"),
+        all_zero("indicator_inputs", inputs, exact).alias("all_indicators_zero"),
         "family_inputs",
-        all_zero(F.col("family_inputs"), inputs, exact).alias("all_family_zero"),
+        all_zero("family_inputs", inputs, exact).alias("all_family_zero"),
     )

@@ -26,9 +26,8 @@ def family_stats(df: DataFrame, segment: str, inputs: Sequence[str] | None = Non
 def _active(stats: DataFrame, inputs: Sequence[str], value) -> DataFrame:
     family = drift.encoding_family(stats, inputs).scalar()
     with_family = stats.filter(F.col("segment") == F.lit(value)).withColumn("indicators", family)
-    active = sum(
-        (F.when(F.array_contains("indicators", c), F.coalesce(F.col(f"sum__{c}"), F.lit(0.0))).otherwise(0.0) for c in inputs),
-        F.lit(0.0),
+    active = F.expr(
+        " + ".join(["0D", *[f"IF(array_contains(indicators, '{c}'), coalesce(`sum__{c}`, 0D), 0D)" for c in inputs]])
     )
     rows = F.coalesce(F.sum("rows"), F.lit(0))
     total = F.coalesce(F.sum(active), F.lit(0.0))

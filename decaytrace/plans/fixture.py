@@ -7,7 +7,7 @@ a different price level; some rows are impossible and some counts are missing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators import features, scoring
 from ..session import scratch_path
@@ -20,8 +20,15 @@ SCORE_PERIOD = "2001"
 ALL_PERIODS = CONTROL_PERIODS + (SCORE_PERIOD,)
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables; its footer is read once per process for the schema."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def published_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
