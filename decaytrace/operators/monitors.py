@@ -28,11 +28,11 @@ def monitor_metrics(df: DataFrame, column: str, period: str = "feed_month") -> D
     empty = F.trim(F.col(column)) == "" if isinstance(dtype, T.StringType) else F.lit(False)
 
     def rows_where(condition):
-        return F.sum(F.when(condition, F.col("n")).otherwise(0))
+        return F.sum(F.when(condition, F.col("_n")).otherwise(0))
 
     return per_value(df, column, period).groupBy(period).agg(
-        F.sum("n").alias("row_volume"),
-        pct(rows_where(F.col(column).isNull()), F.sum("n")).alias("null_pct"),
+        F.sum("_n").alias("row_volume"),
+        pct(rows_where(F.col(column).isNull()), F.sum("_n")).alias("null_pct"),
         F.count(column).alias("unique_count"),
         rows_where(number == 0).alias("zero_count"),
         rows_where(number < 0).alias("negative_count"),
@@ -178,11 +178,11 @@ def in_set(df: DataFrame, column: str, allowed: Sequence, period: str = "feed_mo
 
 def monitor_report(df: DataFrame, column: str) -> DataFrame:
     """A (monitor, value) table of one column."""
-    values = df.groupBy(column).agg(F.count("*").alias("n"))
-    nulls = F.sum(F.when(F.col(column).isNull(), F.col("n")).otherwise(0))
+    values = df.groupBy(column).agg(F.count("*").alias("_n"))
+    nulls = F.sum(F.when(F.col(column).isNull(), F.col("_n")).otherwise(0))
     one = values.agg(
-        F.sum("n").cast("string").alias("row volume"),
-        F.concat(pct(nulls, F.sum("n")).cast("string"), F.lit("%")).alias("null rate"),
+        F.sum("_n").cast("string").alias("row volume"),
+        F.concat(pct(nulls, F.sum("_n")).cast("string"), F.lit("%")).alias("null rate"),
         F.lit(df.schema[column].dataType.simpleString()).alias("dtype"),
         F.count(column).cast("string").alias("distinct count"),
     )

@@ -17,14 +17,14 @@ MAX_CATEGORIES = 50
 
 def per_value(df: DataFrame, column: str, period: str = "feed_month") -> DataFrame:
     """Rows per period and value: the reduction that every profile below starts from."""
-    return df.groupBy(period, column).agg(F.count("*").alias("n"))
+    return df.groupBy(period, column).agg(F.count("*").alias("_n"))
 
 
 def cardinality_of(counts: DataFrame, column: str, period: str) -> DataFrame:
     return counts.groupBy(period).agg(
         F.count(column).alias("distinct_values"),
-        F.sum("n").alias("rows"),
-        pct(F.sum(F.when(F.col(column).isNull(), F.col("n")).otherwise(0)), F.sum("n")).alias("null_pct"),
+        F.sum("_n").alias("rows"),
+        pct(F.sum(F.when(F.col(column).isNull(), F.col("_n")).otherwise(0)), F.sum("_n")).alias("null_pct"),
     )
 
 
@@ -49,7 +49,7 @@ def value_counts(
     The counts are written once; the gate is a one-row subquery over them.
     """
     counts = materialize(per_value(df, column, period), "values")
-    named = counts.select(period, F.col(column).cast("string").alias("value"), F.col("n").alias("rows"))
+    named = counts.select(period, F.col(column).cast("string").alias("value"), F.col("_n").alias("rows"))
     if limit is None:
         return named
     gate = cardinality_of(counts, column, period).agg(F.max("distinct_values") <= limit).scalar()
@@ -207,12 +207,12 @@ def profile_all_columns(df: DataFrame, columns: Sequence[str], period: str = "fe
     counts = (
         df.select(period, F.explode(pairs).alias("p"))
         .groupBy(period, F.col("p.column").alias("column"), F.col("p.value").alias("value"))
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("_n"))
     )
     return counts.groupBy(period, "column").agg(
         F.count("value").alias("distinct_values"),
-        F.sum("n").alias("rows"),
-        pct(F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)), F.sum("n")).alias("null_pct"),
+        F.sum("_n").alias("rows"),
+        pct(F.sum(F.when(F.col("value").isNull(), F.col("_n")).otherwise(0)), F.sum("_n")).alias("null_pct"),
     )
 
 

@@ -111,9 +111,9 @@ def train_stats(rows: DataFrame, periods: Sequence[str], category: str, period:
     The categories are first reduced to one row each, so the list is as long as
     the number of categories and no longer.
     """
-    per_value = period_in(rows, periods, period).groupBy(category).agg(F.count("*").alias("n"))
+    per_value = period_in(rows, periods, period).groupBy(category).agg(F.count("*").alias("_n"))
     return per_value.agg(
-        F.sum("n").alias("training_rows"),
+        F.sum("_n").alias("training_rows"),
         F.array_sort(F.collect_list(category)).alias("categories"),
     )
 
@@ -130,16 +130,16 @@ def model_card(
     per_value = (
         period_in(rows, periods, period)
         .groupBy(category)
-        .agg(F.count("*").alias("n"), F.sum(F.abs(F.col(prediction) - F.col(target))).alias("err"))
+        .agg(F.count("*").alias("_n"), F.sum(F.abs(F.col(prediction) - F.col(target))).alias("_err"))
     )
     return per_value.agg(
         F.lit(variant).alias("variant"),
         F.array(*[F.lit(f) for f in features]).alias("features"),
         F.array(*[F.lit(p) for p in periods]).alias("training_periods"),
-        F.sum("n").alias("training_rows"),
+        F.sum("_n").alias("training_rows"),
         F.array_sort(F.collect_list(category)).alias("categories_in_training_data"),
         F.create_map(*[F.lit(str(x)) for kv in settings.items() for x in kv]).alias("hyperparameters"),
-        round_n(F.sum("err") / F.sum("n"), 6).alias("in_sample_mae"),
+        round_n(F.sum("_err") / F.sum("_n"), 6).alias("in_sample_mae"),
         F.lit(algorithm).alias("algorithm"),
         F.lit(target).alias("target"),
     )

@@ -8,6 +8,7 @@ from ..operators import attribution, claims, diagnose, features, ledger, scoring
 from ..streaming import monitors as streaming
 from . import fixture as fx
 from .catalog import register
+from .evidence_queries import DID_SQL, DRIFT_SQL, zero_sql
 
 FEED, STAGED, MART, SCORED = fx.FEED_CTE, fx.STAGED_CTE, fx.MART_CTE, fx.SCORED_CTE
 
@@ -241,21 +242,23 @@ register(
         F.array_join("affected_features", ",").alias("affected_features"),
         "affected_rows", "did_amount", "signals", "defines_damage", "confirmed_by_lineage",
     ),
-    fx.oracle(SCORED, """
+    fx.oracle(SCORED, DRIFT_SQL + DID_SQL + f"""
 , counts AS (SELECT feed_month, vendor_id, count(*) AS rows FROM feed GROUP BY ALL),
-firsts AS (SELECT vendor_id, min(feed_month) AS first_seen, arg_min(rows, feed_month) AS rows_in_first_period FROM counts GROUP BY 1),
+firsts AS (SELECT vendor_id AS segment, min(feed_month) AS first_seen, arg_min(rows, feed_month) AS rows_in_first_period FROM counts GROUP BY 1),
 fresh AS (SELECT * FROM firsts WHERE first_seen > (SELECT min(first_seen) FROM firsts)),
-ref AS (SELECT vendor_id AS v FROM scored GROUP BY 1 ORDER BY count(*) DESC, CAST(vendor_id AS VARCHAR) LIMIT 1),
-sd AS (SELECT vendor_id, count(*) AS n, avg(abs_error) - avg(control_abs_error) AS gap,
-  coalesce(round(stddev_pop(avg_speed_mph), 8), 0) = 0 AS flat_speed, coalesce(round(stddev_pop(trip_minutes), 8), 0) = 0 AS flat_minutes,
-  coalesce(round(stddev_pop(trip_distance), 8), 0) = 0 AS flat_distance FROM scored GROUP BY 1),
-rest AS (SELECT avg(abs_error) - avg(control_abs_error) AS lift FROM scored WHERE vendor_id <> 7)
-SELECT CAST(1 AS INTEGER) AS rank, 'vendor_id' AS "column", CAST(f.vendor_id AS VARCHAR) AS code, first_seen, rows_in_first_period,
-  true AS unmapped_category, 'avg_speed_mph,trip_minutes' AS collapsed_inputs,
-  'avg_speed_mph,is_vendor_cmt,is_vendor_curb,is_vendor_myle,trip_minutes' AS affected_features, n AS affected_rows,
-  round(round(round(gap, 4) - round(lift, 6), 4) * n, 2) AS did_amount, CAST(2 AS INTEGER) AS signals, true AS defines_damage,
-  CAST(3 AS BIGINT) AS confirmed_by_lineage
-FROM fresh f JOIN sd USING (vendor_id), rest WHERE flat_speed AND flat_minutes AND NOT flat_distance""").replace("collapsed_inputs,\n", "collapsed_inputs,\n"),
+signal AS (SELECT segment, {zero_sql('fam')} AS unmapped, fam,
+  list_filter(degenerate, lambda x: NOT list_contains(ref_degenerate, x)) AS only_here FROM flat, ref, fam),
+found AS (SELECT fresh.*, coalesce(unmapped, false) AS unmapped, did.did_amount, did.affected_rows,
+  list_filter(only_here, lambda x: NOT list_contains(fam, x)) AS collapsed,
+  list_sort(list_distinct(list_concat(only_here, CASE WHEN unmapped THEN fam ELSE [] END))) AS affected
+  FROM fresh JOIN signal USING (segment) JOIN did USING (segment)),
+judged AS (SELECT *, CAST(unmapped AS INTEGER) + CAST(len(collapsed) > 0 AS INTEGER) AS signals FROM found)
+SELECT CAST(1 AS INTEGER) AS rank, 'vendor_id' AS "column", CAST(segment AS VARCHAR) AS code, first_seen, rows_in_first_period,
+  unmapped AS unmapped_category, array_to_string(list_sort(collapsed), ',') AS collapsed_inputs,
+  array_to_string(affected, ',') AS affected_features, affected_rows, did_amount, signals,
+  did_amount > 0 AND signals > 0 AS defines_damage,
+  CAST(len(list_filter(affected, lambda x: x IN ('is_vendor_cmt', 'is_vendor_curb', 'is_vendor_myle'))) AS BIGINT) AS confirmed_by_lineage
+FROM judged"""),
 )
 register(
     "incidents_from_diagnosis",
