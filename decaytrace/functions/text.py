@@ -23,8 +23,8 @@ def java_quote(text: str) -> str:
 
 
 def word_match(text: Column | str, word: str) -> Column:
-    """True where ``word`` stands alone in the text."""
-    return col(text).rlike(r"\b" + java_quote(word) + r"\b")
+    """True where ``word`` stands alone in the text, with letters of any script as word parts."""
+    return col(text).rlike(r"(?U)\b" + java_quote(word) + r"\b")
 
 
 def preview_text(c: Column | str, limit: int = 400) -> Column:

@@ -36,10 +36,11 @@ def lineage_upstream(edges: DataFrame, starts: DataFrame, depth: int = DEPTH) ->
             .select("start", F.col("src").alias("dataset"))
             .distinct()
         )
-        frontier = materialize(
-            reached.join(visited.select("start", "dataset"), ["start", "dataset"], "left_anti").withColumn("hop", F.lit(hop)),
-            "frontier",
-        )
+        if hop == 1:  # only the start itself has been visited
+            fresh = reached.filter(F.col("dataset") != F.col("start"))
+        else:
+            fresh = reached.join(visited.select("start", "dataset"), ["start", "dataset"], "left_anti")
+        frontier = materialize(fresh.withColumn("hop", F.lit(hop)), "frontier")
         visited = visited.unionByName(frontier)
     return visited.join(links, visited["dataset"] == links["dst"], "left").select(
         "start", "hop", "dataset", F.col("src").alias("upstream")

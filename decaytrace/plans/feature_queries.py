@@ -13,6 +13,12 @@ FEED, STAGED, MART, SCORED = fx.FEED_CTE, fx.STAGED_CTE, fx.MART_CTE, fx.SCORED_
 STAGED_LIST = ", ".join(features.STAGED_COLUMNS)
 
 
+def word_sql(word):
+    """A whole word whose neighbours are no letter, digit or underscore of any script."""
+    edge = r"[^\p{L}\p{M}\p{N}_]"
+    return f"regexp_matches(text, '(^|{edge}){word}($|{edge})')"
+
+
 def as_list(x):
     return x if isinstance(x, list) else [x]
 
@@ -241,9 +247,8 @@ register(
         "doc_id", text.word_match("text", "the").alias("has_the"), text.word_match("text", "e.g").alias("has_eg"),
         text.word_match("text", "and").alias("has_and"),
     ),
-    r"""
-SELECT doc_id, regexp_matches(text, '\bthe\b') AS has_the, regexp_matches(text, '\be\.g\b') AS has_eg,
-  regexp_matches(text, '\band\b') AS has_and FROM documents""",
+    f"""
+SELECT doc_id, {word_sql('the')} AS has_the, {word_sql('e[.]g')} AS has_eg, {word_sql('and')} AS has_and FROM documents""",
 )
 register(
     "preview_text",

@@ -31,6 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text table, spread over the cores where its files give fewer tasks than that.
+
+    Text work is bound by the processor. A table of many files has tasks enough
+    and is read as it lies, without a shuffle.
+    """
+    df = table(spark, sf_dir, name)
+    tasks = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
 def published_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = (
         table(spark, sf_dir, "lineitem")

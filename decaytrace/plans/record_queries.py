@@ -9,6 +9,7 @@ from ..streaming import monitors as streaming
 from . import fixture as fx
 from .catalog import register
 from .evidence_queries import DID_SQL, DRIFT_SQL, zero_sql
+from .feature_queries import word_sql
 
 FEED, STAGED, MART, SCORED = fx.FEED_CTE, fx.STAGED_CTE, fx.MART_CTE, fx.SCORED_CTE
 
@@ -163,7 +164,9 @@ SPELLINGS = {
     "english article": ["The ", " the "], "french article": [" le ", " la "], "german article": [" der ", " die "],
     "licence": ["License", "licence", "Copyright"], "never said": ["zzzzqqqq"],
 }
-BANNED = {"doubled the": r"\bthe the\b", "address": r"[a-z0-9.]+@[a-z0-9]+\.[a-z]{2,}", "of and": r"\bof\s+(and|the)\b"}
+BANNED = {
+    "doubled the": r"(^|[ .,])the the([ .,]|$)", "address": r"[a-z0-9.]+@[a-z0-9]+\.[a-z]{2,}", "of and": r"(^| )of +(and|the)( |$)",
+}
 STARTS, PARTS = ("in ", "is "), ("with the", " es ")
 
 
@@ -173,17 +176,17 @@ def contains_sql(forms):
 
 register(
     "claims_cited",
-    lambda spark, d: claims.claims_cited(fx.table(spark, d, "documents"), SPELLINGS),
+    lambda spark, d: claims.claims_cited(fx.texts(spark, d, "documents"), SPELLINGS),
     " UNION ALL ".join(f"SELECT '{label}' AS label, doc_id FROM documents WHERE {contains_sql(forms)}" for label, forms in SPELLINGS.items()),
 )
 register(
     "claims_summary",
-    lambda spark, d: claims.claims_summary(fx.table(spark, d, "documents"), SPELLINGS),
+    lambda spark, d: claims.claims_summary(fx.texts(spark, d, "documents"), SPELLINGS),
     " UNION ALL ".join(f"SELECT '{label}' AS label, count(*) FILTER ({contains_sql(forms)}) AS documents FROM documents" for label, forms in SPELLINGS.items()),
 )
 register(
     "claims_banned",
-    lambda spark, d: claims.claims_banned(fx.table(spark, d, "documents"), BANNED, starts=STARTS, parts=PARTS),
+    lambda spark, d: claims.claims_banned(fx.texts(spark, d, "documents"), BANNED, starts=STARTS, parts=PARTS),
     r"""
 WITH a AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|\r|\n') AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS line_no FROM a),
@@ -206,17 +209,17 @@ SELECT l_orderkey, l_linenumber, round(l_extendedprice / l_quantity * CAST(l_qua
     - (l_extendedprice + CASE WHEN l_discount > 0.05 THEN 2 ELSE 0 END)) < 1.0 AS reconciles FROM lineitem""",
 )
 NAMED, ROOT = ["the", "with", "thing", "und"], "in"
-LOCATE = ("SELECT doc_id, CAST(" + " + ".join(rf"CAST(regexp_matches(text, '\b{w}\b') AS INTEGER)" for w in [*NAMED, ROOT])
+LOCATE = ("SELECT doc_id, CAST(" + " + ".join(f"CAST({word_sql(w)} AS INTEGER)" for w in [*NAMED, ROOT])
           + " AS INTEGER) AS score FROM documents")
 register(
     "locate_transformation",
-    lambda spark, d: claims.locate_transformation(fx.table(spark, d, "documents"), NAMED, ROOT, "doc_id"),
+    lambda spark, d: claims.locate_transformation(fx.texts(spark, d, "documents"), NAMED, ROOT, "doc_id"),
     f"SELECT * FROM ({LOCATE}) WHERE score > 0",
 )
 register(
     "best_transformation",
     lambda spark, d: claims.best_transformation(
-        claims.locate_transformation(fx.table(spark, d, "documents"), NAMED, ROOT, "doc_id"), "doc_id"
+        claims.locate_transformation(fx.texts(spark, d, "documents"), NAMED, ROOT, "doc_id"), "doc_id"
     ),
     f"SELECT * FROM ({LOCATE}) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 1",
 )

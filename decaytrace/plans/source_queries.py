@@ -224,7 +224,7 @@ def token_merge_sql():
 
 register(
     "token_merge",
-    lambda spark, d: fx.table(spark, d, "conversations").select(
+    lambda spark, d: fx.texts(spark, d, "conversations").select(
         "conv_id", "turn", text.token_merge("text", MERGES, FIXES).alias("repaired")
     ),
     token_merge_sql(),

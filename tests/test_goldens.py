@@ -80,7 +80,7 @@ def test_drift_flags(spark):
 
 
 def staged(spark):
-    return served(spark).drop("abs_error", "control_abs_error").withColumn("ratecode_id", F.lit(1.0))
+    return served(spark).drop("abs_error", "control_abs_error")
 
 
 def test_fix_accepted(spark):
