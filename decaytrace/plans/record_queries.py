@@ -370,7 +370,7 @@ def stream(spark, d):
 
 
 register(
-    "stream_monitors", lambda spark, d: stream(spark, d).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn("window_end", F.col("window_end").cast("timestamp_ntz")),
+    "stream_monitors", stream,
     """
 WITH w AS (SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS row_volume, count(*) FILTER (value IS NULL) AS null_count,
   count(*) FILTER (value = 0) AS zero_count, count(*) FILTER (value < 0) AS negative_count, min(value) AS min_value, max(value) AS max_value,

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.numbers import round_n
+from ..functions.times import as_instant, as_wall_clock
 from ..session import scratch_path
 
 
@@ -21,7 +22,7 @@ def stream_monitors(
     """
     v = F.col(column)
     return (
-        events.withColumn(time, F.col(time).cast("timestamp"))
+        events.withColumn(time, as_instant(time))
         .withWatermark(time, delay)
         .groupBy(F.window(time, width), *by)
         .agg(
@@ -34,7 +35,7 @@ def stream_monitors(
             round_n(F.avg(v), 4).alias("avg_value"),
         )
         .select(
-            F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *by,
+            as_wall_clock("window.start").alias("window_start"), as_wall_clock("window.end").alias("window_end"), *by,
             "row_volume", "null_count", "zero_count", "negative_count", "min_value", "max_value", "avg_value",
         )
     )
