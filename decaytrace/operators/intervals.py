@@ -4,7 +4,7 @@ One series may hold a large share of all rows, so no window here spans a whole
 series. Rows are cut into (series, chunk) groups by time, each group is reduced on
 its own, and what crosses a chunk border is carried by a second window that sees
 one row per chunk. ``width`` is the chunk length in the unit of the time column;
-choose it so that one chunk of the busiest series fits a task.
+``chunk_width`` derives it from the busiest series, so a chunk fits a task at any size.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ FLOOR_OFFSET, SPEECH_OFFSET = 25.0, 30.0
 SNAP_LIMIT = 0.9
 INSIDE_FRACTION = 0.5
 
+# Rows of one series that a task should see at once.
+ROWS_PER_CHUNK = 1_000_000
+
 # Rank error of the quantile sketch is n / ACCURACY; the bracket is far wider than that.
 ACCURACY, BRACKET = 10000, 0.001
 
@@ -28,6 +31,17 @@ def chunk_of(t: Column | str, width: float) -> Column:
     return F.floor((F.col(t) if isinstance(t, str) else t) / F.lit(float(width))).cast("bigint")
 
 
+def chunk_width(df: DataFrame, key: str, time: str, default: float, rows: int = ROWS_PER_CHUNK) -> float:
+    """Chunk length at which the busiest series has about ``rows`` rows per chunk.
+
+    One pass of partial aggregates; a single number comes back. It assumes that a
+    series is roughly even over time: pass a shorter length for one that is not.
+    """
+    per_series = df.groupBy(key).agg(F.count("*").alias("n"), (F.max(time) - F.min(time)).alias("span"))
+    needed = per_series.filter(F.col("n") > rows).agg(F.min(F.col("span") / F.ceil(F.col("n") / rows))).first()[0]
+    return default if not needed else min(default, float(needed))
+
+
 # ------------------------------------------------------------------ level threshold
 
 def order_statistics(df: DataFrame, key: str, value: str, shares: Sequence[float], ranks: Sequence[Column]) -> DataFrame:

@@ -20,6 +20,11 @@ def series(spark, d):
     return fx.table(spark, d, "events").select(KEY, "event_id", epoch_double("ts").alias("t"), "value", "event_type")
 
 
+def width(spark, d):
+    """Two days, or less where a user has too many events for that."""
+    return iv.chunk_width(series(spark, d), KEY, "t", WIDTH)
+
+
 EVENTS = "e AS (SELECT user_id, event_id, CAST(epoch_us(ts) AS DOUBLE) / CAST(1e6 AS DOUBLE) AS t, value, event_type FROM events)"
 
 
@@ -38,7 +43,7 @@ register("adaptive_threshold", thresholds, fx.oracle(THRESHOLD, "SELECT * FROM t
 
 def below_threshold(spark, d, **options):
     levels = series(spark, d).join(thresholds(spark, d).select(KEY, "threshold"), KEY)
-    return iv.below_runs(levels, KEY, "t", F.col("value") < F.col("threshold"), WIDTH, tie="event_id", **options)
+    return iv.below_runs(levels, KEY, "t", F.col("value") < F.col("threshold"), width(spark, d), tie="event_id", **options)
 
 
 RUNS = THRESHOLD + """,
@@ -67,7 +72,7 @@ def busy(spark, d):
 
 
 def merged(spark, d):
-    return iv.merge_intervals(busy(spark, d), KEY, WIDTH)
+    return iv.merge_intervals(busy(spark, d), KEY, width(spark, d))
 
 
 MERGED = EVENTS + """,
@@ -86,7 +91,7 @@ def spans(spark, d):
 
 register(
     "keep_ranges",
-    lambda spark, d: iv.keep_ranges(merged(spark, d), spans(spark, d), KEY, WIDTH),
+    lambda spark, d: iv.keep_ranges(merged(spark, d), spans(spark, d), KEY, width(spark, d)),
     fx.oracle(MERGED, f"""
 , p AS (SELECT *, coalesce(lag("end") OVER (PARTITION BY user_id ORDER BY start), {ORIGIN}) AS prev FROM merged)
 SELECT user_id, prev AS start, start AS "end" FROM p WHERE start > prev
@@ -96,7 +101,7 @@ register(
     "overlap_fraction",
     lambda spark, d: iv.overlap_fraction(
         series(spark, d).select(KEY, "event_id", (F.col("t") - HOUR).alias("start"), (F.col("t") + F.col("value") * F.lit(120.0)).alias("end")),
-        iv.merge_intervals(busy(spark, d).filter(F.col("end") - F.col("start") > 6 * HOUR), KEY, WIDTH), KEY, WIDTH,
+        iv.merge_intervals(busy(spark, d).filter(F.col("end") - F.col("start") > 6 * HOUR), KEY, width(spark, d)), KEY, width(spark, d),
     ).select(KEY, "event_id", "in_drop"),
     fx.oracle(EVENTS, f"""
 , b AS (SELECT user_id, t AS start, t + value * CAST(600 AS DOUBLE) AS "end" FROM e WHERE (t + value * CAST(600 AS DOUBLE)) - t > {6 * HOUR}),
@@ -112,7 +117,7 @@ register(
     "nearest_snap",
     lambda spark, d: iv.nearest_snap(
         series(spark, d).filter(F.col("event_type") == "purchase").select(KEY, "event_id", "t"),
-        below_threshold(spark, d, min_len=60.0, keep_trailing=False), KEY, "t", WIDTH, SNAP,
+        below_threshold(spark, d, min_len=60.0, keep_trailing=False), KEY, "t", max(width(spark, d), SNAP), SNAP,
     ),
     fx.oracle(RUNS, f"""
 , mids AS (SELECT user_id, (start + "end") / CAST(2 AS DOUBLE) AS mid FROM runs WHERE NOT open_end AND "end" - start >= 60),

@@ -158,3 +158,9 @@ def test_anchors(spark):
         ("c", "x", 0, 3, True, True), ("c", "y", 3, 6, True, True), ("d", "y", 0, 3, True, False)]
     out = iv.anchor_ranges(segs, "conv", "turn", [("x", "december"), ("y", "vendor")])
     assert [r for r in result(out, "conv", "anchor", "in_order") if r[0] == "d"] == [("d", "x", False), ("d", "y", False)]
+
+
+def test_chunk_width_follows_the_busiest_series(spark):
+    df = spark.range(1000).selectExpr("if(id < 900, 'hot', 'cold') k", "cast(id as double) t")
+    assert iv.chunk_width(df, "k", "t", 1e9, rows=100) == 899.0 / 9
+    assert iv.chunk_width(df, "k", "t", 1e9, rows=5000) == 1e9
