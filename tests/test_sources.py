@@ -59,3 +59,14 @@ def test_intermediate_results_go_to_the_shared_folder(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     plan = materialize(spark.range(10).groupBy().count())._jdf.queryExecution().toString()
     assert shared_dir(spark) in plan
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace as Fake
+
+    import pytest
+
+    unset = Fake(get=lambda *_: None)
+    cluster = Fake(conf=unset, sparkContext=Fake(getConf=lambda: unset, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
