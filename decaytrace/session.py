@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     )
     if configured:
         return configured
-    if not sc.master.startswith("local"):
+    if not re.match(r"local(\[|$)", sc.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     fallback = tempfile.mkdtemp(prefix="decaytrace-")
     spark.conf.set("spark.checkpoint.dir", fallback)
