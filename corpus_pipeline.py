@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from decaytrace.llm import minhash, packing, substrings
+from decaytrace.llm import classifier, minhash, packing, secrets, substrings
 from decaytrace.llm.common import table
 from decaytrace.llm.queries import tokenizer_settings
 from decaytrace.session import materialize
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return classifier.keep_good(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.drop_near_duplicates(docs)
 
@@ -18,13 +22,19 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return substrings.remove_repeats(docs)
 
 
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs, secrets.train(secrets.labelled_findings(spark)))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_settings())
 
 
 STAGES = [
+    ("quality classifier", quality),
     ("MinHash near-dedup", near_dedup),
     ("substring dedup", substring_dedup),
+    ("secret scans", secret_scan),
     ("best-fit packing", best_fit_packing),
 ]
 

@@ -30,6 +30,14 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Bound what crosses to Python at once by bytes, where the session leaves it to Spark: rows
+    of blocks and very long texts are large, and a batch is counted in rows otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, most)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer, element by element."""
     x = x.astype(np.uint64, copy=True)

@@ -7,13 +7,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .common import by_bytes, id_and_text, long_list, mixed, odd_numbers, shingle_hashes
+from .common import by_bytes, id_and_text, long_list, mixed, odd_numbers, shingle_hashes, small_batches
 from .graph import components
 
 MANTISSA = 10  # bits kept after the leading one
@@ -205,31 +204,16 @@ def links_in(rows: list[tuple[int, np.ndarray]], others: list[tuple[int, np.ndar
     return found
 
 
-def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The rows of one block as one row."""
-    sets = pdf["members"].tolist()
-    return pd.DataFrame({
-        "block": [pdf["block"].iloc[0]],
-        "nodes": [pdf["node"].to_numpy(np.int64).tobytes()],
-        "sizes": [np.array([len(s) // 8 for s in sets], np.int64).tobytes()],
-        "sets": [b"".join(sets)],
-    })
-
-
-def _unpacked(nodes: bytes, sizes: bytes, sets: bytes) -> list[tuple[int, np.ndarray]]:
-    ends = np.cumsum(np.frombuffer(sizes, np.int64))
-    values = np.frombuffer(sets, np.uint64)
-    return [(int(n), values[e - s : e]) for n, s, e in zip(np.frombuffer(nodes, np.int64), np.frombuffer(sizes, np.int64), ends, strict=True)]
-
-
 def _confirm(job: NearDup):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for r in pdf.itertuples(index=False):
-                one = _unpacked(r.nodes, r.sizes, r.sets)
-                two = None if r.same else _unpacked(r.nodes2, r.sizes2, r.sets2)
-                found = links_in(one, two, job)
-                yield pd.DataFrame({"a": [x for x, _ in found], "b": [y for _, y in found]}, dtype="int64")
+    def block(nodes: list[int], sets: list[bytes]) -> list[tuple[int, np.ndarray]]:
+        return [(n, np.frombuffer(s, np.uint64)) for n, s in zip(nodes, sets, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                found = links_in(block(r["nodes"], r["sets"]), None if r["same"] else block(r["nodes2"], r["sets2"]), job)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     return run
 
@@ -269,8 +253,8 @@ def confirmed_links(docs: DataFrame, cells: DataFrame, job: NearDup) -> DataFram
     named = F.concat_ws("/", "cell", "class", "part")
     blocks = materialize(
         sized.join(counts, ["cell", "class"])
-        .withColumn("part", F.pmod(F.xxhash64("node", "n"), F.col("blocks")))
-        .select(named.alias("block"), "node", "members").groupBy("block").applyInPandas(_packed, "block string, nodes binary, sizes binary, sets binary"),
+        .select(F.concat_ws("/", "cell", "class", F.pmod(F.xxhash64("node", "n"), F.col("blocks"))).alias("block"), "node", "members")
+        .groupBy("block").agg(F.collect_list("node").alias("nodes"), F.collect_list("members").alias("sets")),
         "blocks",
     )
     own = counts.select("cell", "class", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"))
@@ -281,11 +265,10 @@ def confirmed_links(docs: DataFrame, cells: DataFrame, job: NearDup) -> DataFram
         named.alias("one"),
         F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("further") - 1), lambda p: F.concat_ws("/", "cell", F.col("class") + 1, p))).alias("two"),
     )
-    second = blocks.select(F.col("block").alias("two"), F.col("nodes").alias("nodes2"), F.col("sizes").alias("sizes2"), F.col("sets").alias("sets2"))
+    second = blocks.select(F.col("block").alias("two"), F.col("nodes").alias("nodes2"), F.col("sets").alias("sets2"))
     pairs = within.unionByName(across)
     met = pairs.join(blocks, pairs.one == blocks.block).drop("block").join(second, "two").withColumn("same", F.col("one") == F.col("two"))
-    tasks = met.select("same", "nodes", "sizes", "sets", "nodes2", "sizes2", "sets2")
-    return tasks.mapInPandas(_confirm(job), "a long, b long")
+    return met.select("same", "nodes", "sets", "nodes2", "sets2").mapInArrow(_confirm(job), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, job: NearDup = NearDup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,6 +283,7 @@ def near_duplicates(docs: DataFrame, job: NearDup = NearDup(), id_col: str = "do
     takes no part: component_id is null and it is kept. Ties cannot occur, ids decide. No
     rows give no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     source = id_and_text(docs, id_col, text_col)
     signed = materialize(signatures(source, job), "signatures")
     classes = materialize(

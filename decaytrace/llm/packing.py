@@ -299,7 +299,7 @@ def pack(docs: DataFrame, job: Packing) -> DataFrame:
         loose = placed.where(F.col("filled") < job.capacity - job.capacity // 256)
         left = loose.count() if blocks > 1 else 0
         settled = placed if not left else placed.where(F.col("filled") >= job.capacity - job.capacity // 256)
-        if left * 2 > count:  # the items themselves leave the gaps; another round would gain little
+        if left * 10 > count * 9:  # the items themselves leave the gaps; another round would gain little
             settled, left = placed, 0
         done.append(settled.select("row", (((F.col("block") * (1 << 20) + F.col("bin")) * 16 + level) * 2).alias("sequence_id"), "offset"))
         items, count, level = loose.select("row", "length"), left, level + 1

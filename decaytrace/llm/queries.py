@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash, packing, substrings
+from ..session import scratch_path
+from . import balltree, classifier, licenses, minhash, packing, rules, secrets, sentencepieces, substrings, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,17 +33,64 @@ def tokenizer_settings() -> packing.Packing:
     )
 
 
+@query("op1_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in every document, with its coverage and place."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op2_warc_salvage")
+def warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page to WARC archives and read them back with the salvage reader."""
+    rows = warc.round_trip(spark, table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return rows.where("gap_reason is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op3_substring_dedup")
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its repeated passages cut out, the cut spans and where they were first."""
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), details=True)
 
 
+@query("op4_exact_top_k")
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest integer inner products of every fiftieth vector with all the others."""
+    return balltree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op5_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_settings())
 
 
+@query("op6_quality_rules", rules.SQL)
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@query("op7_sentencepiece")
+def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding them gives the text back."""
+    import public_tokenizers
+
+    return sentencepieces.encode_and_decode(table(spark, sf_dir, "documents"), sentencepieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 @query("op8_minhash_near_dedup")
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.NearDup(width=3, percent=85))
+
+
+@query("op9_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Co-trained on a bounded sample of the labels, then every document is scored."""
+    docs = table(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op10_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate in every document with the forest's verdict."""
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
