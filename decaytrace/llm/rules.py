@@ -43,30 +43,32 @@ RULES = (
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_exclamations", "n_stop_words", "n_lines")
 
 
-def _covered(windows: Column, width: int) -> Column:
-    """Words in windows that occur twice or more: equal windows are neighbours once sorted, and
-    each repeated window adds the words up to the next one."""
-    n = F.size(windows)
-    pairs = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-
-    def repeated(x: Column, k: Column) -> Column:
-        return F.coalesce(F.get(pairs, k - 1)["w"] == x["w"], F.lit(False)) | F.coalesce(F.get(pairs, k + 1)["w"] == x["w"], F.lit(False))
-
-    at = F.array_sort(F.transform(F.filter(pairs, repeated), lambda x: x["i"]))
-    steps = F.transform(at, lambda p, k: F.least(F.lit(width), F.coalesce(F.get(at, k + 1) - p, F.lit(width))))
-    total = F.aggregate(steps, F.lit(0), lambda acc, s: acc + s)
-    return F.when(n > F.size(F.array_distinct(windows)), total).otherwise(0)
-
-
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """doc_id and the measures of each whole text, as longs, in one projection over the scan."""
+    """doc_id and the measures of each whole text, as longs, in projections over the scan.
+
+    Every array that a lambda reads is a column of the projection below, so it is made once
+    per row. Repeated windows: equal ones are neighbours once sorted by words and place, and
+    each of them adds the words up to the next one.
+    """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.withColumns({
         "words": F.filter(F.split("text", BLANKS), lambda w: w != ""),
         "lines": F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
     })
-    places = F.when(F.size("words") >= width, F.sequence(F.lit(0), F.size("words") - width)).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<int>")
+    places = F.when(F.size("words") >= width, F.sequence(F.lit(0), F.size("words") - width)).otherwise(none)
     d = d.withColumn("windows", F.transform(places, lambda i: F.concat_ws(" ", *[F.get(F.col("words"), i + k) for k in range(width)])))
+    pairs = F.array_sort(F.transform("windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    d = d.withColumn("pairs", F.when(F.size("windows") > F.size(F.array_distinct("windows")), pairs))
+
+    def repeated(x: Column, k: Column) -> Column:
+        def same(other: Column) -> Column:
+            return F.coalesce(F.get(F.col("pairs"), other)["w"] == x["w"], F.lit(False))
+
+        return same(k - 1) | same(k + 1)
+
+    d = d.withColumn("at", F.array_sort(F.transform(F.filter("pairs", repeated), lambda x: x["i"])))
+    steps = F.transform("at", lambda p, k: F.coalesce(F.least(F.lit(width), F.get(F.col("at"), k + 1) - p), F.lit(width)))
     stop = F.filter("words", lambda w: F.lower(w).isin(*STOP_WORDS))
 
     def without(pattern: str) -> Column:
@@ -74,7 +76,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     made = {
         "n_words": F.size("words"), "word_chars": F.length(F.array_join("words", "")), "n_symbols": without("[#*$%&|<>]+"),
-        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")), "n_repeat_words": _covered(F.col("windows"), width),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_repeat_words": F.coalesce(F.aggregate(steps, F.lit(0), lambda acc, s: acc + s), F.lit(0)),
         "n_exclamations": without("!+"), "n_stop_words": F.size(stop), "n_lines": F.size("lines"),
     }
     return d.select("doc_id", *[made[m].cast("long").alias(m) for m in MEASURES])

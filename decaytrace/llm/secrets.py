@@ -152,26 +152,29 @@ def compiled(model: RandomForestClassificationModel, values: Column) -> Column:
     return total / len(trees)
 
 
-def found(text: Column, path: Column, model: RandomForestClassificationModel) -> Column:
-    """All candidates of a text as structs (word_no, value, score), in order of appearance.
+def with_candidates(docs: DataFrame, model: RandomForestClassificationModel, path_col: str) -> tuple[DataFrame, str]:
+    """``docs`` with all candidates of each text as structs (word_no, value, score), in order
+    of appearance, in one more column, whose name is returned too.
 
     A candidate is a run of at least twelve letters, digits and ``_ + / -`` with a letter and a
-    digit, within a word. Words that hold none cost one pattern test.
+    digit, within a word. Texts without one cost a pattern test; what a lambda reads of the
+    whole text is a column of the projection below it, made once per row.
     """
-    words = F.split(F.coalesce(text, F.lit("")), BLANKS)
-    numbered = F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w")))
-    suspects = F.filter(numbered, lambda x: x["w"].rlike("[0-9]") & x["w"].rlike(CANDIDATE))
+    words, result = fresh(docs, "words_of_text"), fresh(docs, "candidates_of_text")
+    path = docs[path_col] if path_col in docs.columns else F.lit("")
+    text = F.when(_suspect(docs["text"]), docs["text"]).otherwise("")
+    docs = docs.withColumn(words, F.split(text, BLANKS))
+    suspects = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].rlike("[0-9]") & x["w"].rlike(CANDIDATE))
 
     def of_word(x: Column) -> Column:
-        before = F.concat_ws(" ", F.get(words, x["i"] - 2), F.get(words, x["i"] - 1))
-        after = F.get(words, x["i"] + 1)
+        before = F.concat_ws(" ", F.get(F.col(words), x["i"] - 2), F.get(F.col(words), x["i"] - 1))
+        after = F.get(F.col(words), x["i"] + 1)
         values = F.filter(F.regexp_extract_all(x["w"], F.lit(CANDIDATE), F.lit(0)), lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
-        return F.transform(
-            values, lambda v: F.struct(x["i"].alias("word_no"), v.alias("value"), features(v, x["w"], before, after, path).alias("f"))
-        )
+        return F.transform(values, lambda v: F.struct(x["i"].alias("word_no"), v.alias("value"), features(v, x["w"], before, after, path).alias("f")))
 
     candidates = F.flatten(F.transform(suspects, of_word))
-    return F.transform(candidates, lambda c: F.struct(c["word_no"], c["value"], compiled(model, c["f"]).alias("score")))
+    scored = F.transform(candidates, lambda c: F.struct(c["word_no"], c["value"], compiled(model, c["f"]).alias("score")))
+    return docs.withColumn(result, scored).drop(words), result
 
 
 def _suspect(text: Column) -> Column:
@@ -186,8 +189,9 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, job: Forest =
     reported with their findings. Repeated rows give repeated findings, a value that stands
     twice in a text gives two. No shuffle; other columns are not read. No rows give no rows.
     """
-    path = docs[path_col] if path_col in docs.columns else F.lit("")
-    hit = docs.where(_suspect(docs["text"])).select(docs["doc_id"].cast("long").alias("doc_id"), F.explode(found(docs["text"], path, model)).alias("c"))
+    wanted = ["doc_id", "text", *([path_col] if path_col in docs.columns else [])]
+    found, name = with_candidates(docs.select(*wanted), model, path_col)
+    hit = found.where(F.size(name) > 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(name).alias("c"))
     return hit.select("doc_id", F.col("c.word_no").cast("long").alias("word_no"), "c.value", "c.score", (F.col("c.score") >= job.threshold).alias("is_secret"))
 
 
@@ -195,13 +199,13 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, job: Forest
     """``docs`` with every confirmed secret in ``text`` replaced by ``mark``; rows and columns
     stay, ``n_chars`` (where there is one) follows the new text. Texts without a secret are
     not touched; a null stays null."""
-    path = docs[path_col] if path_col in docs.columns else F.lit("")
-    old = fresh(docs, "old_text")
+    found, name = with_candidates(docs, model, path_col)
     # longest first: a secret may be part of another
-    values = F.transform(F.filter(found(F.col("text"), path, model), lambda c: c["score"] >= job.threshold), lambda c: F.struct(-F.length(c["value"]), c["value"].alias("v")))
-    cleaned = F.aggregate(F.array_sort(F.array_distinct(values)), F.col("text"), lambda acc, s: F.replace(acc, s["v"], F.lit(mark)))
-    out = docs.withColumn(old, F.col("text")).withColumn("text", F.when(_suspect(F.col("text")), cleaned).otherwise(F.col("text")))
+    values = F.transform(F.filter(name, lambda c: c["score"] >= job.threshold), lambda c: F.struct((-F.length(c["value"])).alias("n"), c["value"].alias("v")))
+    secrets = fresh(found, "secrets_of_text")
+    found = found.withColumn(secrets, F.array_sort(F.array_distinct(values)))
+    cleaned = F.aggregate(secrets, F.col("text"), lambda acc, s: F.replace(acc, s["v"], F.lit(mark)))
+    out = {"text": F.when(F.size(secrets) > 0, cleaned).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("text") != F.col(old), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.drop(old)
+        out["n_chars"] = F.when(F.size(secrets) > 0, F.length(cleaned).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumns(out).select(*docs.columns)
