@@ -99,30 +99,39 @@ def attribution_all(df: DataFrame, segment: str, time: str = "pickup_at") -> Dat
     one-row subquery over the grouped result, not another scan.
     """
     per_segment = materialize(
-        df.filter(F.col(segment).isNotNull())
-        .groupBy(F.col(segment).alias("segment"))
+        df.groupBy(F.col(segment).alias("segment"))
         .agg(
-            F.count("*").alias("n"), F.sum(ERROR).alias("e"), F.sum(CONTROL).alias("c"),
+            F.count("*").alias("n"), F.count(ERROR).alias("ne"), F.count(CONTROL).alias("nc"), F.sum(ERROR).alias("e"), F.sum(CONTROL).alias("c"),
             F.sum(F.col(ERROR) - F.col(CONTROL)).alias("d"), F.sum(TARGET).alias("t"),
             F.min(time).alias("first_affected_at"), F.max(time).alias("last_affected_at"),
         ),
         "segments",
     )
-    total = per_segment.agg(F.struct(F.sum("n").alias("n"), F.sum("e").alias("e"), F.sum("c").alias("c"))).scalar()
-    with_total = per_segment.withColumn("all", total)
-    rest = F.nullif(F.col("all.n") - F.col("n"), F.lit(0))
-    lift = round_n((F.col("all.e") - F.col("e")) / rest - (F.col("all.c") - F.col("c")) / rest, 6)
+    named = per_segment.filter(F.col("segment").isNotNull())
+    parts = ("n", "ne", "nc", "e", "c")
+    total = named.agg(F.struct(*[F.sum(x).alias(x) for x in parts])).scalar()
+    unnamed = per_segment.filter(F.col("segment").isNull()).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    with_total = named.withColumn("all", total).withColumn("null_segment_rows", unnamed)
+
+    def mean(of: str, count: str) -> Column:
+        """Of the rows that have the error: a row without one takes no part in its mean."""
+        return F.col(of) / F.nullif(F.col(count), F.lit(0))
+
+    def rest(of: str, count: str) -> Column:
+        return (F.coalesce(F.col(f"all.{of}"), F.lit(0.0)) - F.coalesce(F.col(of), F.lit(0.0))) / F.nullif(F.col(f"all.{count}") - F.col(count), F.lit(0))
+
+    lift = round_n(rest("e", "ne") - rest("c", "nc"), 6)
     sized = with_total.select(
         "segment",
         F.col("n").alias("affected_rows"),
-        round_n(F.col("e") / F.col("n"), 4).alias("production_mae"),
-        round_n(F.col("c") / F.col("n"), 4).alias("control_mae"),
-        round_n(F.col("e") / F.col("n") - F.col("c") / F.col("n"), 4).alias("naive_mae_per_row"),
+        round_n(mean("e", "ne"), 4).alias("production_mae"),
+        round_n(mean("c", "nc"), 4).alias("control_mae"),
+        round_n(mean("e", "ne") - mean("c", "nc"), 4).alias("naive_mae_per_row"),
         round_n("d", 2).alias("naive_amount"),
         round_n("t", 2).alias("gross_amount_exposed"),
         (F.col("all.n") - F.col("n")).alias("baseline_rows"),
         F.coalesce(lift, F.lit(0.0)).alias("lift"),
-        "first_affected_at", "last_affected_at",
+        "null_segment_rows", "first_affected_at", "last_affected_at",
     )
     return sized.select(
         *[c for c in sized.columns if c != "lift"],

@@ -39,7 +39,7 @@ def diagnose(
     then the larger cost. ``root_columns`` (feature, root_column) marks inputs
     whose lineage really reaches the column.
     """
-    fresh = profile.scan_codes(feed, columns, period, null_as_code=False, limit=profile.MAX_CATEGORIES)
+    fresh = profile.scan_codes(feed, columns, period, null_as_code=False)
     present = [c for c in columns if c in scored.columns]
     damage = reduce(lambda a, b: a.unionByName(b), [segment_damage(scored, c, inputs) for c in present])
     findings = fresh.join(damage, ["column", "code"], "left")
@@ -60,7 +60,7 @@ def diagnose(
     scoredf = routed.withColumn(
         "signals", F.col("unmapped_category").cast("int") + (F.size("collapsed_inputs") > 0).cast("int")
     ).withColumn("defines_damage", (F.col("did_amount") > 0) & (F.col("signals") > 0))
-    # few rows by now: at most the categorical limit per scanned column
+    # one row per new code by now
     order = Window.orderBy(
         F.desc("defines_damage"), F.desc("signals"), F.desc("did_amount"), "first_seen", "column", "code"
     )
@@ -124,10 +124,16 @@ def results_tables(
         return df.select(F.lit(section).alias("section"), key.cast("string").alias("key"),
                          *[c.alias(n) for c, n in zip(padded, "abcd")])
 
+    def listed(by):
+        # a list only where the gate bounds it, else the number of values
+        shown = F.when(F.col("is_categorical"), F.col("value"))
+        joined = F.array_join(F.array_sort(F.collect_list(shown)), ", ")
+        return F.when(F.first("is_categorical"), joined).otherwise(F.concat(F.count("*").cast("string"), F.lit(" values"))).alias(by)
+
     new = profile.new_values(feed, segment, period).groupBy(F.col("first_seen").alias(period)).agg(
-        F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("new"), F.sum("rows_in_first_period").alias("n")
+        listed("new"), F.sum("rows_in_first_period").alias("n")
     )
-    values = profile.value_sets(feed, segment, period).join(new, period, "left")
+    values = profile.value_sets(feed, segment, period).groupBy(period).agg(listed("values")).join(new, period, "left")
     verdicts = monitors.monitor_sweep({"source": (feed, segment), "derived": (mart, derived)}, period)
     fires = lambda layer: F.max(F.when(F.col("layer") == layer, F.when(F.col("fires"), "FIRES").otherwise("silent")))
     by_monitor = verdicts.groupBy("monitor").agg(fires("source").alias("s"), fires("derived").alias("d"))
@@ -135,7 +141,7 @@ def results_tables(
     segments = drift.drift_report(scored, segment, inputs)
     impact = attribution.attribution_all(scored, segment).filter(F.col("segment") == F.lit(value))
     parts = [
-        rows(values, "values", F.col(period), F.array_join("values", ", "), F.col("new"), text("n")),
+        rows(values, "values", F.col(period), F.col("values"), F.col("new"), text("n")),
         rows(by_monitor, "monitors", F.col("monitor"), F.col("s"), F.col("d")),
         rows(zeros, "zero_share", F.col(period), text("zero_count"),
              text(F.lit(100.0) * F.col("zero_count") / F.nullif(F.col("row_volume").cast("double"), F.lit(0.0)), 4)),

@@ -7,10 +7,10 @@ struct (affected_rows, naive_mae_per_row, naive_amount, did_mae_per_row, did_amo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
 
-TITLE_LENGTH = 200
-LISTED_FEATURES = 4
 ACTIVE, RESOLVED = "ACTIVE", "RESOLVED"
 
 
@@ -28,35 +28,33 @@ def bullets(items: Column) -> Column:
     return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
 
 
-def incident_rows(findings: DataFrame) -> DataFrame:
+#: How an incident reads: heading and column of a finding, in the order of its schema.
+LAYOUT = (
+    ("What changed", "change"), ("How it does damage", "mechanism"), ("Silence of the monitors", "why_missed"),
+    ("Remedy", "fix"), ("Damaged inputs", "features"), ("Measured", "proven"), ("Concluded", "inferred"),
+)
+
+
+def incident_rows(findings: DataFrame, layout: Sequence[tuple[str, str]] = LAYOUT) -> DataFrame:
     """One incident per finding, raised on the source dataset.
 
-    Total and per-row cost come from the same estimator, so they multiply.
+    The description opens with where the damage sits and what it costs (total and per-row
+    cost come from the same estimator, so they multiply) and then has a section for every
+    column that ``layout`` names; arrays become lists. The title is the whole headline.
     """
     amount, per_row = prefer_did("amount"), prefer_did("mae_per_row")
-    cost = F.concat_ws(
-        "\n",
-        F.concat(F.lit("- attributable error: "), F.format_number(amount, 2)),
-        F.concat(F.lit("- affected rows: "), F.format_number(F.col("impact.affected_rows"), 0)),
-        F.concat(F.lit("- attributable error per row: "), F.format_number(per_row, 4)),
-    )
-    description = F.concat_ws(
-        "\n\n",
-        F.col("headline"),
-        F.concat(F.lit("Model: "), F.col("model")),
-        section("Change", F.col("change")),
-        section("Mechanism", F.col("mechanism")),
-        section("Why monitors were silent", F.col("why_missed")),
-        section("Cost", cost),
-        section("Fix", F.col("fix")),
-        section("Inputs", bullets(F.col("features"))),
+    lead = F.concat(
+        F.concat_ws(".", "dataset", "column"), F.lit(" -> "), F.col("model"), F.lit(": "), F.format_number(amount, 2), F.lit(" = "),
+        F.format_number(F.col("impact.affected_rows"), 0), F.lit(" rows x "), F.format_number(per_row, 4),
     )
+    kinds = dict(findings.dtypes)
+    sections = [section(title, bullets(F.col(c)) if kinds[c].startswith("array") else F.col(c)) for title, c in layout]
     return findings.select(
         F.col("dataset"),
         F.lit("CUSTOM").alias("incident_type"),
         F.lit("Semantic drift").alias("custom_type"),
-        F.substring("headline", 1, TITLE_LENGTH).alias("title"),
-        description.alias("description"),
+        F.col("headline").alias("title"),
+        F.concat_ws("\n\n", lead, *sections).alias("description"),
         amount.alias("amount"),
         F.lit("HIGH").alias("priority"),
         F.lit(ACTIVE).alias("state"),
@@ -72,27 +70,23 @@ def supersede_incidents(ledger: DataFrame, new: DataFrame, on: str = "dataset")
 
 
 def annotate_column(catalog: DataFrame, findings: DataFrame, features: DataFrame) -> DataFrame:
-    """Append a finding to the description of its column and name its first features.
+    """Append the findings of a column to its description, with all features it feeds.
 
-    The first few features per column are picked by a rank that Spark applies
-    before the shuffle, so a column with very many features is not gathered.
+    One row per catalog row: several findings of a column become one note each, in order.
+    A column without a description gets the note alone.
     """
     key = ["dataset", "column"]
-    w = Window.partitionBy(*key).orderBy("feature")
-    listed = (
-        features.select(*key, "feature")
-        .withColumn("_rank", F.row_number().over(w))
-        .filter(F.col("_rank") <= LISTED_FEATURES)
-        .groupBy(*key)
-        .agg(F.array_join(F.array_sort(F.collect_list("feature")), ", ").alias("_features"))
-    )
-    noted = catalog.join(findings.select(*key, "change"), key, "left").join(listed, key, "left")
-    note = F.concat(
-        F.lit("\n\n[decay] "), F.col("change"),
-        F.coalesce(F.concat(F.lit(" Feeds "), F.col("_features"), F.lit(".")), F.lit("")),
+    listed = features.select(*key, "feature").distinct().groupBy(*key).agg(
+        F.count("*").alias("_n"), F.array_join(F.array_sort(F.collect_list("feature")), ", ").alias("_features")
     )
+    changes = findings.groupBy(*key).agg(F.array_sort(F.collect_list("change")).alias("_changes"))
+    noted = catalog.join(changes, key, "left").join(listed, key, "left")
+    feeds = F.coalesce(F.concat(F.lit(" Feeds "), F.col("_n").cast("string"), F.lit(": "), F.col("_features"), F.lit(".")), F.lit(""))
+    notes = F.transform("_changes", lambda c: F.concat(F.lit("[decay] "), c, feeds))
     return noted.select(
-        *key, F.concat(F.col("description"), F.coalesce(note, F.lit(""))).alias("description")
+        *key,
+        F.when(F.col("_changes").isNull(), F.col("description"))
+        .otherwise(F.concat_ws("\n\n", F.nullif("description", F.lit("")), F.array_join(notes, "\n\n"))).alias("description"),
     )
 
 
@@ -109,10 +103,12 @@ def drop_marked(documents: DataFrame, prefix: str) -> DataFrame:
 
 
 def restore_notes(catalog: DataFrame, originals: DataFrame) -> DataFrame:
-    """Put back the recorded description of every column that has one."""
+    """Put back the recorded description of every column that was recorded, an empty one too."""
     key = ["dataset", "column"]
-    kept = originals.select(*key, F.col("description").alias("_original"))
-    return catalog.join(kept, key, "left").select(*key, F.coalesce("_original", "description").alias("description"))
+    kept = originals.select(*key, F.col("description").alias("_original"), F.lit(True).alias("_recorded"))
+    return catalog.join(kept, key, "left").select(
+        *key, F.when(F.col("_recorded"), F.col("_original")).otherwise(F.col("description")).alias("description")
+    )
 
 
 def ledger_state(incidents: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -41,29 +41,20 @@ def low_card_gate(df: DataFrame, column: str, period: str = "feed_month", limit:
     )
 
 
-def value_counts(
-    df: DataFrame, column: str, period: str = "feed_month", limit: int | None = MAX_CATEGORIES
-) -> DataFrame:
-    """Rows per period and value, NULL as its own group; empty if not categorical.
+def value_counts(df: DataFrame, column: str, period: str = "feed_month", limit: int = MAX_CATEGORIES) -> DataFrame:
+    """Rows per period and value, NULL as its own group, and whether the column is categorical.
 
+    Every value is there whatever the gate says; the caller decides by ``is_categorical``.
     The counts are written once; the gate is a one-row subquery over them.
     """
     counts = materialize(per_value(df, column, period), "values")
-    named = counts.select(period, F.col(column).cast("string").alias("value"), F.col("_n").alias("rows"))
-    if limit is None:
-        return named
     gate = cardinality_of(counts, column, period).agg(F.max("distinct_values") <= limit).scalar()
-    return named.filter(gate)
+    return counts.select(period, F.col(column).cast("string").alias("value"), F.col("_n").alias("rows"), gate.alias("is_categorical"))
 
 
 def value_sets(df: DataFrame, column: str, period: str = "feed_month", limit: int = MAX_CATEGORIES) -> DataFrame:
-    """Sorted values per period. The gate bounds each list before it is built."""
-    return (
-        value_counts(df, column, period, limit)
-        .filter(F.col("value").isNotNull())
-        .groupBy(period)
-        .agg(F.array_sort(F.collect_list("value")).alias("values"))
-    )
+    """The values of each period, one row per (period, value)."""
+    return value_counts(df, column, period, limit).filter(F.col("value").isNotNull()).select(period, "value", "is_categorical")
 
 
 def first_seen(counts: DataFrame, period: str) -> DataFrame:
@@ -71,19 +62,18 @@ def first_seen(counts: DataFrame, period: str) -> DataFrame:
     return (
         counts.filter(F.col("value").isNotNull())
         .groupBy("value")
-        .agg(F.min(period).alias("first_seen"), F.min_by("rows", period).alias("rows_in_first_period"))
+        .agg(
+            F.min(period).alias("first_seen"), F.min_by("rows", period).alias("rows_in_first_period"),
+            F.first("is_categorical").alias("is_categorical"),
+        )
     )
 
 
-def first_period_count(
-    df: DataFrame, column: str, period: str = "feed_month", limit: int | None = MAX_CATEGORIES
-) -> DataFrame:
+def first_period_count(df: DataFrame, column: str, period: str = "feed_month", limit: int = MAX_CATEGORIES) -> DataFrame:
     return first_seen(value_counts(df, column, period, limit), period)
 
 
-def new_values(
-    df: DataFrame, column: str, period: str = "feed_month", limit: int | None = MAX_CATEGORIES
-) -> DataFrame:
+def new_values(df: DataFrame, column: str, period: str = "feed_month", limit: int = MAX_CATEGORIES) -> DataFrame:
     """Values that appear after the first period. A value that returns is not new."""
     counts = value_counts(df, column, period, limit)
     baseline = counts.filter(F.col("value").isNotNull()).agg(F.min(period)).scalar()
@@ -91,23 +81,17 @@ def new_values(
 
 
 def known_so_far(df: DataFrame, column: str, period: str = "feed_month", limit: int = MAX_CATEGORIES) -> DataFrame:
-    """Sorted values known up to and including each period.
+    """Per period: how many values entered, and how many are known up to and including it.
 
-    Each value enters once, in its first period, so the running lists hold no
-    more than the gate allows per period.
+    Which they are is one row per value in ``first_period_count``: a value is known from its
+    ``first_seen`` on. No list is gathered, and the window sees one row per period.
     """
     counts = value_counts(df, column, period, limit)
-    new_here = F.when(F.col(period) == F.col("first_seen"), F.col("value"))
-    entered = (
-        counts.join(first_seen(counts, period), "value")
-        .groupBy(period)
-        .agg(F.array_compact(F.collect_list(new_here)).alias("entered"))
+    entered = counts.join(first_seen(counts, period).select("value", "first_seen"), "value", "left").groupBy(period).agg(
+        F.count_if(F.col(period) == F.col("first_seen")).alias("entered"), F.first("is_categorical").alias("is_categorical")
     )
     w = Window.orderBy(period).rowsBetween(Window.unboundedPreceding, 0)
-    return entered.select(
-        period, F.size("entered").alias("entered"),
-        F.array_sort(F.flatten(F.collect_list("entered").over(w))).alias("known"),
-    )
+    return entered.select(period, "entered", F.sum("entered").over(w).alias("known"), "is_categorical")
 
 
 def as_code(c: str, null_as_code: bool) -> Column:

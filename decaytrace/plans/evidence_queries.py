@@ -319,7 +319,7 @@ SELECT affected_rows, naive_mae_per_row, naive_amount, baseline_rows, baseline_l
 register(
     "attribution_all",
     lambda spark, d: attribution.attribution_all(fx.scored(spark, d), "vendor_id"),
-    fx.oracle(SCORED, DID_SQL + "SELECT * EXCLUDE (lift, null_segment_rows) FROM did"),
+    fx.oracle(SCORED, DID_SQL + "SELECT * EXCLUDE (lift) FROM did"),
 )
 register(
     "signed_net",

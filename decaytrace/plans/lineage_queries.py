@@ -154,10 +154,9 @@ def part_features(spark, d):
 
 
 def part_roots(spark, d):
-    """Raw line flags a part was seen with in full-size lines; most parts have a few, some none."""
+    """Raw line flags a part was seen with, over all lines."""
     return (
-        fx.table(spark, d, "lineitem").filter(F.col("l_quantity") >= 50)
-        .select("l_partkey", "l_returnflag", "l_linestatus").distinct()
+        fx.table(spark, d, "lineitem").select("l_partkey", "l_returnflag", "l_linestatus").distinct()
         .select(
             F.concat(F.lit("part_"), F.col("l_partkey")).alias("feature"),
             F.concat(F.lit("flag_"), F.col("l_returnflag"), F.col("l_linestatus")).alias("root_column"),
@@ -207,7 +206,7 @@ ML = f"""
 features AS (SELECT 'part_' || p_partkey AS feature, lower(replace(p_brand, '#', '_')) AS source_column,
   p_name AS description, p_type AS data_type FROM part),
 roots AS (SELECT DISTINCT 'part_' || l_partkey AS feature, 'flag_' || l_returnflag || l_linestatus AS root_column
-  FROM lineitem WHERE l_quantity >= 50),
+  FROM lineitem),
 root_map AS (SELECT feature, source_column, coalesce(root_column, source_column) AS root_column FROM features LEFT JOIN roots USING (feature)),
 feature_models AS (SELECT DISTINCT 'part_' || l_partkey AS feature, lower(c_mktsegment) AS model
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),

@@ -32,20 +32,23 @@ UNION ALL SELECT 'pu_location_id', max(b), max(b) <= 50 FROM v"""),
 register(
     "value_counts",
     lambda spark, d: profile.value_counts(fx.feed(spark, d), "store_and_fwd_flag"),
-    fx.oracle(FEED, "SELECT feed_month, CAST(store_and_fwd_flag AS VARCHAR) AS value, count(*) AS rows FROM feed GROUP BY 1, 2"),
+    fx.oracle(FEED, """
+SELECT feed_month, CAST(store_and_fwd_flag AS VARCHAR) AS value, count(*) AS rows,
+  (SELECT max(u) <= 50 FROM (SELECT count(DISTINCT store_and_fwd_flag) AS u FROM feed GROUP BY feed_month)) AS is_categorical
+FROM feed GROUP BY 1, 2"""),
 )
 register(
     "value_sets",
-    lambda spark, d: profile.value_sets(fx.feed(spark, d), "vendor_id").select(
-        "feed_month", F.array_join("values", ",").alias("value_set")
-    ),
+    lambda spark, d: profile.value_sets(fx.feed(spark, d), "pu_location_id"),
     fx.oracle(FEED, """
-SELECT feed_month, string_agg(value, ',' ORDER BY value) AS value_set
-FROM (SELECT DISTINCT feed_month, CAST(vendor_id AS VARCHAR) AS value FROM feed WHERE vendor_id IS NOT NULL) GROUP BY 1"""),
+SELECT DISTINCT feed_month, CAST(pu_location_id AS VARCHAR) AS value,
+  (SELECT max(u) <= 50 FROM (SELECT count(DISTINCT pu_location_id) AS u FROM feed GROUP BY feed_month)) AS is_categorical
+FROM feed WHERE pu_location_id IS NOT NULL"""),
 )
 FIRSTS = """
 , counts AS (SELECT feed_month, CAST(vendor_id AS VARCHAR) AS value, count(*) AS rows FROM feed GROUP BY 1, 2)
-, firsts AS (SELECT value, min(feed_month) AS first_seen, arg_min(rows, feed_month) AS rows_in_first_period
+, firsts AS (SELECT value, min(feed_month) AS first_seen, arg_min(rows, feed_month) AS rows_in_first_period,
+  (SELECT max(u) <= 50 FROM (SELECT count(DISTINCT value) AS u FROM counts GROUP BY feed_month)) AS is_categorical
   FROM counts WHERE value IS NOT NULL GROUP BY 1)"""
 register(
     "new_values",
@@ -55,11 +58,13 @@ register(
 register(
     "new_values_events",
     lambda spark, d: profile.new_values(
-        fx.table(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "user_id", "day", limit=None
+        fx.table(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "user_id", "day"
     ),
     """
 WITH counts AS (SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(user_id AS VARCHAR) AS value, count(*) AS rows FROM events GROUP BY 1, 2),
-firsts AS (SELECT value, min(day) AS first_seen, arg_min(rows, day) AS rows_in_first_period FROM counts GROUP BY 1)
+firsts AS (SELECT value, min(day) AS first_seen, arg_min(rows, day) AS rows_in_first_period,
+  (SELECT max(u) <= 50 FROM (SELECT count(DISTINCT value) AS u FROM counts GROUP BY day)) AS is_categorical
+  FROM counts WHERE value IS NOT NULL GROUP BY 1)
 SELECT * FROM firsts WHERE first_seen > (SELECT min(day) FROM counts)""",
 )
 register(
@@ -69,10 +74,11 @@ register(
 )
 register(
     "known_so_far",
-    lambda spark, d: profile.known_so_far(fx.feed(spark, d), "vendor_id").withColumn("known", F.array_join("known", ",")),
+    lambda spark, d: profile.known_so_far(fx.feed(spark, d), "vendor_id"),
     fx.oracle(FEED, FIRSTS + """
-, p AS (SELECT feed_month, CAST(count(*) FILTER (first_seen = feed_month) AS INTEGER) AS entered FROM counts JOIN firsts USING (value) GROUP BY 1)
-SELECT feed_month, entered, (SELECT string_agg(value, ',' ORDER BY value) FROM firsts WHERE first_seen <= feed_month) AS known FROM p"""),
+, p AS (SELECT feed_month, count(*) FILTER (first_seen = feed_month) AS entered, bool_and(is_categorical) AS is_categorical
+  FROM counts JOIN firsts USING (value) GROUP BY 1)
+SELECT feed_month, entered, (SELECT count(*) FROM firsts WHERE first_seen <= feed_month) AS known, is_categorical FROM p"""),
 )
 register(
     "scan_codes",

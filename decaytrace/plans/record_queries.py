@@ -42,13 +42,13 @@ register(
     "incident_rows",
     lambda spark, d: ledger.incident_rows(findings(spark, d)),
     f"""
-SELECT source AS dataset, 'CUSTOM' AS incident_type, 'Semantic drift' AS custom_type, substr(text, 1, 200) AS title,
-  text || {NL2} || 'Model: order_model' || {NL2} || '## Change' || chr(10) || 'seen in ' || source
-  || {NL2} || '## Mechanism' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'via ' || lang ELSE '' END
-  || {NL2} || '## Why monitors were silent' || chr(10) || 'shape did not move'
-  || {NL2} || '## Cost' || chr(10) || '- attributable error: ' || format('{{:,.2f}}', {AMOUNT}) || chr(10)
-  || '- affected rows: ' || format('{{:,}}', n_chars) || chr(10) || '- attributable error per row: ' || {PER_ROW}
-  || {NL2} || '## Fix' || chr(10) || 'encode it' || {NL2} || '## Inputs' || chr(10) || '- ' || lang || chr(10) || '- ' || source AS description,
+SELECT source AS dataset, 'CUSTOM' AS incident_type, 'Semantic drift' AS custom_type, text AS title,
+  source || '.' || lang || ' -> order_model: ' || format('{{:,.2f}}', {AMOUNT}) || ' = ' || format('{{:,}}', n_chars) || ' rows x ' || {PER_ROW}
+  || {NL2} || '## What changed' || chr(10) || 'seen in ' || source
+  || {NL2} || '## How it does damage' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'via ' || lang ELSE '' END
+  || {NL2} || '## Silence of the monitors' || chr(10) || 'shape did not move' || {NL2} || '## Remedy' || chr(10) || 'encode it'
+  || {NL2} || '## Damaged inputs' || chr(10) || '- ' || lang || chr(10) || '- ' || source || {NL2} || '## Measured' || chr(10) || '- ' || lang
+  || {NL2} || '## Concluded' || chr(10) || '- ' || source || chr(10) || '- ' || lang AS description,
   {AMOUNT} AS amount, 'HIGH' AS priority, 'ACTIVE' AS state
 FROM documents""",
 )
@@ -121,7 +121,7 @@ def part_notes(spark, d):
 
 
 NOTES = """
-listed AS (SELECT 'part_' || l_partkey AS "column", array_to_string(list_sort(list(DISTINCT 'supplier_' || l_suppkey))[1:4], ', ') AS f FROM lineitem GROUP BY 1),
+listed AS (SELECT 'part_' || l_partkey AS "column", count(DISTINCT l_suppkey) || ': ' || array_to_string(list_sort(list(DISTINCT 'supplier_' || l_suppkey)), ', ') AS f FROM lineitem GROUP BY 1),
 notes AS (SELECT p_brand AS dataset, 'part_' || p_partkey AS "column", p_name || CASE WHEN p_size >= 25 THEN chr(10) || chr(10) || '[decay] size is ' || p_size || '.'
   || coalesce(' Feeds ' || f || '.', '') ELSE '' END AS description FROM part LEFT JOIN listed ON "column" = 'part_' || p_partkey)"""
 register("annotate_column", part_notes, fx.oracle(NOTES, "SELECT * FROM notes"))
@@ -186,7 +186,7 @@ register(
 )
 register(
     "claims_banned",
-    lambda spark, d: claims.claims_banned(fx.texts(spark, d, "documents"), BANNED, starts=STARTS, parts=PARTS),
+    lambda spark, d: claims.claims_banned(fx.texts(spark, d, "documents"), BANNED, STARTS, PARTS),
     r"""
 WITH a AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|\r|\n') AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS line_no FROM a),
@@ -309,15 +309,12 @@ UNION ALL SELECT 'impact', '7', CAST(n AS VARCHAR), format('{:,.2f}', na), forma
 
 # ------------------------------------------------------------------ boosted trees (no SQL equivalent)
 
-# Small settings so that the registered query shows the path; the library default is the full model.
-QUICK = {"maxIter": 5, "stepSize": 0.1, "maxDepth": 4, "seed": 42}
-
 
 def boosted(spark, d):
     rows = fx.mart(spark, d).withColumn("is_new_code", features.enc.extra_flag("vendor_id", fx.NEW_CODE))
     arms = {
-        "predicted_total": scoring.GbtArm(features.FEATURES, fx.TRAIN_PERIODS, QUICK),
-        "control_predicted_total": scoring.GbtArm([*features.FEATURES, "is_new_code"], fx.CONTROL_PERIODS, QUICK),
+        "predicted_total": scoring.GbtArm(features.FEATURES, fx.TRAIN_PERIODS),
+        "control_predicted_total": scoring.GbtArm([*features.FEATURES, "is_new_code"], fx.CONTROL_PERIODS),
     }
     return rows, {name: arm.fit(rows, features.TARGET) for name, arm in arms.items()}
 

@@ -80,17 +80,39 @@ def test_token_merge_scans_left_to_right_longest_first(spark):
 
 def test_returning_value_is_not_new_and_null_is_no_value(spark):
     df = spark.createDataFrame([("1", "a"), ("2", None), ("3", "a"), ("3", "b"), ("1", None)], "feed_month string, v string")
-    assert rows(profile.new_values(df, "v")) == [("b", "3", 1)]
-    assert {r[0]: r[1] for r in rows(profile.value_sets(df, "v"))} == {"1": ["a"], "3": ["a", "b"]}
+    assert rows(profile.new_values(df, "v")) == [("b", "3", 1, True)]
+    assert {(r[0], r[1]) for r in rows(profile.value_sets(df, "v"))} == {("1", "a"), ("3", "a"), ("3", "b")}
     card = {r["feed_month"]: (r["distinct_values"], r["rows"], r["null_pct"]) for r in profile.profile_cardinality(df, "v").collect()}
     assert card == {"1": (1, 2, 50.0), "2": (0, 1, 100.0), "3": (2, 2, 0.0)}
 
 
-def test_gate_closes_on_one_wide_period(spark):
+def test_the_gate_is_a_mark_and_drops_nothing(spark):
     df = spark.range(60).selectExpr("if(id < 55, '1', '2') feed_month", "id v")
-    assert profile.value_counts(df, "v").count() == 0
-    assert profile.value_counts(df, "v", limit=None).count() == 60
-    assert profile.new_values(df, "v", limit=None).count() == 5
+    assert profile.value_counts(df, "v").filter("not is_categorical").count() == 60
+    assert profile.value_sets(df, "v").count() == 60
+    assert profile.new_values(df, "v").count() == 5
+    assert [tuple(r) for r in profile.known_so_far(df, "v").orderBy("feed_month").collect()] == [("1", 55, 55, False), ("2", 5, 60, False)]
+
+
+def test_notes_and_originals(spark):
+    key = "dataset string, column string, "
+    catalog = spark.createDataFrame([("d", "a", "old"), ("d", "b", None), ("d", "c", None)], key + "description string")
+    findings = spark.createDataFrame([("d", "a", "one."), ("d", "a", "two."), ("d", "b", "three.")], key + "change string")
+    features = spark.createDataFrame([("d", "a", f"f{i}") for i in range(5)], key + "feature string")
+    noted = {r["column"]: r["description"] for r in ledger.annotate_column(catalog, findings, features).collect()}
+    feeds = " Feeds 5: f0, f1, f2, f3, f4."
+    assert noted == {"a": f"old\n\n[decay] one.{feeds}\n\n[decay] two.{feeds}", "b": "[decay] three.", "c": None}
+    restored = ledger.restore_notes(ledger.annotate_column(catalog, findings, features), catalog)
+    assert sorted(rows(restored), key=str) == sorted(rows(catalog), key=str)
+
+
+def test_both_estimates_agree_on_missing_errors(spark):
+    df = spark.createDataFrame(
+        [(7, 4.0, 1.0, 9.0, 1), (7, None, None, 9.0, 1), (1, 2.0, 1.0, 9.0, 2), (1, None, 1.0, 9.0, 2), (None, 1.0, 1.0, 9.0, 2)],
+        "s int, abs_error double, control_abs_error double, total_amount double, t int")
+    one = attribution.attribution_did(df, "s", 7, time="t").first().asDict()
+    every = next(r.asDict() for r in attribution.attribution_all(df, "s", time="t").collect() if r["segment"] == 7)
+    assert {k: v for k, v in one.items() if k != "naive_amount"} == {k: every[k] for k in one if k != "naive_amount"}
 
 
 def test_null_code_is_an_option(spark):
