@@ -221,13 +221,18 @@ def _confirm(job: NearDup):
 def candidate_cells(signed: DataFrame, job: NearDup) -> DataFrame:
     """(node, cell): documents that share a band key, directly or through others.
 
-    ``signed`` has one row per class of equal sets. Each band key links its rows to the
-    smallest of them, so a key with very many rows gives as many links, not all pairs.
+    ``signed`` has one row per class of equal sets. The smallest row of each band key is its
+    hub. A document is linked to the smallest of its hubs alone, and that one to the others:
+    the same components, while very many copies that meet under the same keys share the links
+    between their hubs.
     """
     keyed = signed.select("node", "regs").mapInArrow(_keys(job), "node long, keys array<long>")
     keyed = keyed.select("node", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    return components(keyed.join(hubs.select("key", "hub"), "key").where("node <> hub").select("node", "hub").distinct(), "node", "hub")
+    met = keyed.join(hubs.select("key", "hub"), "key").groupBy("node").agg(F.collect_set("hub").alias("hubs"))  # one per band at most
+    first = F.array_min("hubs")
+    links = F.array_union(F.array(F.struct(F.col("node").alias("a"), first.alias("b"))), F.transform("hubs", lambda h: F.struct(first.alias("a"), h.alias("b"))))
+    return components(met.select(F.explode(links).alias("e")).select("e.a", "e.b").where("a <> b").distinct())
 
 
 def confirmed_links(docs: DataFrame, cells: DataFrame, job: NearDup) -> DataFrame:
