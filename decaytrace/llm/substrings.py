@@ -60,7 +60,8 @@ def keys_of(texts: list[bytes], job: Chunking) -> tuple[np.ndarray, ...]:
     A word start is a boundary when the hash at the last byte before its blank meets the
     mask: that depends on 8 bytes alone, so an insertion moves no boundary beyond them. The
     first word of a text is one too, and so is the end. A run starts at each boundary and
-    takes as few chunks as it needs; it ends before the next word.
+    takes as few chunks as it needs; it ends before the next word. The end of a text has a run
+    of its own.
     """
     gap = b" " * (WINDOW + 1)  # nothing of one text reaches the hash of the next
     joined = gap.join([*texts, b""])
@@ -83,6 +84,11 @@ def keys_of(texts: list[bytes], job: Chunking) -> tuple[np.ndarray, ...]:
     cut, owner, last = cut[ok], owner[ok], edges[last[ok]]
     ok = last <= firsts[owner + 1]
     cut, owner, last = cut[ok], owner[ok], last[ok]
+    # one more run per text that ends with it, unless one does: copies of whole texts leave no tail
+    tail = np.flatnonzero(np.diff(firsts) >= job.min_words)
+    at = edges[np.searchsorted(edges, firsts[tail + 1] - job.min_words, "right") - 1]
+    open_ = edges[np.searchsorted(edges, at + job.min_words)] != firsts[tail + 1]
+    cut, owner, last = (np.concatenate([x, y[open_]]) for x, y in ((cut, at), (owner, tail), (last, firsts[tail + 1])))
     begin = starts[cut]
     end = np.minimum(np.append(starts, len(joined))[last], begins[owner + 1] - len(gap))
     digests = np.fromiter(
