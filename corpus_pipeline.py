@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from decaytrace.llm import classifier, minhash, packing, secrets, substrings
-from decaytrace.llm.common import table
+from decaytrace.llm.common import findable, table
 from decaytrace.llm.queries import tokenizer_settings
 from decaytrace.session import materialize
 
@@ -44,6 +44,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written and read again by the next."""
+    findable(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))

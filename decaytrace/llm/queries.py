@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
 from . import balltree, classifier, licenses, minhash, packing, rules, secrets, sentencepieces, substrings, warc
-from .common import table
+from .common import findable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,7 +16,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def keep(run):
-        QUERIES[name] = run
+        def started(spark: SparkSession, sf_dir: str) -> DataFrame:
+            findable(spark)
+            return run(spark, sf_dir)
+
+        QUERIES[name] = started
         if sql is not None:
             ORACLES[name] = sql
         return run

@@ -23,13 +23,15 @@ STOP_WORDS = (
 class Rule:
     """``low`` <= 100 * ``part`` / ``whole`` <= ``high``; a bound that is None does not bind.
 
-    Compared as whole numbers, so that no rounding decides; a rule over nothing holds."""
+    Compared as whole numbers, so that no rounding decides; a rule holds where ``whole`` is
+    below ``at_least``, as a share of a handful says little."""
 
     name: str
     part: str
     whole: str
     low: int | None = None
     high: int | None = None
+    at_least: int = 1
 
 
 #: The measures that rules may name are the columns that ``measures`` makes.
@@ -37,8 +39,8 @@ RULES = (
     Rule("mean word length", "word_chars", "n_words", low=150, high=1500),
     Rule("symbols to words", "n_symbols", "n_words", high=10),
     Rule("exclamation marks to words", "n_exclamations", "n_words", high=20),
-    Rule("stop words to words", "n_stop_words", "n_words", low=2),
-    Rule("repeated lines to lines", "n_dup_lines", "n_lines", high=30),
+    Rule("stop words to words", "n_stop_words", "n_words", low=2, at_least=50),
+    Rule("repeated lines to lines", "n_dup_lines", "n_lines", high=30, at_least=10),
 )
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_exclamations", "n_stop_words", "n_lines")
 
@@ -89,9 +91,9 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
     for r in rules:
         part, whole = F.col(r.part) * 100, F.col(r.whole)
         if r.low is not None:
-            holds = holds & ((whole == 0) | (part >= whole * r.low))
+            holds = holds & ((whole < r.at_least) | (part >= whole * r.low))
         if r.high is not None:
-            holds = holds & ((whole == 0) | (part <= whole * r.high))
+            holds = holds & ((whole < r.at_least) | (part <= whole * r.high))
     return holds
 
 
@@ -123,9 +125,9 @@ def _sql_verdict(rules: tuple[Rule, ...] = RULES) -> str:
     parts = []
     for r in rules:
         if r.low is not None:
-            parts.append(f"({r.whole} = 0 OR 100 * {r.part} >= {r.low} * {r.whole})")
+            parts.append(f"({r.whole} < {r.at_least} OR 100 * {r.part} >= {r.low} * {r.whole})")
         if r.high is not None:
-            parts.append(f"({r.whole} = 0 OR 100 * {r.part} <= {r.high} * {r.whole})")
+            parts.append(f"({r.whole} < {r.at_least} OR 100 * {r.part} <= {r.high} * {r.whole})")
     return " AND ".join(parts)
 
 
