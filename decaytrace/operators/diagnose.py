@@ -23,7 +23,7 @@ def segment_damage(scored: DataFrame, column: str, inputs: Sequence[str]) -> Dat
         F.col("segment").cast("string").alias("code"), "degenerate_only", "all_family_zero", "family_inputs"
     )
     cost = attribution.attribution_all(scored, column).select(
-        F.col("segment").cast("string").alias("code"), "affected_rows", "did_mae_per_row", "did_amount"
+        F.col("segment").cast("string").alias("code"), "affected_rows", "naive_mae_per_row", "naive_amount", "did_mae_per_row", "did_amount"
     )
     return signals.join(cost, "code").select(F.lit(column).alias("column"), "*")
 
@@ -53,7 +53,7 @@ def diagnose(
         # an input of the encoding family is the other route, so it is not counted as collapsed
         F.array_except(collapsed, F.coalesce("family_inputs", empty)).alias("collapsed_inputs"),
         F.array_sort(F.array_union(collapsed, by_encoding)).alias("affected_features"),
-        F.coalesce("affected_rows", F.lit(0)).alias("affected_rows"),
+        F.coalesce("affected_rows", F.lit(0)).alias("affected_rows"), "naive_mae_per_row", "naive_amount",
         F.coalesce("did_mae_per_row", F.lit(0.0)).alias("did_mae_per_row"),
         F.coalesce("did_amount", F.lit(0.0)).alias("did_amount"),
     )
@@ -78,8 +78,22 @@ def diagnose(
     )
 
 
-def as_findings(diagnosis: DataFrame, model: str, dataset: str) -> DataFrame:
-    """Diagnosis rows as ledger findings."""
+def as_findings(diagnosis: DataFrame, model: str, dataset: str, verdicts: DataFrame | None = None) -> DataFrame:
+    """Diagnosis rows as ledger findings.
+
+    ``verdicts`` (column, monitor, fires) are the monitors that were read on each column; what
+    a finding says about them is counted there, and nothing is said without them.
+    """
+    if verdicts is None:
+        diagnosis = diagnosis.withColumn("why_missed", F.lit(None).cast("string"))
+    else:
+        read = verdicts.groupBy("column").agg(
+            F.count("*").alias("_read"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("fires"), F.col("monitor")))), ", ").alias("_fired")
+        )
+        said = F.when(F.col("_fired") == "", F.concat(F.lit("None of "), F.col("_read").cast("string"), F.lit(" monitors fired."))).otherwise(
+            F.concat(F.lit("Of "), F.col("_read").cast("string"), F.lit(" monitors these fired: "), F.col("_fired"), F.lit("."))
+        )
+        diagnosis = diagnosis.join(read, "column", "left").withColumn("why_missed", said)
     unmapped, collapsed = F.col("unmapped_category"), F.size("collapsed_inputs") > 0
     routes = F.array_compact(
         F.array(
@@ -94,14 +108,13 @@ def as_findings(diagnosis: DataFrame, model: str, dataset: str) -> DataFrame:
         F.concat(name, F.lit(" first seen in "), F.col("first_seen"), F.lit(" with "),
                  F.col("rows_in_first_period").cast("string"), F.lit(" rows.")).alias("change"),
         F.array_join(routes, "; ").alias("mechanism"),
-        F.lit("Type, null share and volume did not move.").alias("why_missed"),
+        "why_missed",
         F.lit("Encode the new category and retrain.").alias("fix"),
         F.col("affected_features").alias("features"),
         F.array(F.concat(name, F.lit(" is absent before "), F.col("first_seen"))).alias("proven"),
         routes.alias("inferred"),
         F.struct(
-            "affected_rows", F.lit(None).cast("double").alias("naive_mae_per_row"),
-            F.lit(None).cast("double").alias("naive_amount"), "did_mae_per_row", "did_amount",
+            "affected_rows", "naive_mae_per_row", "naive_amount", "did_mae_per_row", "did_amount",
         ).alias("impact"),
     )
 

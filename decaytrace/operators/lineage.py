@@ -9,93 +9,118 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import csv_to_array, urn_table_key
 from ..session import materialize
 
-# Walk depth, and the page size of a parent listing.
-DEPTH = 3
-LISTED = 25
+def numbered(edges: DataFrame, *datasets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, name) of every node, and the distinct edges as (up, down) of ids.
+
+    Names are long texts; the walks below shuffle and compare eight-byte ids, and names come
+    back in the end, by joins that Spark broadcasts while the name table is small.
+    """
+    names = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name")))
+    for d in datasets:
+        names = names.unionByName(d.select(F.col("dataset").alias("name")))
+    nodes = materialize(names.filter(F.col("name").isNotNull()).distinct().select(F.monotonically_increasing_id().alias("id"), "name"), "nodes")
+    up, down = (nodes.select(F.col("id").alias(i), F.col("name").alias(n)) for i, n in (("up", "src"), ("down", "dst")))
+    links = edges.select("src", "dst").distinct().join(up, "src").join(down, "dst").select("up", "down")
+    return nodes, materialize(links, "links")
+
+
+def named(df: DataFrame, nodes: DataFrame, columns: Sequence[str], how: str = "left") -> DataFrame:
+    """Replace ids by names."""
+    for c in columns:
+        df = df.withColumnRenamed(c, "_id").join(nodes.select(F.col("id").alias("_id"), F.col("name").alias(c)), "_id", how).drop("_id")
+    return df
 
 
-def lineage_upstream(edges: DataFrame, starts: DataFrame, depth: int = DEPTH) -> DataFrame:
+def lineage_upstream(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """Breadth-first walk: one row per (start, hop, dataset, upstream).
 
-    Each dataset is visited once per start, at its shallowest hop, so cycles end.
-    Parents of the last level are listed but not visited. Every frontier is
-    written to shared storage: a level costs one join, and the plan does not grow
-    with the depth.
+    Each dataset is visited once per start, at its shallowest hop, so cycles end. Without
+    ``depth`` the walk goes on until a level brings nothing new. With it ``depth`` levels are
+    visited, the parents of the last one are listed but not visited, and ``has_more`` marks
+    those rows. Every frontier is written to shared storage: a level costs one join, and the
+    plan does not grow with the depth.
     """
-    links = materialize(edges.select("src", "dst").distinct(), "edges")
-    frontier = starts.select(F.col("dataset").alias("start"), "dataset").distinct().withColumn("hop", F.lit(0))
-    visited = frontier
-    for hop in range(1, depth):
-        reached = (
-            frontier.join(links, frontier["dataset"] == links["dst"])
-            .select("start", F.col("src").alias("dataset"))
-            .distinct()
-        )
-        if hop == 1:  # only the start itself has been visited
-            fresh = reached.filter(F.col("dataset") != F.col("start"))
-        else:
-            fresh = reached.join(visited.select("start", "dataset"), ["start", "dataset"], "left_anti")
+    nodes, links = numbered(edges, starts)
+    frontier = starts.select(F.col("dataset").alias("name")).distinct().join(nodes, "name").select(
+        F.col("id").alias("start"), F.col("id").alias("at"), F.lit(0).alias("hop")
+    )
+    frontier = materialize(frontier, "frontier")
+    visited, hop = frontier, 1
+    while depth is None or hop < depth:
+        reached = frontier.join(links, frontier["at"] == links["down"]).select("start", F.col("up").alias("at")).distinct()
+        fresh = reached.join(visited.select("start", "at"), ["start", "at"], "left_anti")
         frontier = materialize(fresh.withColumn("hop", F.lit(hop)), "frontier")
+        if frontier.isEmpty():
+            break
         visited = visited.unionByName(frontier)
-    return visited.join(links, visited["dataset"] == links["dst"], "left").select(
-        "start", "hop", "dataset", F.col("src").alias("upstream")
-    )
+        hop += 1
+    walk = visited.join(links, visited["at"] == links["down"], "left").select("start", "hop", F.col("at").alias("dataset"), F.col("up").alias("upstream"))
+    walk = named(walk, nodes, ("start", "dataset", "upstream")).select("start", "hop", "dataset", "upstream")
+    return walk if depth is None else walk.withColumn("has_more", (F.col("hop") == depth - 1) & F.col("upstream").isNotNull())
 
 
-def lineage_downstream(edges: DataFrame, starts: DataFrame, depth: int = DEPTH) -> DataFrame:
+def lineage_downstream(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """The same walk along the edges: one row per (start, hop, dataset, downstream)."""
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return lineage_upstream(turned, starts, depth).withColumnRenamed("upstream", "downstream")
 
 
-def lineage_hops(walk: DataFrame, other: str = "upstream", listed: int = LISTED) -> DataFrame:
-    """One row per hop: how many neighbours it has, and a first page of them.
+def lineage_hops(walk: DataFrame, other: str = "upstream") -> DataFrame:
+    """Every neighbour of every hop, one row each, with the number of the hop's neighbours.
 
-    The walk itself follows every edge. The page is a listing of bounded length;
-    the rank filter is applied before the shuffle, so a hub is never gathered.
+    A hop without neighbours has one row, with none. Nothing is cut and no list is gathered;
+    the count is a partial aggregate, so a hub is never one task's work.
     """
     key = ["start", "hop", "dataset"]
-    walk = materialize(walk, "walk")
+    walk = materialize(walk.select(*key, other), "walk")
     totals = walk.groupBy(*key).agg(F.count(other).alias(f"{other}_count"))
-    w = Window.partitionBy(*key).orderBy(other)
-    page = (
-        walk.filter(F.col(other).isNotNull())
-        .withColumn("_rank", F.row_number().over(w))
-        .filter(F.col("_rank") <= listed)
-        .groupBy(*key)
-        .agg(F.array_sort(F.collect_list(other)).alias(f"{other}s"))
-    )
-    return totals.join(page, key, "left").withColumn(
-        f"{other}s", F.coalesce(f"{other}s", F.array().cast("array<string>"))
-    )
+    return walk.join(totals, key).select(*key, f"{other}_count", other)
 
 
-def lineage_paths_between(
-    edges: DataFrame, starts: DataFrame, targets: DataFrame, max_hops: int = DEPTH
-) -> DataFrame:
-    """Every path of at most ``max_hops`` edges from a start upstream to a target."""
-    links = materialize(edges.select("src", "dst").distinct(), "edges")
-    ends = targets.select(F.col("dataset").alias("target")).distinct()
-    paths = starts.select(F.col("dataset").alias("start"), F.col("dataset").alias("at")).distinct().withColumn(
-        "path", F.array("at")
+def lineage_paths_between(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Every simple path from a start upstream to a target, of at most ``max_hops`` edges if given.
+
+    Only nodes from which a target can be reached are stepped on: a walk down from the
+    targets finds them first, each once. The steps end when no path can be made longer.
+    """
+    nodes, links = numbered(edges, starts, targets)
+    ends = targets.select(F.col("dataset").alias("name")).distinct().join(nodes, "name").select(F.col("id").alias("end"))
+    ends = materialize(ends, "ends")
+    leads, frontier = ends.select(F.col("end").alias("to")), ends.select(F.col("end").alias("to"))
+    while True:
+        below = frontier.join(links, frontier["to"] == links["up"]).select(F.col("down").alias("to")).distinct()
+        frontier = materialize(below.join(leads, "to", "left_anti"), "frontier")
+        if frontier.isEmpty():
+            break
+        leads = materialize(leads.unionByName(frontier), "leads")
+    useful = materialize(links.join(leads, links["up"] == leads["to"], "left_semi"), "links")
+    paths = starts.select(F.col("dataset").alias("name")).distinct().join(nodes, "name").select(
+        F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("path")
     )
-    found = []
-    for _ in range(max_hops):
+    found, hop = [], 0
+    while max_hops is None or hop < max_hops:
         paths = materialize(
-            paths.join(links, paths["at"] == links["dst"])
-            .filter(~F.array_contains("path", F.col("src")))
-            .select("start", F.col("src").alias("at"), F.array_append("path", F.col("src")).alias("path")),
+            paths.join(useful, paths["at"] == useful["down"])
+            .filter(~F.array_contains("path", F.col("up")))
+            .select("start", F.col("up").alias("at"), F.array_append("path", F.col("up")).alias("path")),
             "paths",
         )
-        found.append(paths.join(ends, F.col("at") == F.col("target"), "left_semi"))
-    return reduce(lambda a, b: a.unionByName(b), found).select(
-        "start", F.col("at").alias("target"), F.size("path").alias("nodes"), "path"
-    )
+        if paths.isEmpty():
+            break
+        found.append(paths.join(ends, F.col("at") == F.col("end"), "left_semi"))
+        hop += 1
+    if not found:
+        found = [paths.limit(0)]
+    hits = materialize(reduce(lambda a, b: a.unionByName(b), found).select(F.monotonically_increasing_id().alias("n"), "start", "at", "path"), "found")
+    # a path is as long as the graph is deep: its names are put together again by path
+    steps = named(hits.select("n", F.posexplode("path").alias("k", "node")), nodes, ("node",), "inner")
+    texts = steps.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "node"))), lambda x: x["node"]).alias("path"))
+    return texts.select(F.get("path", F.lit(0)).alias("start"), F.element_at("path", -1).alias("target"), F.size("path").alias("nodes"), "path")
 
 
 def hop_dedupe(hops: DataFrame) -> DataFrame:

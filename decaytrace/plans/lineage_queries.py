@@ -63,12 +63,13 @@ edges AS (
 
 
 def walk_sql(starts, near, far, output):
-    """Levels 0 to 2 from ``starts`` moving from column ``near`` to column ``far``."""
+    """All levels (0 to 3) from ``starts`` moving from column ``near`` to column ``far``."""
     return EDGES + f""", l0 AS (SELECT DISTINCT dataset AS start, dataset FROM ({starts})),
 l1 AS (SELECT DISTINCT start, {far} AS dataset FROM l0 JOIN edges ON dataset = {near}),
 l2 AS (SELECT DISTINCT start, {far} AS dataset FROM l1 JOIN edges ON dataset = {near}),
+l3 AS (SELECT DISTINCT start, {far} AS dataset FROM l2 JOIN edges ON dataset = {near}),
 visited AS (SELECT start, dataset, min(hop) AS hop FROM (
-  SELECT *, 0 AS hop FROM l0 UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2) GROUP BY 1, 2),
+  SELECT *, 0 AS hop FROM l0 UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3) GROUP BY 1, 2),
 walk AS (SELECT start, CAST(hop AS INTEGER) AS hop, dataset, {far} AS {output} FROM visited LEFT JOIN edges ON dataset = {near})"""
 
 
@@ -91,11 +92,8 @@ register(
     "lineage_hops",
     lambda spark, d: lineage.lineage_hops(
         lineage.lineage_downstream(edges(spark, d), regions(spark, d)), "downstream"
-    ).withColumn("downstreams", F.array_join("downstreams", ";")),
-    fx.oracle(DOWN, """
-SELECT start, hop, dataset, count(downstream) AS downstream_count,
-  coalesce(array_to_string(list_sort(list(downstream) FILTER (downstream IS NOT NULL))[1:25], ';'), '') AS downstreams
-FROM walk GROUP BY 1, 2, 3"""),
+    ),
+    fx.oracle(DOWN, "SELECT start, hop, dataset, count(downstream) OVER (PARTITION BY start, hop, dataset) AS downstream_count, downstream FROM walk"),
 )
 KEY = "array_to_string(string_split(string_split({}, ',')[2], '.')[-2:], '.')"
 register(

@@ -33,10 +33,20 @@ def test_cycles_end(spark):
     assert [r["path"] for r in paths.collect()] == [["a", "b"]]
 
 
-def test_hub_is_listed_in_part_but_counted_whole(spark):
+def test_a_hub_is_listed_whole(spark):
     e = spark.range(500).select(F.concat(F.lit("p"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("src"), F.lit("hub").alias("dst"))
-    hop = lineage.lineage_hops(lineage.lineage_upstream(e, starts(spark, "hub"), depth=1)).first()
-    assert hop["upstream_count"] == 500 and hop["upstreams"] == [f"p{i:04d}" for i in range(25)]
+    out = lineage.lineage_hops(lineage.lineage_upstream(e, starts(spark, "hub"), depth=1)).collect()
+    assert {r["upstream_count"] for r in out} == {500} and sorted(r["upstream"] for r in out) == [f"p{i:04d}" for i in range(500)]
+
+
+def test_a_long_chain_is_walked_to_its_end(spark):
+    e = edges(spark, *[(f"n{k + 1}", f"n{k}") for k in range(6)])
+    out = walk(lineage.lineage_upstream(e, starts(spark, "n0")))
+    assert out == [(k, f"n{k}", f"n{k + 1}" if k < 6 else "") for k in range(7)]
+    cut = lineage.lineage_upstream(e, starts(spark, "n0"), depth=2).collect()
+    assert sorted((r["hop"], r["has_more"]) for r in cut) == [(0, False), (1, True)]
+    paths = lineage.lineage_paths_between(e, starts(spark, "n0"), starts(spark, "n6", "n2")).collect()
+    assert sorted(r["path"] for r in paths) == [["n0", "n1", "n2"], [f"n{k}" for k in range(7)]]
 
 
 def test_siblings_collapse(spark):
