@@ -23,12 +23,13 @@ def as_steps(turns: DataFrame) -> DataFrame:
         F.create_map(F.lit("role"), F.col("role")).alias("arguments"),
         F.length("text").cast("bigint").alias("elapsed_ms"),
         preview_text("text").alias("result_preview"),
+        F.col("text").alias("result"),  # whole, beside its preview
     )
 
 
 def as_run_records(turns: DataFrame) -> DataFrame:
     """Run documents with a nested trace of bounded length."""
-    step = F.struct("index", "tool", "arguments", "elapsed_ms", "result_preview")
+    step = F.struct("index", "tool", "arguments", "elapsed_ms", "result_preview", "result")
     return (
         as_steps(turns)
         .withColumn("part", F.floor(F.col("index") / STEPS_PER_DOCUMENT))
