@@ -20,12 +20,29 @@ class PieceModel:
     """A model file and how texts are cut.
 
     cache_words   words whose best path is remembered in a task
-    unknown       score of a character that no piece holds, for each of its bytes
+    unknown       score of a character that no piece holds, for each of its bytes; below any
+                  piece's, so that bytes are for characters without a piece
     """
 
     path: str
     cache_words: int = 400_000
-    unknown: float = -100_000.0
+    unknown: float = -1e10
+
+
+class _Known(dict):
+    """The ids of a blank and a word. Frequent words come early; the table stays bounded."""
+
+    def __init__(self, viterbi: Viterbi):
+        self.viterbi = viterbi
+
+    def __missing__(self, word: str) -> bytes:
+        v = self.viterbi
+        if len(word) > 1 and word[-1] in v.marks and word[-2].isalpha():
+            return self[word[:-1]] + v.mark_ids[word[-1]]
+        got = v.best(META + word)
+        if len(self) < v.model.cache_words:
+            self[word] = got
+        return got
 
 
 class Viterbi:
@@ -56,51 +73,50 @@ class Viterbi:
         self.automaton.make_automaton()
         self.by_words = splits  # no piece goes on over a blank: words are cut apart before the search
         self.bytes_of = [b"" if special[i] else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(META, " ").encode() for i, p in enumerate(self.pieces)]
-        self.known: dict[str, tuple[bytes, float]] = {}
-
-    def best(self, text: str) -> tuple[bytes, float]:
-        """Ids (32 bits each) and score of a text in which blanks are written as META."""
+        self.scores = np.array([model.unknown if sp.is_byte(i) else sp.get_score(i) for i in range(len(self.pieces))])
+        inside = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        # a mark that no piece holds after a letter always begins a new piece there
+        self.marks = frozenset(c for c in ",.!?;:" if not any(x[1] == c and x[0].isalpha() for x in inside))
+        self.single = frozenset(p for p in self.pieces if len(p) == 1 and p in self.automaton)
+        self.mark_ids = {c: self.best(c) for c in self.marks}
+        self.known = _Known(self)
+
+    def best(self, text: str) -> bytes:
+        """Ids (32 bits each) of a text in which blanks are written as META."""
         n = len(text)
         score = [0.0] + [-np.inf] * n
-        last: list[tuple[int, int]] = [(0, 0)] * (n + 1)  # piece and its length; piece -1: bytes of a character
-        at = 0
-
-        def by_bytes(upto: int) -> None:
-            # positions that no piece reached before the automaton went on
-            nonlocal at
-            while at < upto:
-                at += 1
-                fallback = score[at - 1] + self.model.unknown * len(text[at - 1].encode("utf-8", "replace"))
-                if fallback > score[at]:
-                    score[at], last[at] = fallback, (-1, 1)
-
+        last = [0] * (n + 1)  # the last piece of the best path; -1: the bytes of one character
+        size = [0] * (n + 1)
+        gaps = not self.single.issuperset(text)
+        at = 0  # positions up to here are final
         for end, (i, length, s) in self.automaton.iter(text):
             end += 1
-            by_bytes(end - 1)
+            if gaps:
+                self._bridge(text, score, last, size, at, end - 1)
+                at = end - 1
             total = score[end - length] + s
-            if total > score[end] or (total == score[end] and length > last[end][1]):
-                score[end], last[end] = total, (i, length)
-        by_bytes(n)
+            if total > score[end] or (total == score[end] and length > size[end]):
+                score[end], last[end], size[end] = total, i, length
+        if gaps:
+            self._bridge(text, score, last, size, at, n)
         ids: list[int] = []
         k = n
         while k:
-            i, length = last[k]
-            if i >= 0:
-                ids.append(i)
+            if last[k] >= 0:
+                ids.append(last[k])
             else:
                 char = " " if text[k - 1] == META else text[k - 1]
                 ids += [int(self.byte_ids[b]) for b in reversed(char.encode("utf-8", "replace"))]
-            k -= length
-        return np.array(ids[::-1], np.int32).tobytes(), score[n]
-
-    def _word(self, word: str) -> tuple[bytes, float]:
-        got = self.known.get(word)
-        if got is None:
-            got = self.best(word)
-            if len(self.known) >= self.model.cache_words:
-                self.known.clear()
-            self.known[word] = got
-        return got
+            k -= size[k]
+        return np.array(ids[::-1], np.int32).tobytes()
+
+    def _bridge(self, text: str, score: list[float], last: list[int], size: list[int], at: int, upto: int) -> None:
+        """Settle the positions that the automaton has passed: where spelling a character in
+        bytes is better than what reached it, or nothing did."""
+        for k in range(at + 1, upto + 1):
+            spelled = score[k - 1] + self.model.unknown * len(text[k - 1].encode("utf-8", "replace"))
+            if spelled > score[k]:
+                score[k], last[k], size[k] = spelled, -1, 1
 
     def encode(self, text: str) -> tuple[np.ndarray, float]:
         """Ids and score of a whole text: a blank is put before it and blanks become META.
@@ -109,30 +125,29 @@ class Viterbi:
         """
         if not text:
             return np.empty(0, np.int32), 0.0
-        out, total = [], 0.0
+        out: list[bytes] = []
         for k, part in enumerate((" " + text).split(META)):
             if k:
                 out.append(self.byte_ids[list(META.encode())].tobytes())
-            words = self._words(part.replace(" ", META)) if self.by_words else [part.replace(" ", META)]
+            if not self.by_words:
+                out.append(self.best(part.replace(" ", META)))
+                continue
+            first, *words = part.split(" ")
+            if first:
+                out.append(self.best(first))
+            if "" not in words:
+                out += map(self.known.__getitem__, words)
+                continue
+            run = 0
             for w in words:
-                ids, score = self._word(w)
-                out.append(ids)
-                total += score
-        return np.frombuffer(b"".join(out), np.int32), total
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        """Cut before every run of METAs: where a piece cannot go across."""
-        parts = text.split(META)
-        out, run = ([parts[0]] if parts[0] else []), 0
-        for p in parts[1:]:
-            run += 1
-            if p:
-                out.append(META * run + p)
-                run = 0
-        if run:
-            out.append(META * run)
-        return out
+                run += 1
+                if w:
+                    out.append(self.known[w] if run == 1 else self.best(META * run + w))
+                    run = 0
+            if run:
+                out.append(self.best(META * run))
+        ids = np.frombuffer(b"".join(out), np.int32)
+        return ids, float(self.scores[ids].sum())
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids, without the blank that encoding put before it."""
