@@ -118,7 +118,9 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     key = fresh(docs, "kept_by_rules")
     whole = docs.withColumn(key, F.struct(*docs.columns))
     judged = measured(whole, id_col=key).withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
-    return judged.where(~F.col("base_failed") & verdict(rules)).select("doc_id.*")
+    # a filter on these columns would be pushed below them and make their arrays once per element
+    row = F.explode_outer(F.when(~F.col("base_failed") & verdict(rules), F.array("doc_id"))).alias("row")
+    return judged.select(row).where("row is not null").select("row.*")
 
 
 def _sql_verdict(rules: tuple[Rule, ...] = RULES) -> str:

@@ -191,7 +191,8 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, job: Forest =
     """
     wanted = ["doc_id", "text", *([path_col] if path_col in docs.columns else [])]
     found, name = with_candidates(docs.select(*wanted), model, path_col)
-    hit = found.where(F.size(name) > 0).select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(name).alias("c"))
+    # an outer explode: a filter for texts with candidates would be pushed below and find them twice
+    hit = found.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode_outer(name).alias("c")).where("c is not null")
     return hit.select("doc_id", F.col("c.word_no").cast("long").alias("word_no"), "c.value", "c.score", (F.col("c.score") >= job.threshold).alias("is_secret"))
 
 
