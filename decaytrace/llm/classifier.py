@@ -11,6 +11,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from .common import small_batches
+
 
 CLASSES = 13  # kinds of bytes
 
@@ -204,6 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, job: CoTraining = CoTraining(), la
     """Fit on at most ``labelled`` labelled and ``pool`` unlabelled documents, the ones whose
     ids have the smallest hashes; only their ids are broadcast and only their features reach
     the driver. Several labels of one document are averaged, ties go to bad."""
+    small_batches(docs.sparkSession)
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
     order = F.xxhash64(F.col("doc_id"), F.lit(29))
     marks = marks.groupBy("doc_id").agg((F.avg("y") > 0.5).cast("double").alias("y"))
@@ -237,6 +240,7 @@ def score(docs: DataFrame, model: Model, job: CoTraining = CoTraining()) -> Data
     scored too. Repeated rows get equal scores. No rows give no rows. Absent metadata columns
     are left out of their view; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     wanted = [c for c in ("text", "lang", "source", "n_chars") if c in docs.columns]
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *wanted)
     t, meta, length = _positions(source)
@@ -254,6 +258,7 @@ def score(docs: DataFrame, model: Model, job: CoTraining = CoTraining()) -> Data
 
 def keep_good(docs: DataFrame, model: Model, job: CoTraining = CoTraining()) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; columns as they are."""
+    small_batches(docs.sparkSession)
     t, meta, length = _positions(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
