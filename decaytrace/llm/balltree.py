@@ -25,7 +25,7 @@ class TopK:
     k: int = 5
     scale: int = 256
     shard_rows: int = 4_096
-    leaf_rows: int = 32
+    leaf_rows: int = 256
     query_rows: int = 512
 
 
