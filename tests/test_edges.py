@@ -161,9 +161,11 @@ def test_schema_changes_between_periods(spark):
 
 
 def test_disavowed_lines_do_not_count(spark):
-    df = spark.createDataFrame([("d", "fine\nno monitor could see it\nDo not say no monitor could\r\nit was an overclaim: no monitor can")], "doc_id string, text string")
-    out = rows(claims.claims_banned(df, {"absolute": r"[Nn]o monitor (can|could)"}))
-    assert out == [("absolute", "d", 2)]
+    text = "fine\nevery alarm was silent\nWe no longer say every alarm was silent\r\nwithdrawn (2.0): every alarm is silent"
+    df = spark.createDataFrame([("d", text)], "doc_id string, text string")
+    banned = {"absolute": r"[Ee]very alarm (was|is)"}
+    assert rows(claims.claims_banned(df, banned, ["we no longer"], ["withdrawn (2.0)"])) == [("absolute", "d", 2)]
+    assert sorted(rows(claims.claims_banned(df, banned, [], []))) == [("absolute", "d", n) for n in (2, 3, 4)]
 
 
 def test_claim_that_no_document_cites_is_reported(spark):
@@ -199,10 +201,10 @@ def test_superseding_leaves_other_datasets_alone(spark):
     assert rows(ledger.ledger_state(ledger.supersede_incidents(old, new))) == [(5, 3, 2)]
 
 
-def test_notes_list_four_features(spark):
+def test_notes_list_all_features(spark):
     cat = spark.createDataFrame([("d", "c", "old"), ("d", "x", "kept")], "dataset string, column string, description string")
     found = spark.createDataFrame([("d", "c", "changed.")], "dataset string, column string, change string")
     feats = spark.createDataFrame([("d", "c", f"f{i}") for i in range(9)], "dataset string, column string, feature string")
     out = dict((r[1], r[2]) for r in rows(ledger.annotate_column(cat, found, feats)))
-    assert out == {"c": "old\n\n[decay] changed. Feeds f0, f1, f2, f3.", "x": "kept"}
+    assert out == {"c": "old\n\n[decay] changed. Feeds 9: f0, f1, f2, f3, f4, f5, f6, f7, f8.", "x": "kept"}
     assert F is not None

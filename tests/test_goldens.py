@@ -39,7 +39,7 @@ def test_volume_swing(spark, volumes, swing):
 def test_new_values(spark):
     data = [(m, v) for m in MONTHS for v in (1, 2, 6)] + [("2024-12", 7)] * 230 + [("2025-03", 7)] * 5
     df = spark.createDataFrame(data, "feed_month string, vendor_id int")
-    assert rows(profile.new_values(df, "vendor_id")) == [("7", "2024-12", 230)]
+    assert rows(profile.new_values(df, "vendor_id")) == [("7", "2024-12", 230, True)]
 
 
 @pytest.mark.parametrize("naive, lift, n, per_row, amount", [
