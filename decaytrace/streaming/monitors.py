@@ -17,8 +17,8 @@ def stream_monitors(
     """Volume, null, zero and negative counts, min and max per tumbling window.
 
     Every metric is an algebraic aggregate, so the state kept per window and key
-    is a handful of numbers. Distinct values would make it grow with the data;
-    the stream reports an approximate count instead.
+    is a handful of numbers. Distinct values are left to the batch monitors: they
+    would make the state grow with the data.
     """
     v = F.col(column)
     return (
