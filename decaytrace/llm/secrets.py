@@ -31,9 +31,18 @@ TEST_PATH = "test|example|sample|fixture|mock|docs"
 
 FEATURES = (
     "length", "class_changes", "digits", "capitals", "symbols", "common_pairs", "dictionary", "hex_only", "known_prefix",
-    "assigned", "secret_near", "harmless_near", "test_path",
+    "assigned", "secret_near", "harmless_near", "test_path", "letters_only", "assigned_to_secret",
 )
 
+# A name that holds a secret word, what assigns to it, and what may stand around a value.
+SECRET_NAME = rf"(?:{'|'.join(SECRET_WORDS)})[A-Za-z0-9_\-]*[\"'\])]*"
+ASSIGNS = r"(?:=>|:=|->|[=:])+"
+# a value goes on to the next name that is assigned to, or to the end of the word
+ASSIGNED = rf"(?i){SECRET_NAME}{ASSIGNS}(.+?)(?=[;,&|][\"']?[A-Za-z_][A-Za-z0-9_\-]*[\"']?[=:]|$)"
+NAMES_NEXT = rf"(?i){SECRET_NAME}(?:{ASSIGNS})?$"
+JOINS = rf"(?i)^(?:{ASSIGNS}|is|was)$"
+PHRASE = rf"""(?i){SECRET_NAME}[ \t]*{ASSIGNS}[ \t]*(?:"[^"\r\n \t]*[ \t][^"\r\n]*"|'[^'\r\n \t]*[ \t][^'\r\n]*')"""
+
 
 @dataclass(frozen=True)
 class Forest:
@@ -71,7 +80,7 @@ def features(value: Column, word: Column, before: Column, after: Column, path: C
         (F.length(value) - F.length(F.regexp_replace(low, _any(DICTIONARY), ""))) / size,
         value.rlike("^[0-9a-f]+$"), value.rlike("^(AKIA|ASIA|ghp_|gho_|sk_|pk_|xox|AIza|eyJ|glpat)"),
         F.call_function("substring_index", word, value, F.lit(1)).rlike("[=:]"), lead.rlike(_any(SECRET_WORDS)), near.rlike(rf"\b({_any(HARMLESS_WORDS)})\b"),
-        F.lower(path).rlike(TEST_PATH),
+        F.lower(path).rlike(TEST_PATH), value.rlike("^[A-Za-z]+$"), lead.rlike(rf"""{SECRET_NAME}\s*{ASSIGNS}\s*["'(]*$"""),
     )
     return F.array(*[c.cast("double") for c in made])
 
@@ -79,8 +88,10 @@ def features(value: Column, word: Column, before: Column, after: Column, path: C
 def labelled_findings(spark: SparkSession, rows: int = 4_000) -> DataFrame:
     """A bounded table of labelled findings made by rule: value, word, before, after, path, label.
 
-    Every second row is a secret in one of the usual forms; the others are what such patterns
-    also hit: commit and content hashes, identifiers, slugs, placeholders, version strings.
+    Every second row is a secret in one of the usual forms, short, punctuated and all-digit
+    passwords and passphrases among them; the others are what such patterns also hit: commit
+    and content hashes, identifiers, slugs, placeholders, version strings, long words, numbers
+    and the words of sentences about passwords and tokens.
     """
     n = F.col("id")
     hexes = F.concat(F.sha2(F.concat(n.cast("string"), F.lit("a")), 256), F.md5(n.cast("string")))
@@ -92,12 +103,12 @@ def labelled_findings(spark: SparkSession, rows: int = 4_000) -> DataFrame:
         return F.element_at(words, (F.pmod(F.xxhash64(n, F.lit(salt)), F.lit(12)) + 1).cast("int"))
 
     number = F.pmod(F.xxhash64(n, F.lit(9)), F.lit(9_000)) + 1_000
-    kind = F.pmod(F.floor(n / 2), F.lit(8))
+    kind = F.pmod(F.floor(n / 2), F.lit(16))
     good = n % 2 == 0
 
     def pick(of_secrets: list[Column], of_others: list[Column]) -> Column:
         out = F.lit(None).cast("string")
-        for k in range(8):
+        for k in range(16):
             out = F.when(good & (kind == k), of_secrets[k]).when(~good & (kind == k), of_others[k]).otherwise(out)
         return out
 
@@ -106,20 +117,38 @@ def labelled_findings(spark: SparkSession, rows: int = 4_000) -> DataFrame:
 
     slug = F.concat_ws("-", word(1), word(2), word(3), number.cast("string"))
     name = F.concat_ws("_", word(1), word(2), F.concat(F.lit("v"), number.cast("string")))
+    plain = F.regexp_replace(coded, "[+/]", "")
+    marks = F.array(*[F.lit(c) for c in "!.@$%#"])
+    mark = F.element_at(marks, (F.pmod(F.xxhash64(n, F.lit(11)), F.lit(6)) + 1).cast("int"))
+    some = (F.pmod(F.xxhash64(n, F.lit(12)), F.lit(4)) + 6).cast("int")  # 6 to 9
+    digits = F.lpad(F.pmod(F.xxhash64(n, F.lit(13)), F.lit(10**15)).cast("string"), 15, "7")
+    prose = F.array(*[F.lit(w) for w in ("and", "the", "of", "was", "is", "that", "for", "expired", "field", "must", "reset", "manager", "between", "ring", "north", "thorlyedon", "entionre", "policy")])
+
+    def said(salt: int) -> Column:
+        return F.element_at(prose, (F.pmod(F.xxhash64(n, F.lit(salt)), F.lit(18)) + 1).cast("int"))
+
     guid = F.concat_ws("-", cut(hexes, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 12))
     value = pick(
         [F.concat(F.lit("AKIA"), cut(upper, 16)), cut(hexes, 18), cut(hexes, 40), cut(coded, 40), F.concat(F.lit("ghp_"), cut(F.regexp_replace(coded, "[+/]", ""), 36)),
-         cut(hexes, 32), cut(F.regexp_replace(coded, "[+/]", ""), 24), F.concat(F.lit("sk_live_"), cut(F.regexp_replace(coded, "[+/]", ""), 24))],
+         cut(hexes, 32), cut(F.regexp_replace(coded, "[+/]", ""), 24), F.concat(F.lit("sk_live_"), cut(F.regexp_replace(coded, "[+/]", ""), 24)),
+         F.substring(plain, F.lit(1), some), F.concat(cut(plain, 4), mark, F.substring(plain, F.lit(5), some - 3)), F.substring(digits, F.lit(1), some), F.concat_ws(" ", word(1), word(2), word(3), word(6)),
+         F.concat(F.lit("AKIA"), cut(F.regexp_replace(upper, "[2-7]", ""), 16)), F.substring(plain, F.lit(1), some), F.concat(cut(word(1), 5), mark, cut(digits, 3)), F.concat(cut(plain, 3), mark, F.substring(plain, F.lit(4), some), mark)],
         [cut(hexes, 40), cut(hexes, 32), guid, slug, name, F.concat(F.lit("your_api_key_"), number.cast("string")), F.concat(word(1), word(2), word(3), number.cast("string")),
-         F.concat(F.lit("changeme_example_"), number.cast("string"))],
+         F.concat(F.lit("changeme_example_"), number.cast("string")),
+         F.concat(word(1), word(2), word(3)), said(1), F.concat(F.initcap(word(1)), F.initcap(word(2)), F.initcap(word(3))), F.substring(digits, F.lit(1), some + 6),
+         said(1), F.concat_ws("/", F.lit(""), word(1), word(2), word(3)), F.element_at(F.array(*[F.lit(w) for w in ("changeme", "example", "your_password", "placeholder")]), (number % 4 + 1).cast("int")), F.upper(F.concat_ws("_", word(1), word(2), word(3)))],
     )
     lead = pick(
-        [F.lit(""), F.lit("password="), F.lit('"'), F.lit("aws_secret_access_key="), F.lit(""), F.lit("api_key:"), F.lit("pwd="), F.lit('secret:"')],
-        [F.lit(""), F.lit("md5:"), F.lit(""), F.lit("/"), F.lit(""), F.lit("api_key="), F.lit(""), F.lit("password=")],
+        [F.lit(""), F.lit("password="), F.lit('"'), F.lit("aws_secret_access_key="), F.lit(""), F.lit("api_key:"), F.lit("pwd="), F.lit('secret:"'),
+         F.lit("password="), F.lit('pwd="'), F.lit("passwd:"), F.lit('password="'), F.lit(""), F.lit(""), F.lit("password="), F.lit("secret=")],
+        [F.lit(""), F.lit("md5:"), F.lit(""), F.lit("/"), F.lit(""), F.lit("api_key="), F.lit(""), F.lit("password="),
+         F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.lit(""), F.lit("password="), F.lit("")],
     )
     before = pick(
-        [word(4), word(4), F.lit("token ="), word(4), word(4), word(4), word(4), word(4)],
-        [F.lit("in commit"), F.lit("file checksum"), F.lit("request uuid"), word(4), F.concat_ws(" ", F.lit("the"), word(4)), F.lit("set"), word(4), word(4)],
+        [word(4), word(4), F.lit("token ="), word(4), word(4), word(4), word(4), word(4),
+         word(4), word(4), word(4), word(4), word(4), F.lit("the password"), word(4), word(4)],
+        [F.lit("in commit"), F.lit("file checksum"), F.lit("request uuid"), word(4), F.concat_ws(" ", F.lit("the"), word(4)), F.lit("set"), word(4), word(4),
+         word(4), F.lit("the password"), word(4), F.concat_ws(" ", word(4), F.lit("number")), F.lit("a token"), word(4), word(4), word(4)],
     )
     path = F.when(n % 7 == 0, "docs/example.md").otherwise(F.concat(F.lit("src"), (n % 50).cast("string")))
     return spark.range(rows).select(
@@ -156,30 +185,64 @@ def with_candidates(docs: DataFrame, model: RandomForestClassificationModel, pat
     """``docs`` with all candidates of each text as structs (word_no, value, score), in order
     of appearance, in one more column, whose name is returned too.
 
-    A candidate is a run of at least twelve letters, digits and ``_ + / -`` with a letter and a
-    digit, within a word. Texts without one cost a pattern test; what a lambda reads of the
-    whole text is a column of the projection below it, made once per row.
+    A candidate is, within a word, a run of at least twelve letters, digits and ``_ + / -``, or
+    whatever is assigned to a name with a secret word or stands next to one, however short; and
+    a quoted phrase of several words that is assigned to such a name on one line. Texts without
+    any of them cost a pattern test; what a lambda reads of the whole text is a column of the
+    projection below it, made once per row.
     """
-    words, result = fresh(docs, "words_of_text"), fresh(docs, "candidates_of_text")
+    words, named, phrases, result = (fresh(docs, c) for c in ("words_of_text", "names_of_text", "phrases_of_text", "candidates_of_text"))
     path = docs[path_col] if path_col in docs.columns else F.lit("")
-    text = F.when(_suspect(docs["text"]), docs["text"]).otherwise("")
-    docs = docs.withColumn(words, F.split(text, BLANKS))
-    suspects = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].rlike("[0-9]") & x["w"].rlike(CANDIDATE))
+    of_secrets = F.coalesce(docs["text"].rlike(f"(?i){_any(SECRET_WORDS)}"), F.lit(False))
+    text = F.when(of_secrets | F.coalesce(docs["text"].rlike(CANDIDATE), F.lit(False)), docs["text"]).otherwise("")
+    empty = F.array().cast("array<string>")
+    docs = docs.withColumns({words: F.split(text, BLANKS), phrases: F.when(of_secrets, F.regexp_extract_all(docs["text"], F.lit(PHRASE), F.lit(0))).otherwise(empty)}).withColumn(
+        named, F.when(of_secrets, F.transform(words, lambda w: w.rlike(NAMES_NEXT))).otherwise(F.array().cast("array<boolean>"))
+    )
+
+    def follows(i: Column) -> Column:
+        """Whether word i stands next to a name with a secret word."""
+        return F.coalesce(F.get(named, i - 1) | (F.get(named, i - 2) & F.get(words, i - 1).rlike(JOINS)), F.lit(False))
+
+    def suspect(x: Column) -> Column:
+        long = (F.length(x["w"]) >= 12) & x["w"].rlike(CANDIDATE)
+        return long | ((F.size(named) > 0) & (follows(x["i"]) | x["w"].rlike(ASSIGNED)))
+
+    suspects = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), suspect)
 
     def of_word(x: Column) -> Column:
         before = F.concat_ws(" ", F.get(F.col(words), x["i"] - 2), F.get(F.col(words), x["i"] - 1))
         after = F.get(F.col(words), x["i"] + 1)
-        values = F.filter(F.regexp_extract_all(x["w"], F.lit(CANDIDATE), F.lit(0)), lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
-        return F.transform(values, lambda v: F.struct(x["i"].alias("word_no"), v.alias("value"), features(v, x["w"], before, after, path).alias("f")))
+        told = F.regexp_extract_all(x["w"], F.lit(ASSIGNED), F.lit(1))
+        next_one = F.when((F.size(told) == 0) & follows(x["i"]) & ~x["w"].rlike(JOINS), F.array(x["w"])).otherwise(empty)
+        begins = lambda v: v.rlike("""^["'][^"']*$""") & F.exists(phrases, lambda p: F.contains(p, v))
+        bare = F.filter(F.transform(F.filter(F.concat(told, next_one), lambda v: ~begins(v)), _bare), lambda v: v.rlike("[A-Za-z0-9]"))
+        runs = F.filter(F.regexp_extract_all(x["w"], F.lit(CANDIDATE), F.lit(0)), lambda v: ~F.exists(bare, lambda b: F.contains(b, v)))
+        return F.transform(F.concat(bare, runs), lambda v: F.struct(x["i"].alias("word_no"), v.alias("value"), features(v, x["w"], before, after, path).alias("f")))
+
+    whole = F.when(of_secrets, docs["text"]).otherwise("")
+
+    def of_phrase(found: Column) -> Column:
+        """Phrases with the number of the word that their first word is in."""
+        between = F.split(whole, PHRASE, -1)
+
+        def placed(m: Column, k: Column) -> Column:
+            lead = F.regexp_extract(m, r"""^[^=:>]*[=:>]+[ \t]*["']""", 0)
+            told = F.concat(F.array_join(F.zip_with(F.slice(between, 1, k + 1), F.slice(found, 1, k), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""), lead)
+            value = F.substring(m, F.length(lead) + 1, F.length(m) - F.length(lead) - 1)
+            return F.struct(F.regexp_count(told, F.lit(BLANKS)).cast("int").alias("word_no"), value.alias("value"), features(value, m, F.lit(""), F.lit(""), path).alias("f"))
+
+        return F.transform(found, placed)
 
-    candidates = F.flatten(F.transform(suspects, of_word))
+    candidates = F.concat(F.flatten(F.transform(suspects, of_word)), of_phrase(F.col(phrases)))
     scored = F.transform(candidates, lambda c: F.struct(c["word_no"], c["value"], compiled(model, c["f"]).alias("score")))
-    return docs.withColumn(result, scored).drop(words), result
+    return docs.withColumn(result, scored).drop(words, named, phrases), result
 
 
-def _suspect(text: Column) -> Column:
-    """Whether a text can hold a candidate at all."""
-    return F.coalesce(text.rlike(r"(?=[A-Za-z_+/\-]{0,200}[0-9])" + CANDIDATE) | text.rlike(r"[A-Za-z0-9_+/\-]{200}"), F.lit(False))
+def _bare(value: Column) -> Column:
+    """A value without its quotes, or without the punctuation that ends it."""
+    quoted = F.regexp_extract(value, r"""^(["'`])(.+?)\1""", 2)
+    return F.when(quoted != "", quoted).otherwise(F.regexp_replace(value, r"""^["'`(<\[{]+|["'`,;:.)\]}>]+$""", ""))
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, job: Forest = Forest(), path_col: str = "source") -> DataFrame:
@@ -205,7 +268,10 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, job: Forest
     values = F.transform(F.filter(name, lambda c: c["score"] >= job.threshold), lambda c: F.struct((-F.length(c["value"])).alias("n"), c["value"].alias("v")))
     secrets = fresh(found, "secrets_of_text")
     found = found.withColumn(secrets, F.array_sort(F.array_distinct(values)))
-    cleaned = F.aggregate(secrets, F.col("text"), lambda acc, s: F.replace(acc, s["v"], F.lit(mark)))
+    # a short secret is cut only where it stands alone, not out of longer words
+    alone = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+    cut = lambda acc, v: F.when(F.length(v) >= 12, F.replace(acc, v, F.lit(mark))).otherwise(F.regexp_replace(acc, alone(v), F.lit(mark)))
+    cleaned = F.aggregate(secrets, F.col("text"), lambda acc, s: cut(acc, s["v"]))
     out = {"text": F.when(F.size(secrets) > 0, cleaned).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.size(secrets) > 0, F.length(cleaned).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
