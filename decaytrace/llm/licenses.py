@@ -40,6 +40,76 @@ NOTICES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+_GNU = {
+    "GPL": ("General", "1", "2", "3"), "LGPL (library)": ("Library General", "2"), "LGPL": ("Lesser General", "2.1", "3"), "AGPL": ("Affero General", "1", "3"),
+}
+for _name, (_title, *_versions) in _GNU.items():
+    for _v in _versions:
+        _id = f"{_name.split()[0]}-{_v if '.' in _v else _v + '.0'}"
+        NOTICES.setdefault(_id, f"This work is licensed under the GNU {_title} Public License, version {_v}.")
+        if _id != "GPL-3.0":  # that one is above, as GPL (header)
+            _thing = "library" if "LGPL" in _name else "program"
+            NOTICES[f"{_id} (header)"] = (
+                f"This {_thing} is free software: you can redistribute it and/or modify it under the terms of the GNU {_title} Public License as published "
+                f"by the Free Software Foundation, either version {_v} of the License, or (at your option) any later version."
+            )
+_TERMS = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+for _kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+    for _v in ("4.0", "3.0", "2.5", "2.0", "1.0"):
+        NOTICES.setdefault(f"CC-{_kind}-{_v}", f"Licensed under CC {_kind} {_v}.")
+        _long = "-".join(_TERMS[t] for t in _kind.split("-"))
+        NOTICES[f"CC-{_kind}-{_v} (name)"] = f"licensed under a Creative Commons {_long} {_v} License"
+        if "ND" in _kind and _v != "4.0":  # the older versions' own name
+            NOTICES[f"CC-{_kind}-{_v} (old name)"] = NOTICES[f"CC-{_kind}-{_v} (name)"].replace("NoDerivatives", "NoDerivs")
+for _v in ("1.0", "1.1"):
+    NOTICES[f"Apache-{_v}"] = f"Licensed under the Apache License, Version {_v}."
+    NOTICES[f"MPL-{_v}"] = f"The contents of this file are subject to the Mozilla Public License Version {_v}"
+for _v in ("1.0", "2.0"):
+    NOTICES[f"EPL-{_v}"] = f"made available under the terms of the Eclipse Public License {_v}"
+    NOTICES[f"EPL-{_v} (v)"] = f"made available under the terms of the Eclipse Public License v{_v}"
+_AS_IS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_TWO = (
+    f"{NOTICES['BSD']}: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary "
+    "form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+NOTICES |= {
+    "BSD-2-Clause": f"{_TWO} {_AS_IS}",
+    "BSD-3-Clause": (
+        f"{_TWO} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        f"without specific prior written permission. {_AS_IS}"
+    ),
+    "MIT (text)": (
+        f"{NOTICES['MIT (grant)']}, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this "
+        "permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR "
+        "IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT "
+        "HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE "
+        "OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies."
+    ),
+    "CC0-1.0": "This work is dedicated to the public domain under CC0 1.0 Universal.",
+    "CC0-1.0 (waiver)": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either "
+        "in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+}
+
+# Words that tell look-alikes apart. Those of a notice must all match, and no
+# others may stand between its first and its last word; numbers count where the notice has one.
+NUMBERS = frozenset(f"{v}{n}".encode() for v in ("", "v") for n in range(10))
+DECIDING = frozenset(b"cc cc0 nc nd sa lesser affero library attribution noncommercial sharealike noderivatives noderivs neither endorse apache mozilla eclipse".split())
+
 SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
@@ -116,6 +186,9 @@ class Notices:
         self.job = job
         self.words = {name: words_of(t.encode()) for name, t in job.notices.items()}
         self.words = {name: w for name, w in self.words.items() if w}
+        self.deciding = {name: DECIDING | (NUMBERS if NUMBERS.intersection(w) else frozenset()) for name, w in self.words.items()}
+        # a program may be under the lesser license too
+        self.must = {name: self.deciding[name].intersection(w) - {b"0"} - ({b"library"} if b"lesser" in w else set()) for name, w in self.words.items()}
         self.keys: dict[bytes, list[str]] = {}
         for name, w in self.words.items():
             needed = len(w) - math.ceil(job.coverage * len(w)) + 1
@@ -127,14 +200,16 @@ class Notices:
         """(start word, end word, notice, matched words, coverage) in a whole text; of notices
         that overlap the one with the most coverage, then words, then the first name."""
         words = words_of(text)
-        hit = self.key_set.intersection(words)
+        held = set(words)
+        hit = self.key_set & held
         if not hit:
             return []
         places: dict[str, list[int]] = {}
         for i, w in enumerate(words):
             if w in hit:
                 for name in self.keys[w]:
-                    places.setdefault(name, []).append(i)
+                    if self.must[name] <= held:
+                        places.setdefault(name, []).append(i)
         seen = []
         for name, at in places.items():
             notice = self.words[name]
@@ -168,12 +243,25 @@ class Notices:
                 continue
             first, last = b + pairs[0][0], b + pairs[-1][0] + 1
             share = len(pairs) / len(notice)
-            if share >= self.job.coverage and len(pairs) >= self.job.density * (last - first):
+            if share >= self.job.coverage and len(pairs) >= self.job.density * (last - first) and self._decided(words[first : last + 1], name, notice, [(b + x - first, y) for x, y in pairs]):
                 out.append((first, last, name, len(pairs), share))
                 at = last
         return out
 
 
+    def _decided(self, text: list[bytes], name: str, notice: list[bytes], pairs: list[tuple[int, int]]) -> bool:
+        """Whether the deciding words of the notice all match and no others stand between. A
+        version may be without its last zero, if no other number stands there. ``text`` has
+        the word after the match too."""
+        deciding, free = self.deciding[name], {b"library"} if b"lesser" in notice else set()
+        of_text, of_notice = {x for x, _ in pairs}, {y for _, y in pairs}
+        last = pairs[-1][0] + 1
+        bare = notice[-1] == b"0" and not NUMBERS.intersection(text[last:])
+        return all(i in of_notice or (bare and i == len(notice) - 1) for i, w in enumerate(notice) if w in deciding and w not in free) and all(
+            i in of_text for i, w in enumerate(text[:last]) if w in deciding and w not in free
+        )
+
+
 def scan(docs: DataFrame, job: LicenseScan = LicenseScan()) -> DataFrame:
     """doc_id, license, coverage, matched_words, start_word, end_word: one row per notice found.
 

@@ -192,3 +192,24 @@ def test_secrets_without_digits_short_ones_and_phrases(spark):
     assert all(clean[i] == t.replace(v, "[SECRET]") for i, (t, v) in secret.items()) and all(clean[i] == t for i, t in harmless.items())
     again = secrets.redact(documents(spark, [(1, "pwd=Xk4pQz9w then Xk4pQz9wAB and Xk4pQz9w.")]), model).collect()
     assert again[0]["text"] == "pwd=[SECRET] then Xk4pQz9wAB and [SECRET]."
+
+
+def test_look_alike_licenses_are_told_apart():
+    finder = licenses.Notices(licenses.LicenseScan())
+    pairs = {
+        "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY 3.0.": "CC-BY-3.0", "Licensed under CC BY-SA 2.5.": "CC-BY-SA-2.5",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0 (name)",
+    }
+    for text, name in pairs.items():
+        assert [f[2] for f in finder.found(f"some words before {text} and more after it".encode())] == [name], text
+    for name, text in licenses.NOTICES.items():  # each whole text is found under its own name
+        assert [f[2] for f in finder.found(text.encode())] == [name], name
+    assert finder.found(b"Licensed under CC BY-XX 9.0.") == []
+    assert [f[2] for f in finder.found(b"Licensed under the Apache License, Version 2")] == ["Apache-2.0"]
+    assert finder.found(b"Licensed under the Apache License, Version 2.7") == []
+    numbered = licenses.NOTICES["BSD-2-Clause"].replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in")
+    assert [f[2] for f in finder.found(numbered.encode())] == ["BSD-2-Clause"]
