@@ -138,10 +138,8 @@ def results_tables(
                          *[c.alias(n) for c, n in zip(padded, "abcd")])
 
     def listed(by):
-        # a list only where the gate bounds it, else the number of values
-        shown = F.when(F.col("is_categorical"), F.col("value"))
-        joined = F.array_join(F.array_sort(F.collect_list(shown)), ", ")
-        return F.when(F.first("is_categorical"), joined).otherwise(F.concat(F.count("*").cast("string"), F.lit(" values"))).alias(by)
+        # every value by name, however many: the cell is as long as the list that it reports
+        return F.array_join(F.array_sort(F.collect_list("value")), ", ").alias(by)
 
     new = profile.new_values(feed, segment, period).groupBy(F.col("first_seen").alias(period)).agg(
         listed("new"), F.sum("rows_in_first_period").alias("n")

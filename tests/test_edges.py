@@ -4,7 +4,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from decaytrace.functions import encoding as enc, numbers, text, times
-from decaytrace.operators import attribution, claims, drift, ledger, monitors, profile
+from decaytrace.operators import attribution, claims, diagnose, drift, ledger, monitors, profile
+from decaytrace.plans import fixture as fx
 from decaytrace.sources import registry
 
 
@@ -208,3 +209,15 @@ def test_notes_list_all_features(spark):
     out = dict((r[1], r[2]) for r in rows(ledger.annotate_column(cat, found, feats)))
     assert out == {"c": "old\n\n[decay] changed. Feeds 9: f0, f1, f2, f3, f4, f5, f6, f7, f8.", "x": "kept"}
     assert F is not None
+
+
+def test_the_report_names_every_value_of_a_period_with_many(spark):
+    d = "/root/testdata/sf0.001"
+    feed = fx.feed(spark, d).select("feed_month", F.col("vendor_id").cast("int").alias("vendor_id"))
+    late = feed.agg(F.max("feed_month")).first()[0]
+    wide = feed.unionByName(spark.range(60).select(F.lit(late).alias("feed_month"), (F.col("id") + 1000).cast("int").alias("vendor_id")))
+    report = diagnose.results_tables(wide, fx.mart(spark, d), fx.served(spark, d), "vendor_id", fx.NEW_CODE, "avg_speed_mph", ["trip_distance"])
+    said = {r["key"]: r for r in report.where("section = 'values'").collect()}
+    added = {str(1000 + i) for i in range(60)}
+    assert added <= set(said[late]["a"].split(", ")) and added <= set(said[late]["b"].split(", "))
+    assert all("values" not in r["a"] for r in said.values())
