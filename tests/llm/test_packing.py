@@ -73,3 +73,27 @@ def test_blocks_are_packed_together_in_the_end(spark):
     got = packing.pack(documents(spark, texts), replace(tokenizer_settings(), block_items=20))
     assert got.select("sequence_id").distinct().count() <= -(-got.agg({"length": "sum"}).first()[0] // 2048) + 3
     assert got.count() == 150
+
+
+def test_sequences_of_many_levels_have_numbers_of_their_own(spark, monkeypatch):
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    job, levels = replace(tokenizer_settings(), block_items=1), []
+
+    def one_in_seven_settles(items, blocks, job):
+        rows = sorted(r["row"] for r in items.collect())
+        levels.append(rows)
+        many = -(-len(rows) // 7)
+        placed = [(r, 1, 0, k, job.capacity if k < many or len(rows) == 1 else 1, 0) for k, r in enumerate(rows)]
+        return spark.createDataFrame(placed, "row long, length int, block long, bin long, filled long, offset long")
+
+    made = spark.range(120).select(
+        F.col("id").alias("row"), F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).alias("start"), F.lit(1).alias("length"), F.lit(0).alias("ids_crc32")
+    )
+    monkeypatch.setattr(packing, "pieces", lambda docs, job: made)
+    monkeypatch.setattr(packing, "pack_blocks", one_in_seven_settles)
+    got = packing.pack(documents(spark, [(1, "a")]), job).collect()
+    assert len(levels) >= 20 and len(got) == 120
+    assert len({r["sequence_id"] for r in got}) == 120
