@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import attribution, claims, diagnose, features, ledger, scoring
+from ..session import materialize
 from ..streaming import monitors as streaming
 from . import fixture as fx
 from .catalog import register
@@ -309,16 +310,13 @@ UNION ALL SELECT 'impact', '7', CAST(n AS VARCHAR), format('{:,.2f}', na), forma
 
 # ------------------------------------------------------------------ boosted trees (no SQL equivalent)
 
-# The library's default is 250 trees; each costs nine jobs or so, minutes even on a small table,
-# so the registered query grows 20 of the full depth.
-FEWER = scoring.GBT_SETTINGS | {"maxIter": 20}
-
 
 def boosted(spark, d):
-    rows = fx.mart(spark, d).withColumn("is_new_code", features.enc.extra_flag("vendor_id", fx.NEW_CODE))
+    # each of the 250 trees of an arm costs several jobs: all read one written table
+    rows = materialize(fx.mart(spark, d).withColumn("is_new_code", features.enc.extra_flag("vendor_id", fx.NEW_CODE)), "arms")
     arms = {
-        "predicted_total": scoring.GbtArm(features.FEATURES, fx.TRAIN_PERIODS, FEWER),
-        "control_predicted_total": scoring.GbtArm([*features.FEATURES, "is_new_code"], fx.CONTROL_PERIODS, FEWER),
+        "predicted_total": scoring.GbtArm(features.FEATURES, fx.TRAIN_PERIODS),
+        "control_predicted_total": scoring.GbtArm([*features.FEATURES, "is_new_code"], fx.CONTROL_PERIODS),
     }
     return rows, {name: arm.fit(rows, features.TARGET) for name, arm in arms.items()}
 

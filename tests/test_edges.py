@@ -4,8 +4,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from decaytrace.functions import encoding as enc, numbers, text, times
-from decaytrace.operators import attribution, claims, diagnose, drift, ledger, monitors, profile
-from decaytrace.plans import fixture as fx
+from decaytrace.operators import attribution, claims, diagnose, drift, ledger, monitors, profile, scoring
+from decaytrace.plans import fixture as fx, record_queries
 from decaytrace.sources import registry
 
 
@@ -221,3 +221,10 @@ def test_the_report_names_every_value_of_a_period_with_many(spark):
     added = {str(1000 + i) for i in range(60)}
     assert added <= set(said[late]["a"].split(", ")) and added <= set(said[late]["b"].split(", "))
     assert all("values" not in r["a"] for r in said.values())
+
+
+def test_the_registered_arms_have_the_settings_of_the_reference(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(scoring.GbtArm, "fit", lambda arm, rows, target: seen.append(dict(arm.settings)))
+    record_queries.boosted(spark, "/root/testdata/sf0.001")
+    assert seen == [scoring.GBT_SETTINGS] * 2 and scoring.GBT_SETTINGS["maxIter"] == 250
