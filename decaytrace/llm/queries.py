@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import balltree, classifier, licenses, minhash, packing, rules, secrets, sentencepieces, substrings, warc
+from . import balltree, classifier, licenses, merkle, minhash, packing, rules, secrets, sentencepieces, substrings, warc
 from .common import findable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate in every document with the forest's verdict."""
     return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+
+
+@query("op11_merkle_manifest", merkle.SQL)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of every document, and whether its version, tampered with or not, still has the root."""
+    return merkle.tampered(table(spark, sf_dir, "documents"))
