@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from . import balltree, classifier, licenses, merkle, minhash, packing, periods, rules, secrets, sentencepieces, substrings, warc
+from . import balltree, classifier, licenses, merkle, minhash, packing, periods, retrieval, rules, secrets, sentencepieces, substrings, warc
 from .common import findable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,8 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs of every document, some of which have a period planted, and the text without them."""
     return periods.report(periods.with_planted_period(table(spark, sf_dir, "documents")))
+
+
+@query("op13_lexical_packing")
+def lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.pack(table(spark, sf_dir, "documents"), retrieval.Retrieval(tokenizer_settings()))
