@@ -121,21 +121,94 @@ def test_repeated_passages_are_cut_once_everywhere_but_first(spark):
             assert r["n_chars"] in (len(r["text"]), len(old[r["doc_id"]]), 60)
 
 
+def digests(text, job=substrings.Chunking()):
+    return set(map(tuple, substrings.keys_of([text], job)[0].tolist()))
+
+
 def test_chunks_resist_insertions():
     rng = random.Random(2)
     text = sentence(rng, 600).encode()
     job = substrings.Chunking()
-    before = set(substrings.keys_of([text], job)[0].tolist())
-    after = set(substrings.keys_of([text[:1500] + b" inserted words " + text[1500:]], job)[0].tolist())
-    assert len(before - after) <= 12 < len(before) / 4
-    assert set(substrings.keys_of([b"other", b"", text], job)[0].tolist()) == before
+    before, after = digests(text), digests(text[:1500] + b" inserted words " + text[1500:])
+    assert len(before - after) <= 4 < len(before) / 4
+    assert set(map(tuple, substrings.keys_of([b"other", b"", text], job)[0].tolist())) - digests(b"other") == before
+    assert digests(text.replace(b" ", b"\n")) == before  # whatever blanks part the words
+    joined, of, start, end = substrings.chunks_of([b" a b", b"", text], job)
+    assert (start[1:] >= end[:-1]).all() and sorted(set(of.tolist())) == [0, 2]
+    assert all(joined[x:y].strip() for x, y in zip(start, end, strict=True))
+
+
+def blank_free(rng, n):
+    return "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+
+
+def test_text_without_blanks_has_chunks_of_its_own(spark):
+    rng = random.Random(12)
+    shared = {"han": blank_free(rng, 1500), "code": "".join(rng.choice("abcdefgh(){};=+.01") for _ in range(3000))}
+    for passage in shared.values():
+        one, two = digests(("x" + passage).encode()), digests(("entirely other words before " + passage + "tail").encode())
+        assert len(one & two) > 0.8 * len(one)
+    texts, k = [], 0
+    for passage in shared.values():
+        for _ in range(3):
+            texts.append((k, blank_free(rng, 300) + passage + blank_free(rng, 300)))
+            k += 1
+    texts.append((90, blank_free(rng, 2000)))
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(documents(spark, texts), details=True).collect()}
+    old = dict(texts)
+    for i in range(6):
+        if i % 3:
+            assert len(old[i]) - len(got[i]["text"]) > 0.9 * len(shared["han" if i < 3 else "code"]) and got[i]["source_ids"] == [i - i % 3]
+            assert got[i]["text"][:250] == old[i][:250] and got[i]["text"][-250:] == old[i][-250:]
+        else:
+            assert got[i]["text"] == old[i]
+    assert got[90]["text"] == old[90]
+
+
+def test_spans_equal_a_brute_force_over_chunks(spark):
+    texts, _ = corpus(seed=3, n=25)
+    rng = random.Random(5)
+    texts += [(400 + k, sentence(rng, 60) + " " + texts[k][1] + " " + sentence(rng, 10) + " " + texts[k][1]) for k in range(5)]
+    job = substrings.Chunking()
+    first, chunks = {}, {}
+    for i, t in sorted(texts):
+        digest, _, start, end = substrings.keys_of([t.encode()], job)
+        chunks[i] = list(zip(map(tuple, digest.tolist()), start.tolist(), end.tolist(), strict=True))
+        for d, s, _ in chunks[i]:
+            first.setdefault(d, (i, s))
+    want = {}
+    for i, t in texts:
+        runs = []
+        for d, s, e in chunks[i]:
+            if first[d] != (i, s):
+                if runs and runs[-1][1] == s:
+                    runs[-1][1] = e
+                else:
+                    runs.append([s, e])
+        want[i] = [r for r in runs if len(t.encode()[r[0] : r[1]].split()) >= job.least_words]
+    got = substrings.remove_repeats(documents(spark, texts).repartition(4), details=True).collect()
+    assert sum(map(len, want.values())) > 20
+    for r in got:
+        assert [list(x) for x in zip(r["removed_starts"], r["removed_ends"], strict=True)] == want[r["doc_id"]]
+
+
+def test_nearly_all_of_a_passage_of_51_words_is_found():
+    rng = random.Random(31)
+    job, caught = substrings.Chunking(), []
+    for _ in range(300):
+        passage = sentence(rng, 51)
+        one, two = (sentence(rng, rng.randint(20, 90)) + " " + passage + " " + sentence(rng, 60) for _ in range(2))
+        keys = set(map(tuple, substrings.keys_of([one.encode()], job)[0].tolist()))
+        d, _, s, e = substrings.keys_of([two.encode()], job)
+        caught.append(sum(substrings.n_words(two.encode()[a:b]) for x, a, b in zip(map(tuple, d.tolist()), s.tolist(), e.tolist(), strict=True) if x in keys))
+    assert min(caught) >= job.least_words and np.mean(caught) > 35
 
 
-def test_keys_equal_a_plain_rolling_hash():
+def test_boundaries_come_from_a_plain_rolling_hash():
     rng = random.Random(8)
     text = (sentence(rng, 80) + "  \n " + sentence(rng, 40)).encode()
     h, plain = 0, []
     for byte in text:
-        h = (2 * h + substrings.GEAR[byte]) % 256
+        h = (2 * h + int(substrings.GEAR[byte])) % 65536
         plain.append(h)
-    assert substrings.gear(text)[7:].tolist() == plain[7:]
+    assert substrings.gear(text)[15:].tolist() == plain[15:]
