@@ -212,7 +212,7 @@ STATE = "block long, island int, rows binary, lengths binary, members array<bina
 
 def _start(job: Packing):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row")
+        pdf = pdf.sort_values(["length", "deal", "row"])
         rows, lengths = pdf["row"].to_numpy(np.int64).tobytes(), pdf["length"].to_numpy(np.int64)
         n = job.islands
         return pd.DataFrame({
@@ -259,8 +259,9 @@ def _placed(job: Packing):
 
 
 def pack_blocks(items: DataFrame, blocks: int, job: Packing) -> DataFrame:
-    """Pack (row, length) in ``blocks`` blocks, each on islands of its own."""
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    """Pack (row, deal, length) in ``blocks`` blocks, each on islands of its own. ``deal`` is a
+    hash of what the piece is, so the blocks do not depend on how the rows are partitioned."""
+    dealt = items.withColumn("block", F.pmod("deal", F.lit(blocks)))
     state = dealt.groupBy("block").applyInPandas(_start(job), STATE)
     for epoch in range(job.epochs):
         if epoch:
@@ -278,9 +279,7 @@ def pack_blocks(items: DataFrame, blocks: int, job: Packing) -> DataFrame:
 
 
 def sequence_number(block: Column, bin_: Column, level: int) -> Column:
-    """An even number for each (level, block, bin): 10 bits of level above 31 of block and 20 of
-    bin. Each level but the last keeps at most nine tenths of the items, so 2 ** 63 of them make
-    fewer than 450 levels."""
+    """An even number for each (level, block, bin): 10 bits of level above 31 of block and 20 of bin."""
     if not 0 <= level < 1 << 10:
         raise ValueError(f"level {level} has no number")
     return ((F.lit(level).cast("long") * (1 << 31) + block.cast("long")) * (1 << 20) + bin_.cast("long")) * 2
@@ -292,26 +291,33 @@ def pack(docs: DataFrame, job: Packing) -> DataFrame:
     A null or empty text is one piece of the end id alone. A document longer than a sequence
     is cut into full pieces after a shorter first one; full pieces are sequences as they are.
     All others go to blocks of bounded size by a hash, and every block is packed by a
-    grouping genetic algorithm on islands that exchange their best members; bins that a block
-    could not fill are dissolved and packed again with those of the other blocks, until one
-    block holds them. Repeated rows and null ids are packed like any other row. No rows give
-    no rows.
+    grouping genetic algorithm on islands that exchange their best members. Bins that a block
+    could not fill are dissolved, dealt anew and packed again with those of the other blocks,
+    until one block holds them or a round neither fills nor saves a bin. What counts as filled
+    is a 256th short of full at first and a quarter more of that by round, so there are some 25
+    rounds at most. Repeated rows and null ids are packed like any other row. No rows give no
+    rows.
     """
     made = materialize(pieces(id_and_text(docs), job), "pieces")
     full = made.where(F.col("length") == job.capacity).select("row", (F.col("row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    items = made.where(F.col("length") < job.capacity).select("row", "length")
-    done, level = [full], 0
-    count = items.count()
+    rest = made.where(F.col("length") < job.capacity).select("row", "doc_id", "piece", "ids_crc32", "length")
+    count, level, done = rest.count(), 0, [full]
+    before = None  # bins of the last round, if it left the same items
+    items = rest
     while count:
         blocks = -(-count // job.block_items)
-        placed = materialize(pack_blocks(items, blocks, job), "placed")
-        loose = placed.where(F.col("filled") < job.capacity - job.capacity // 256)
-        left = loose.count() if blocks > 1 else 0
-        settled = placed if not left else placed.where(F.col("filled") >= job.capacity - job.capacity // 256)
-        if left * 10 > count * 9:  # the items themselves leave the gaps; another round would gain little
-            settled, left = placed, 0
-        done.append(settled.select("row", sequence_number(F.col("block"), F.col("bin"), level).alias("sequence_id"), "offset"))
-        items, count, level = loose.select("row", "length"), left, level + 1
+        dealt = items.withColumn("deal", F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)))
+        placed = materialize(pack_blocks(dealt.select("row", "deal", "length"), blocks, job), "placed")
+        short = min(job.capacity, int(job.capacity / 256 * 1.25**level))
+        loose = F.col("filled") < job.capacity - short
+        bins, left = placed.agg(F.count_if(F.col("offset") == 0), F.count_if(loose)).first() if blocks > 1 else (0, 0)
+        if left == count and before is not None and bins >= before:
+            left = 0
+        before = bins if left == count else None
+        done.append((placed.where(~loose) if left else placed).select("row", sequence_number(F.col("block"), F.col("bin"), level).alias("sequence_id"), "offset"))
+        if left:
+            items = materialize(rest.join(placed.where(loose).select("row"), "row", "left_semi"), "loose")
+        count, level = left, level + 1
     places = done[0]
     for d in done[1:]:
         places = places.unionByName(d)

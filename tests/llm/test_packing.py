@@ -75,6 +75,27 @@ def test_blocks_are_packed_together_in_the_end(spark):
     assert got.count() == 150
 
 
+def test_the_packing_does_not_depend_on_partitions(spark):
+    from dataclasses import replace
+
+    df = documents(spark, [(i, f"word {i} " * (1 + 37 * i % 300)) for i in range(60)])
+    job, results = replace(tokenizer_settings(), block_items=20), []
+    for parts in (1, 5):
+        held = defaultdict(list)
+        for r in packing.pack(df.repartition(parts), job).collect():
+            held[r["sequence_id"]].append((r["doc_id"], r["piece"], r["offset"]))
+        results.append(sorted(map(sorted, held.values())))
+    assert results[0] == results[1]
+
+
+def test_items_that_leave_gaps_anyway_are_not_packed_for_ever(spark):
+    from dataclasses import replace
+
+    texts = [(i, "word " * (1300 + i % 7)) for i in range(60)]
+    got = packing.pack(documents(spark, texts), replace(tokenizer_settings(), block_items=10)).collect()
+    assert len({r["sequence_id"] for r in got}) == len(got) == 60
+
+
 def test_sequences_of_many_levels_have_numbers_of_their_own(spark, monkeypatch):
     from dataclasses import replace
 
