@@ -6,6 +6,7 @@ import base64
 import random
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -66,8 +67,9 @@ class TokenIds:
         self.whole = Tokenizer.from_file(job.tokenizer)
 
     def __call__(self, text: str) -> bytes:
-        ids = self.whole.encode(text, add_special_tokens=False).ids if self.other.search(text) else self.plain.encode_ordinary(text)
-        return np.array(ids, "<u4").tobytes()
+        plain = "<|" not in text if text.isascii() else not self.other.search(text)
+        ids = self.plain.encode_ordinary(text) if plain else self.whole.encode(text, add_special_tokens=False).ids
+        return np.frombuffer(array("I", ids), np.uintc).astype("<u4", copy=False).tobytes()
 
 
 @lru_cache(maxsize=1)

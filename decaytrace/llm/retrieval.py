@@ -31,7 +31,7 @@ class Retrieval:
     ids: Packing
     capacity: int = 2048
     end_id: int = 1
-    shard_items: int = 1_024
+    shard_items: int = 512
     k1: float = 1.2
     b: float = 0.75
 
@@ -46,17 +46,18 @@ def tokenized(docs: DataFrame, job: Retrieval) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = _tokenizer(job.ids), np.array([job.end_id], "<u4").tobytes()
-        holding = np.zeros(0, np.int64)
+        holding, last = np.zeros(0, np.int64), np.zeros(0, np.int64)
         schema = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), ("ids", pa.binary())])
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encode((raw or b"").decode("utf-8", "replace")) + end
                 total = len(ids) // 4
-                held = np.unique(np.frombuffer(ids, "<u4"))
-                if held[-1] >= len(holding):
-                    holding = np.append(holding, np.zeros(int(held[-1]) + 1 - len(holding), np.int64))
-                holding[held] += 1
+                held = np.frombuffer(ids, "<u4")
+                if (most := int(held.max())) >= len(holding):
+                    holding, last = (np.append(x, np.zeros(most + 1 - len(x), np.int64)) for x in (holding, last))
+                last[held] = np.arange(total)  # the last place of each id stands for it
+                holding[held[last[held] == np.arange(total)]] += 1
                 for at in range(0, total, job.capacity):
                     piece = ids[4 * at : 4 * (at + job.capacity)]
                     full = len(piece) == 4 * job.capacity
@@ -125,17 +126,17 @@ class Index:
         local = np.unique(term, return_inverse=True)[1]
         order = np.argsort(local, kind="stable")
         self.n = len(items)
-        self.begin = np.searchsorted(local[order], np.arange(local.max(initial=-1) + 2)).tolist()
-        self.item, self.weight = item[order], weight[order]
+        borders = np.searchsorted(local[order], np.arange(1, local.max(initial=0) + 1))
+        self.postings, self.weights = np.split(item[order], borders), np.split(weight[order], borders)
         self.terms = np.split(local, np.searchsorted(item, np.arange(1, len(items))))
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every item for the distinct terms of one of them."""
-        spans = [(self.begin[t], self.begin[t + 1]) for t in self.terms[seed].tolist()]
-        if not spans:
+        terms = self.terms[seed].tolist()
+        if not terms:
             return np.zeros(self.n)
-        at = np.concatenate([np.arange(a, b) for a, b in spans])
-        return np.bincount(self.item[at], self.weight[at], self.n)
+        lists = (np.concatenate(list(map(x.__getitem__, terms))) for x in (self.postings, self.weights))
+        return np.bincount(*lists, self.n)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused items that share a term with the seed, best first, ties in order of the shard."""
@@ -159,6 +160,7 @@ def fill_windows(items: list[np.ndarray], corpus: Statistics, job: Retrieval) ->
         return []
     index, unused = Index(items, corpus, job), np.ones(len(items), bool)
     windows: list[list[tuple[int, int, int]]] = [[]]
+    sizes = np.array([len(x) for x in items])
     room, first, cut = job.capacity, 0, None
 
     def put(item: int, at: int) -> None:
@@ -185,18 +187,14 @@ def fill_windows(items: list[np.ndarray], corpus: Statistics, job: Retrieval) ->
         put(seed, at)
         if len(windows) > window:
             continue
-        near = index.neighbours(seed, unused).tolist()
-        larger = []
-        for item in near:
-            if len(items[item]) > room:
-                larger.append(item)
-                continue
-            put(item, 0)
-            if len(windows) > window:
-                break
-        else:
-            if larger:
-                put(larger[0], 0)
+        near = index.neighbours(seed, unused)
+        long, at = sizes[near], 0
+        while len(windows) == window and len(fits := np.flatnonzero(long[at:] <= room)):
+            at += int(fits[0])
+            put(int(near[at]), 0)
+            at += 1
+        if len(windows) == window and len(larger := near[unused[near]]):
+            put(int(larger[0]), 0)
     if not windows[-1]:
         windows.pop()
     return windows

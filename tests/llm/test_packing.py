@@ -53,6 +53,20 @@ def test_ids_equal_the_tokenizer():
         assert encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_ids_equal_the_tokenizer_on_many_short_texts():
+    import itertools
+    import random
+
+    encode = packing.TokenIds(tokenizer_settings())
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    marks = ["a", "Z", "é", "ß", "1", "'", "'s", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\xad", "-", "<", "|", "²", "º", "ǅ", "Ȁ"]
+    rng = random.Random(5)
+    texts = ["".join(x) for x in itertools.product(marks, repeat=3)]
+    texts += ["".join(chr(rng.randrange(0x250)) for _ in range(rng.randint(1, 30))) for _ in range(2_000)]
+    for text in texts:
+        assert encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
 def test_the_search_beats_or_equals_best_fit():
     lengths = np.random.default_rng(0).integers(600, 1400, 1500)
     search = packing.Search(lengths, 2048, 3)
