@@ -1,12 +1,13 @@
 """Table, feature and model lineage as node and edge tables.
 
 ``edges`` has (src, dst): ``src`` is upstream of ``dst``. Walks start from many
-datasets at once and take one join per level.
+datasets at once; what lies above a dataset is walked once for all starts below it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,19 +15,43 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import csv_to_array, urn_table_key
 from ..session import materialize
 
-def numbered(edges: DataFrame, *datasets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, name) of every node, and the distinct edges as (up, down) of ids.
+
+@dataclass(frozen=True)
+class Graph:
+    """nodes (id, name), links (up, down) of ids, and whether the ids are hashes of the names."""
+
+    nodes: DataFrame
+    links: DataFrame
+    hashed: bool
+
+    def ids(self, names: DataFrame, **columns: str) -> DataFrame:
+        """Distinct rows of ``names`` with the ids of the named columns, under the given new names."""
+        if self.hashed:
+            return names.select(*[F.xxhash64(old).alias(new) for new, old in columns.items()]).distinct()
+        for new, old in columns.items():
+            names = names.join(self.nodes.select(F.col("id").alias(f"_{new}"), F.col("name").alias(old)), old)
+        return names.select(*[F.col(f"_{new}").alias(new) for new in columns]).distinct()
+
+
+def numbered(edges: DataFrame, *datasets: DataFrame) -> Graph:
+    """The graph of the distinct edges, with every node and the names of ``datasets``.
 
     Names are long texts; the walks below shuffle and compare eight-byte ids, and names come
-    back in the end, by joins that Spark broadcasts while the name table is small.
+    back in the end. An id is the name's hash, so edges are numbered without a join; should two
+    names share a hash, all are numbered one by one instead.
     """
-    names = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name")))
+    edges = edges.select("src", "dst").where("src is not null and dst is not null")
+    names = edges.select(F.explode(F.array("src", "dst")).alias("name"))
     for d in datasets:
-        names = names.unionByName(d.select(F.col("dataset").alias("name")))
-    nodes = materialize(names.filter(F.col("name").isNotNull()).distinct().select(F.monotonically_increasing_id().alias("id"), "name"), "nodes")
+        names = names.unionByName(d.select(F.col("dataset").alias("name")).where("name is not null"))
+    hashed = names.groupBy(F.xxhash64("name").alias("id")).agg(F.min("name").alias("name"), F.max("name").alias("other"))
+    hashed = materialize(hashed, "nodes")
+    if hashed.where("name <> other").isEmpty():
+        links = edges.select(F.xxhash64("src").alias("up"), F.xxhash64("dst").alias("down")).distinct()
+        return Graph(hashed.select("id", "name"), materialize(links, "links"), True)
+    nodes = materialize(names.distinct().select(F.monotonically_increasing_id().alias("id"), "name"), "nodes")
     up, down = (nodes.select(F.col("id").alias(i), F.col("name").alias(n)) for i, n in (("up", "src"), ("down", "dst")))
-    links = edges.select("src", "dst").distinct().join(up, "src").join(down, "dst").select("up", "down")
-    return nodes, materialize(links, "links")
+    return Graph(nodes, materialize(edges.distinct().join(up, "src").join(down, "dst").select("up", "down"), "links"), False)
 
 
 def named(df: DataFrame, nodes: DataFrame, columns: Sequence[str], how: str = "left") -> DataFrame:
@@ -36,21 +61,10 @@ def named(df: DataFrame, nodes: DataFrame, columns: Sequence[str], how: str = "l
     return df
 
 
-def lineage_upstream(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
-    """Breadth-first walk: one row per (start, hop, dataset, upstream).
-
-    Each dataset is visited once per start, at its shallowest hop, so cycles end. Without
-    ``depth`` the walk goes on until a level brings nothing new. With it ``depth`` levels are
-    visited, the parents of the last one are listed but not visited, and ``has_more`` marks
-    those rows. Every frontier is written to shared storage: a level costs one join, and the
-    plan does not grow with the depth.
-    """
-    nodes, links = numbered(edges, starts)
-    frontier = starts.select(F.col("dataset").alias("name")).distinct().join(nodes, "name").select(
-        F.col("id").alias("start"), F.col("id").alias("at"), F.lit(0).alias("hop")
-    )
-    frontier = materialize(frontier, "frontier")
-    visited, hop = frontier, 1
+def _pairs(links: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
+    """(start, at, hop) by a walk of each node of ``starts`` on its own, a join per level."""
+    visited = frontier = starts.select(F.col("node").alias("start"), F.col("node").alias("at"), F.lit(0).alias("hop"))
+    hop = 1
     while depth is None or hop < depth:
         reached = frontier.join(links, frontier["at"] == links["down"]).select("start", F.col("up").alias("at")).distinct()
         fresh = reached.join(visited.select("start", "at"), ["start", "at"], "left_anti")
@@ -59,9 +73,61 @@ def lineage_upstream(edges: DataFrame, starts: DataFrame, depth: int | None = No
             break
         visited = visited.unionByName(frontier)
         hop += 1
-    walk = visited.join(links, visited["at"] == links["down"], "left").select("start", "hop", F.col("at").alias("dataset"), F.col("up").alias("upstream"))
-    walk = named(walk, nodes, ("start", "dataset", "upstream")).select("start", "hop", "dataset", "upstream")
-    return walk if depth is None else walk.withColumn("has_more", (F.col("hop") == depth - 1) & F.col("upstream").isNotNull())
+    return visited
+
+
+SHARED_FROM = 50_000  # nodes of a level from which the two more jobs of sharing pay
+
+
+def distances(links: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """(start, at, hop): every node upstream of each start (``node``) at its shallowest hop.
+
+    What lies above a node is shared by all nodes below it. While a level is large and its
+    parents are at most half as many as its nodes, the level waits and the walk starts from the
+    parents, each once; then the waiting levels take over their parents' nodes, one hop further,
+    the least hop of each. So many starts over few parents cost one expansion. Where parents do
+    not thin out, in cycles and on small levels each node walks for itself; the rows are the same.
+    """
+    layers, size = [starts], starts.count()
+    while size > SHARED_FROM and (depth is None or len(layers) < depth):
+        parents = links.join(layers[-1], links["down"] == layers[-1]["node"], "left_semi").select(F.col("up").alias("node")).distinct()
+        parents = materialize(parents, "layer")
+        above = parents.count()
+        if not above or 2 * above > size:
+            break
+        layers.append(parents)
+        size = above
+    walk = _pairs(links, layers.pop(), None if depth is None else depth - len(layers))
+    for layer in reversed(layers):
+        above = walk.select(F.col("start").alias("up"), "at", (F.col("hop") + 1).alias("hop"))
+        taken = links.join(layer, links["down"] == layer["node"]).select(F.col("down").alias("start"), "up").join(above, "up").where("at <> start")
+        own = layer.select(F.col("node").alias("start"), F.col("node").alias("at"), F.lit(0).alias("hop"))
+        walk = materialize(taken.groupBy("start", "at").agg(F.min("hop").alias("hop")).unionByName(own), "walk")
+    return walk
+
+
+def lineage_upstream(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """Breadth-first walk: one row per (start, hop, dataset, upstream).
+
+    Each dataset is visited once per start, at its shallowest hop, so cycles end. Without
+    ``depth`` the walk goes on to its end. With it ``depth`` levels are visited, the parents of
+    the last one are listed but not visited, and ``has_more`` marks those rows. Null names are
+    left out; a start without edges has one row. Names are joined to the distinct nodes of the
+    walk, not to its rows, but for the name of the start.
+    """
+    graph = numbered(edges, starts)
+    nodes, links = graph.nodes, graph.links
+    first = materialize(graph.ids(starts.where("dataset is not null"), node="dataset"), "starts")
+    walk = distances(links, first, depth)
+    near = first.join(links, first["node"] == links["down"], "left").select(F.col("node").alias("start"), F.lit(0).alias("hop"), F.col("up").alias("upstream"))
+    near = named(near, nodes, ("start", "upstream")).select("start", "hop", F.col("start").alias("dataset"), "upstream")
+    far = walk.where("hop > 0")
+    places = far.select(F.col("at").alias("dataset")).distinct()
+    steps = places.join(links, places["dataset"] == links["down"], "left").select(F.col("dataset").alias("at"), "dataset", F.col("up").alias("upstream"))
+    steps = materialize(named(steps, nodes, ("dataset", "upstream")), "steps")
+    far = named(far.join(steps, "at").drop("at"), nodes, ("start",)).select("start", "hop", "dataset", "upstream")
+    out = near.unionByName(far)
+    return out if depth is None else out.withColumn("has_more", (F.col("hop") == depth - 1) & F.col("upstream").isNotNull())
 
 
 def lineage_downstream(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
@@ -82,41 +148,119 @@ def lineage_hops(walk: DataFrame, other: str = "upstream") -> DataFrame:
     return walk.join(totals, key).select(*key, f"{other}_count", other)
 
 
-def lineage_paths_between(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_hops: int | None = None) -> DataFrame:
+def path_graph(links: DataFrame, starts: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, node, distance): for each target the nodes from which it can be reached and the
+    fewest edges to it, of those nodes that a start reaches. Each path from a start to the target
+    is made of links between two of its nodes, and each such node is on a path."""
+    below, frontier = starts, starts
+    while True:  # each node once, whichever start it is reached from
+        up = frontier.join(links, frontier["node"] == links["down"]).select(F.col("up").alias("node")).distinct()
+        frontier = materialize(up.join(below, "node", "left_anti"), "frontier")
+        if frontier.isEmpty():
+            break
+        below = materialize(below.unionByName(frontier), "below")
+    inside = materialize(links.join(below, links["down"] == below["node"], "left_semi"), "inside")
+    turned = inside.select(F.col("down").alias("up"), F.col("up").alias("down"))
+    ends = targets.join(below, "node", "left_semi")
+    return materialize(distances(turned, materialize(ends, "ends")).select(F.col("start").alias("target"), F.col("at").alias("node"), F.col("hop").alias("distance")), "reach")
+
+
+def _links_of(links: DataFrame, reach: DataFrame) -> DataFrame:
+    """(target, down, up, nearer): the links of every target's path graph. None leaves the target:
+    a path ends where it meets it."""
+    top = reach.select("target", F.col("node").alias("up"), F.col("distance").alias("up_distance"))
+    bottom = reach.where("distance > 0").select("target", F.col("node").alias("down"), "distance")
+    joined = links.join(top, "up").join(bottom, ["target", "down"])
+    return materialize(joined.select("target", "down", "up", (F.col("up_distance") < F.col("distance")).alias("nearer")), "path-links")
+
+
+COUNT = "decimal(38,0)"
+
+
+def _counted(graph: DataFrame, ends: DataFrame) -> DataFrame:
+    """(target, node, n): the number of paths to the target by a sum over parents, in the order in
+    which all parents of a node are known. Nodes on or below a cycle are never known."""
+    needed = materialize(graph.groupBy("target", "down").agg(F.count(F.lit(1)).alias("needed")), "needed")
+    new = materialize(ends.select("target", F.col("target").alias("node"), F.lit(1).cast(COUNT).alias("n")), "counted")
+    known, open_ = new, None
+    while True:
+        sent = graph.join(new.select("target", F.col("node").alias("up"), "n"), ["target", "up"]).select("target", "down", "n", F.lit(1).alias("got"))
+        if open_ is not None:
+            sent = sent.unionByName(open_)
+        sums = sent.groupBy("target", "down").agg(F.try_sum("n").cast(COUNT).alias("n"), F.sum("got").cast("int").alias("got"))
+        sums = materialize(sums.join(needed, ["target", "down"]), "sums")
+        new = sums.where("got = needed").select("target", F.col("down").alias("node"), "n")
+        if new.isEmpty():
+            return known
+        open_ = sums.where("got < needed").select("target", "down", "n", "got")
+        known = materialize(known.unionByName(new), "counted")
+
+
+def lineage_path_counts(edges: DataFrame, starts: DataFrame, targets: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """One row per asked pair with a path: start, target, hops (of a shortest path), shortest_paths
+    and paths, without making any path.
+
+    Each number is a sum over the parents of a node, so a ladder of diamonds with a million
+    paths costs one row per node and level. ``pairs`` (start, target) restricts the answer.
+    Where a cycle lies between start and target ``paths`` is null, as the simple paths through it
+    cannot be summed up, and the shortest ones still count. A start that is its own target has
+    one path of no hops. A number of more than 38 digits is null.
+    """
+    names = numbered(edges, starts, targets)
+    nodes, links = names.nodes, names.links
+    first, ends = (materialize(names.ids(d.where("dataset is not null"), node="dataset"), "ends") for d in (starts, targets))
+    asked = materialize(names.ids(pairs, start="start", target="target"), "asked") if pairs is not None else None
+    reach = path_graph(links, first, ends)
+    graph, ends = _links_of(links, reach), reach.where("distance = 0").select("target")
+    every = _counted(graph, ends).select("target", "node", F.col("n").alias("paths"))
+    shortest = _counted(graph.where("nearer"), ends).select("target", "node", F.col("n").alias("shortest_paths"))
+    rows = reach.join(first, "node", "left_semi").join(shortest, ["target", "node"]).join(every, ["target", "node"], "left")
+    rows = rows.select(F.col("node").alias("start"), "target", F.col("distance").alias("hops"), "shortest_paths", "paths")
+    if asked is not None:
+        rows = rows.join(asked, ["start", "target"], "left_semi")
+    return named(rows, nodes, ("start", "target")).select("start", "target", "hops", "shortest_paths", "paths")
+
+
+def lineage_paths_between(
+    edges: DataFrame, starts: DataFrame, targets: DataFrame, max_hops: int | None = None, pairs: DataFrame | None = None
+) -> DataFrame:
     """Every simple path from a start upstream to a target, of at most ``max_hops`` edges if given.
 
-    Only nodes from which a target can be reached are stepped on: a walk down from the
-    targets finds them first, each once. The steps end when no path can be made longer.
+    Paths are made for asked pairs only (``pairs`` of start and target; by default all), along
+    the target's path graph: every step can be made longer to a path to that target, so no more
+    rows are made at any step than paths come out, but for those that run into a cycle or beyond
+    ``max_hops``. A path ends at its target; a cycle is never entered twice.
     """
-    nodes, links = numbered(edges, starts, targets)
-    ends = targets.select(F.col("dataset").alias("name")).distinct().join(nodes, "name").select(F.col("id").alias("end"))
-    ends = materialize(ends, "ends")
-    leads, frontier = ends.select(F.col("end").alias("to")), ends.select(F.col("end").alias("to"))
-    while True:
-        below = frontier.join(links, frontier["to"] == links["up"]).select(F.col("down").alias("to")).distinct()
-        frontier = materialize(below.join(leads, "to", "left_anti"), "frontier")
-        if frontier.isEmpty():
-            break
-        leads = materialize(leads.unionByName(frontier), "leads")
-    useful = materialize(links.join(leads, links["up"] == leads["to"], "left_semi"), "links")
-    paths = starts.select(F.col("dataset").alias("name")).distinct().join(nodes, "name").select(
-        F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("path")
-    )
+    names = numbered(edges, starts, targets)
+    nodes, links = names.nodes, names.links
+    first, ends = (materialize(names.ids(d.where("dataset is not null"), node="dataset"), "ends") for d in (starts, targets))
+    asked = materialize(names.ids(pairs, start="start", target="target"), "asked") if pairs is not None else None
+    reach = path_graph(links, first, ends)
+    graph = _links_of(links, reach)
+    at = reach.where("distance > 0").join(first, "node", "left_semi").select(F.col("node").alias("start"), "target", "distance")
+    if asked is not None:
+        at = at.join(asked, ["start", "target"], "left_semi")
+    if max_hops is not None:
+        at = at.where(F.col("distance") <= max_hops)
+    paths = at.select("start", "target", F.col("start").alias("at"), F.array("start").alias("path"))
+    left = reach.select("target", F.col("node").alias("up"), "distance")
     found, hop = [], 0
     while max_hops is None or hop < max_hops:
-        paths = materialize(
-            paths.join(useful, paths["at"] == useful["down"])
-            .filter(~F.array_contains("path", F.col("up")))
-            .select("start", F.col("up").alias("at"), F.array_append("path", F.col("up")).alias("path")),
-            "paths",
-        )
-        if paths.isEmpty():
-            break
-        found.append(paths.join(ends, F.col("at") == F.col("end"), "left_semi"))
+        steps = paths.join(graph, (paths["at"] == graph["down"]) & (paths["target"] == graph["target"])).select(
+            "start", paths["target"], F.col("up").alias("at"), "path"
+        ).where(~F.array_contains("path", F.col("at")))
         hop += 1
+        if max_hops is not None:
+            near = left.where(F.col("distance") <= max_hops - hop).select("target", F.col("up").alias("at"))
+            steps = steps.join(near, ["target", "at"], "left_semi")
+        steps = materialize(steps.select("start", "target", "at", F.array_append("path", F.col("at")).alias("path")), "paths")
+        if steps.isEmpty():
+            break
+        found.append(steps.where("at = target"))
+        paths = steps.where("at <> target")
     if not found:
         found = [paths.limit(0)]
-    hits = materialize(reduce(lambda a, b: a.unionByName(b), found).select(F.monotonically_increasing_id().alias("n"), "start", "at", "path"), "found")
+    hits = materialize(reduce(lambda a, b: a.unionByName(b), found).select(F.monotonically_increasing_id().alias("n"), "path"), "found")
     # a path is as long as the graph is deep: its names are put together again by path
     steps = named(hits.select("n", F.posexplode("path").alias("k", "node")), nodes, ("node",), "inner")
     texts = steps.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "node"))), lambda x: x["node"]).alias("path"))

@@ -51,30 +51,48 @@ def regions(spark, d):
 
 
 TWIN = ("duckdb", "warehouse.main.")
-EDGES = f"""
-edges AS (
-  SELECT {urn_sql('customer', 'o_custkey')} AS src, {urn_sql('order', 'o_orderkey')} AS dst FROM orders
-  UNION SELECT {urn_sql('supplier', 'l_suppkey')}, {urn_sql('order', 'l_orderkey')} FROM lineitem
-  UNION SELECT {urn_sql('nation', 'c_nationkey')}, {urn_sql('customer', 'c_custkey')} FROM customer
-  UNION SELECT {urn_sql('nation', 's_nationkey', *TWIN)}, {urn_sql('supplier', 's_suppkey')} FROM supplier
-  UNION SELECT {urn_sql('region', 'n_regionkey')}, {urn_sql('nation', 'n_nationkey')} FROM nation
-  UNION SELECT {urn_sql('region', 'n_regionkey')}, {urn_sql('nation', 'n_nationkey', *TWIN)} FROM nation
+# The SQL walks over whole numbers, the kind of a node times KIND plus its key, and names it in the end.
+KIND = 10**10
+KINDS = {"order": (1, ()), "customer": (2, ()), "supplier": (3, ()), "nation": (4, ()), "twin": (5, TWIN), "region": (6, ())}
+
+
+def node(kind, key):
+    return f"CAST({KINDS[kind][0] * KIND} + {key} AS BIGINT)"
+
+
+def name_sql(c):
+    cases = " ".join(
+        f"WHEN {number} THEN {urn_sql('nation' if kind == 'twin' else kind, f'({c} % {KIND})', *twin)}" for kind, (number, twin) in KINDS.items()
+    )
+    return f"CASE {c} // {KIND} {cases} END"
+
+
+LINKS = f"""
+links AS MATERIALIZED (
+  SELECT DISTINCT {node('customer', 'o_custkey')} AS src, {node('order', 'o_orderkey')} AS dst FROM orders
+  UNION ALL SELECT DISTINCT {node('supplier', 'l_suppkey')}, {node('order', 'l_orderkey')} FROM lineitem
+  UNION ALL SELECT DISTINCT {node('nation', 'c_nationkey')}, {node('customer', 'c_custkey')} FROM customer
+  UNION ALL SELECT DISTINCT {node('twin', 's_nationkey')}, {node('supplier', 's_suppkey')} FROM supplier
+  UNION ALL SELECT DISTINCT {node('region', 'n_regionkey')}, {node('nation', 'n_nationkey')} FROM nation
+  UNION ALL SELECT DISTINCT {node('region', 'n_regionkey')}, {node('twin', 'n_nationkey')} FROM nation
 )"""
+EDGES = LINKS + f""", edges AS (SELECT {name_sql('src')} AS src, {name_sql('dst')} AS dst FROM links)"""
 
 
 def walk_sql(starts, near, far, output):
     """All levels (0 to 3) from ``starts`` moving from column ``near`` to column ``far``."""
-    return EDGES + f""", l0 AS (SELECT DISTINCT dataset AS start, dataset FROM ({starts})),
-l1 AS (SELECT DISTINCT start, {far} AS dataset FROM l0 JOIN edges ON dataset = {near}),
-l2 AS (SELECT DISTINCT start, {far} AS dataset FROM l1 JOIN edges ON dataset = {near}),
-l3 AS (SELECT DISTINCT start, {far} AS dataset FROM l2 JOIN edges ON dataset = {near}),
-visited AS (SELECT start, dataset, min(hop) AS hop FROM (
+    return LINKS + f""", l0 AS MATERIALIZED (SELECT DISTINCT id AS start, id AS spot FROM ({starts})),
+l1 AS MATERIALIZED (SELECT DISTINCT start, {far} AS spot FROM l0 JOIN links ON spot = {near}),
+l2 AS MATERIALIZED (SELECT DISTINCT start, {far} AS spot FROM l1 JOIN links ON spot = {near}),
+l3 AS MATERIALIZED (SELECT DISTINCT start, {far} AS spot FROM l2 JOIN links ON spot = {near}),
+seen AS MATERIALIZED (SELECT start, spot, CAST(min(hop) AS INTEGER) AS hop FROM (
   SELECT *, 0 AS hop FROM l0 UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2 UNION ALL SELECT *, 3 FROM l3) GROUP BY 1, 2),
-walk AS (SELECT start, CAST(hop AS INTEGER) AS hop, dataset, {far} AS {output} FROM visited LEFT JOIN edges ON dataset = {near})"""
+visited AS (SELECT {name_sql('start')} AS start, {name_sql('spot')} AS dataset, hop FROM seen),
+walk AS (SELECT {name_sql('start')} AS start, hop, {name_sql('spot')} AS dataset, {name_sql(far)} AS {output} FROM seen LEFT JOIN links ON spot = {near})"""
 
 
-ORDERS_SQL = f"SELECT {urn_sql('order', 'o_orderkey')} AS dataset FROM orders"
-REGIONS_SQL = f"SELECT {urn_sql('region', 'r_regionkey')} AS dataset FROM region"
+ORDERS_SQL = f"SELECT {node('order', 'o_orderkey')} AS id FROM orders"
+REGIONS_SQL = f"SELECT {node('region', 'r_regionkey')} AS id FROM region"
 UP = walk_sql(ORDERS_SQL, "dst", "src", "upstream")
 DOWN = walk_sql(REGIONS_SQL, "src", "dst", "downstream")
 
@@ -111,10 +129,11 @@ register(
     lambda spark, d: lineage.collapse_siblings(edges(spark, d)),
     fx.oracle(EDGES, f"SELECT DISTINCT {KEY.format('src')} AS src, {KEY.format('dst')} AS dst FROM edges"),
 )
-PATHS = EDGES + f""", paths AS (
-  SELECT a.dst AS start, c.src AS target, [a.dst, a.src, b.src, c.src] AS path
-  FROM ({ORDERS_SQL}) o JOIN edges a ON a.dst = o.dataset JOIN edges b ON b.dst = a.src JOIN edges c ON c.dst = b.src
-  WHERE c.src IN ({REGIONS_SQL}))"""
+PATHS = LINKS + f""", steps AS MATERIALIZED (
+  SELECT a.dst AS p0, a.src AS p1, b.src AS p2, c.src AS p3
+  FROM ({ORDERS_SQL}) o JOIN links a ON a.dst = o.id JOIN links b ON b.dst = a.src JOIN links c ON c.dst = b.src
+  WHERE c.src IN ({REGIONS_SQL})),
+paths AS (SELECT {', '.join(f"{name_sql(f'p{k}')} AS p{k}" for k in range(4))} FROM steps)"""
 
 
 def paths(spark, d):
@@ -124,7 +143,16 @@ def paths(spark, d):
 register(
     "lineage_paths_between",
     lambda spark, d: paths(spark, d).withColumn("path", F.array_join("path", ";")),
-    fx.oracle(PATHS, "SELECT start, target, CAST(4 AS INTEGER) AS nodes, array_to_string(path, ';') AS path FROM paths"),
+    fx.oracle(PATHS, "SELECT p0 AS start, p3 AS target, CAST(4 AS INTEGER) AS nodes, p0 || ';' || p1 || ';' || p2 || ';' || p3 AS path FROM paths"),
+)
+register(
+    "lineage_path_counts",
+    lambda spark, d: lineage.lineage_path_counts(edges(spark, d), orders(spark, d), regions(spark, d)).withColumns(
+        {c: F.col(c).cast("long") for c in ("shortest_paths", "paths")}
+    ),
+    fx.oracle(PATHS, f"""
+SELECT {name_sql('p0')} AS start, {name_sql('p3')} AS target, CAST(3 AS INTEGER) AS hops, shortest_paths, shortest_paths AS paths
+FROM (SELECT p0, p3, count(*) AS shortest_paths FROM steps GROUP BY p0, p3)"""),
 )
 register(
     "lineage_path",
@@ -132,8 +160,8 @@ register(
         paths(spark, d), F.lit("r_name"), F.lit("is_new_region, avg_total"), F.lit("order_model")
     ).select("start", "path_text"),
     fx.oracle(PATHS, f"""
-SELECT start, {KEY.format('path[4]')} || '.r_name -> ' || {KEY.format('path[3]')} || ' -> ' || {KEY.format('path[2]')} || ' -> '
-  || {KEY.format('path[1]')} || ' -> is_new_region, avg_total -> order_model' AS path_text FROM paths"""),
+SELECT p0 AS start, {KEY.format('p3')} || '.r_name -> ' || {KEY.format('p2')} || ' -> ' || {KEY.format('p1')} || ' -> '
+  || {KEY.format('p0')} || ' -> is_new_region, avg_total -> order_model' AS path_text FROM paths"""),
 )
 
 # ------------------------------------------------------------------ features and models

@@ -1,3 +1,6 @@
+import os
+import random
+
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -71,3 +74,82 @@ def test_path_without_hops_invents_none(spark):
     p = spark.createDataFrame([(["raw.t"],), (["m", "s", "raw.t"],)], "path array<string>")
     out = lineage.lineage_path(p, F.lit("c"), F.lit("f"), F.lit("model"))
     assert sorted(r["path_text"] for r in out.collect()) == ["raw.t.c -> f -> model", "raw.t.c -> s -> m -> f -> model"]
+
+
+def brute_walk(pairs, start, depth=None):
+    seen, level, out, hop = {start}, [start], [], 0
+    while level and (depth is None or hop < depth):
+        ups = {d: sorted({u for u, x in pairs if x == d}) for d in level}
+        out += [(start, hop, d, u) for d in level for u in ups[d] or [None]]
+        level = sorted({u for d in level for u in ups[d]} - seen)
+        seen |= set(level)
+        hop += 1
+    return out
+
+
+def brute_paths(pairs, start, target):
+    out, todo = [], [[start]]
+    while todo:
+        path = todo.pop()
+        if path[-1] == target:
+            out.append(path)
+            continue
+        todo += [path + [u] for u in sorted({u for u, d in pairs if d == path[-1]}) if u not in path]
+    return [p for p in out if len(p) > 1]
+
+
+def random_graph(seed, n, links, cyclic):
+    rng = random.Random(seed)
+    pairs = [tuple(sorted(rng.sample(range(n), 2))) for _ in range(links)]
+    if cyclic:
+        pairs = [p if rng.random() < 0.8 else p[::-1] for p in pairs] + [(3, 3)]
+    return [(f"n{a}", f"n{b}") for a, b in pairs]
+
+
+def test_walks_of_many_starts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "SHARED_FROM", 2)
+    for seed, cyclic in ((1, False), (2, True)):
+        layered = [(f"top{k % 3}", f"mid{k % 7}") for k in range(21)] + [(f"mid{k * 5 % 7}", f"low{k // 2}") for k in range(80)]
+        pairs = random_graph(seed, 14, 40, cyclic) + layered + [("n1", "low0"), ("low0", "low1")] + ([("low3", "top1")] if cyclic else [])
+        names = [f"low{k}" for k in range(40)] + ["n13", "n3", "alone"]
+        for depth in (None, 2):
+            got = lineage.lineage_upstream(edges(spark, *pairs, *pairs[:9], (None, "n1")), starts(spark, *names, names[0], None), depth).collect()
+            want = [r for n in names for r in brute_walk(pairs, n, depth)]
+            assert sorted(map(str, want)) == sorted(str(tuple(r)[:4]) for r in got)
+
+
+def test_paths_and_their_counts_equal_brute_force(spark):
+    for seed, cyclic in ((4, False), (5, True)):
+        pairs = random_graph(seed, 10, 22, cyclic)
+        names = [f"n{k}" for k in range(10)]
+        some = spark.createDataFrame([(a, b) for a in names[4:] for b in names[:7] if a != b and (a > "n5" or b < "n3")], "start string, target string")
+        e, s, t = edges(spark, *pairs), starts(spark, *names[4:]), starts(spark, *names[:7])
+        for asked in (some,) if cyclic else (None,):
+            wanted = {(a, b) for a in names[4:] for b in names[:7]} if asked is None else {tuple(r) for r in some.collect()}
+            paths = {p: brute_paths(pairs, *p) for p in wanted if p[0] != p[1]}
+            got = lineage.lineage_paths_between(e, s, t, pairs=asked).collect()
+            assert sorted(r["path"] for r in got) == sorted(x for p in paths.values() for x in p)
+            counts = {(r["start"], r["target"]): r for r in lineage.lineage_path_counts(e, s, t, asked).collect() if r["start"] != r["target"]}
+            assert set(counts) == {p for p, x in paths.items() if x}
+            for p, r in counts.items():
+                least = min(map(len, paths[p]))
+                assert r["hops"] == least - 1 and r["shortest_paths"] == sum(len(x) == least for x in paths[p])
+                assert r["paths"] == len(paths[p]) or (cyclic and r["paths"] is None)
+        if not cyclic:
+            continue
+        short = lineage.lineage_paths_between(e, s, t, 2).collect()
+        every = [x for a in names[4:] for b in names[:7] if a != b for x in brute_paths(pairs, a, b)]
+        assert sorted(r["path"] for r in short) == sorted(x for x in every if len(x) <= 3)
+
+
+def test_a_ladder_of_diamonds_is_counted_without_its_paths(spark):
+    deep = 20 if os.environ.get("ALL_QUERIES") else 6  # each level is some small jobs
+    pairs = [p for k in range(deep) for p in ((f"t{k}", f"a{k}"), (f"t{k}", f"b{k}"), (f"a{k}", f"t{k + 1}"), (f"b{k}", f"t{k + 1}"))]
+    out = lineage.lineage_path_counts(edges(spark, *pairs), starts(spark, f"t{deep}", "t1"), starts(spark, "t0")).collect()
+    assert sorted((r["start"], r["hops"], int(r["shortest_paths"]), int(r["paths"])) for r in out) == [("t1", 2, 2, 2), (f"t{deep}", 2 * deep, 2**deep, 2**deep)]
+
+
+def test_names_that_share_a_hash_are_numbered_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(lineage.F, "xxhash64", lambda c: F.length(F.col(c)).cast("long"))
+    e = edges(spark, ("b", "a"), ("c", "b"), ("c", "a"), ("d", "c"))
+    assert walk(lineage.lineage_upstream(e, starts(spark, "a"))) == [(0, "a", "b"), (0, "a", "c"), (1, "b", "c"), (1, "c", "d"), (2, "d", "")]
