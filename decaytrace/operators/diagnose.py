@@ -11,9 +11,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import attribution, drift, monitors, profile
+from .ranks import ranked
 
 
 def segment_damage(scored: DataFrame, column: str, inputs: Sequence[str]) -> DataFrame:
@@ -60,20 +61,17 @@ def diagnose(
     scoredf = routed.withColumn(
         "signals", F.col("unmapped_category").cast("int") + (F.size("collapsed_inputs") > 0).cast("int")
     ).withColumn("defines_damage", (F.col("did_amount") > 0) & (F.col("signals") > 0))
-    # one row per new code by now
-    order = Window.orderBy(
-        F.desc("defines_damage"), F.desc("signals"), F.desc("did_amount"), "first_seen", "column", "code"
-    )
-    ranked = scoredf.withColumn("rank", F.row_number().over(order))
+    order = [F.col(c).desc_nulls_last() for c in ("defines_damage", "signals", "did_amount")] + [F.col(c).asc() for c in ("first_seen", "column", "code")]
+    placed = ranked(scoredf, order).withColumn("rank", (F.col("rank") + 1).cast("int"))
     if root_columns is None:
-        return ranked
+        return placed
     reach = (
-        ranked.select("column", "code", F.explode("affected_features").alias("feature"))
+        placed.select("column", "code", F.explode("affected_features").alias("feature"))
         .join(root_columns.select("feature", F.col("root_column").alias("column")).distinct(), ["feature", "column"])
         .groupBy("column", "code")
         .agg(F.count("*").alias("confirmed_by_lineage"))
     )
-    return ranked.join(reach, ["column", "code"], "left").withColumn(
+    return placed.join(reach, ["column", "code"], "left").withColumn(
         "confirmed_by_lineage", F.coalesce("confirmed_by_lineage", F.lit(0))
     )
 

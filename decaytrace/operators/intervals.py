@@ -1,10 +1,12 @@
 """Interval logic on keyed series: runs, merging, complements, snapping, anchors.
 
-One series may hold a large share of all rows, so no window here spans a whole
-series. Rows are cut into (series, chunk) groups by time, each group is reduced on
-its own, and what crosses a chunk border is carried by a second window that sees
-one row per chunk. ``width`` is the chunk length in the unit of the time column;
-``chunk_width`` derives it from the busiest series, so a chunk fits a task at any size.
+One series may hold a large share of all rows, and most of those may fall on one
+instant, so no window here spans a whole series. Rows are cut into (series, chunk)
+groups, each group is reduced on its own, and what crosses a chunk border is carried
+by a second window that sees one row per chunk. Without a ``width`` a chunk is so many
+rows of the series in order of time (``ROWS_PER_CHUNK``), whatever the time they span;
+with it a chunk is that length of time, which suits series that are even over time and
+saves the ranking. ``chunk_width`` derives a length from the busiest series.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
+from .ranks import ranked, summed_before
 
 # Offsets of the level threshold, and limits in seconds.
 FLOOR_OFFSET, SPEECH_OFFSET = 25.0, 30.0
@@ -31,6 +34,13 @@ def chunk_of(t: Column | str, width: float) -> Column:
     return F.floor((F.col(t) if isinstance(t, str) else t) / F.lit(float(width))).cast("bigint")
 
 
+def chunked(df: DataFrame, key: str, order: Sequence[str], width: float | None) -> DataFrame:
+    """``df`` with its chunk numbers, which ascend with ``order`` (the time comes first) in each series."""
+    if width is not None:
+        return df.withColumn("chunk", chunk_of(order[0], width))
+    return ranked(df, [F.col(c).asc() for c in order], [key], "chunk").withColumn("chunk", F.expr(f"chunk div {ROWS_PER_CHUNK}"))
+
+
 def chunk_width(df: DataFrame, key: str, time: str, default: float, rows: int = ROWS_PER_CHUNK) -> float:
     """Chunk length at which the busiest series has about ``rows`` rows per chunk.
 
@@ -48,9 +58,10 @@ def order_statistics(df: DataFrame, key: str, value: str, shares: Sequence[float
     """Exact values at 0-based ``ranks`` (expressions of ``n``) in each sorted series.
 
     A mergeable sketch brackets each rank near its share of the series; exact
-    counts below the bracket give the offset; only values inside it are ordered.
-    Equal values are counted together first. Should a bracket miss its rank, that
-    series is ordered whole, so the result never depends on the sketch.
+    counts below the bracket give the offset; only values inside it are ordered, by
+    ranges, so no task sees a whole series. Equal values are counted together first.
+    Should a bracket miss its rank, all values of that series are ordered by ranges,
+    so the result never depends on the sketch.
     """
     clean = df.filter(F.col(value).isNotNull())
     edges = [p for s in shares for p in (max(s - BRACKET, 0.0), min(s + BRACKET, 1.0))]
@@ -80,9 +91,8 @@ def order_statistics(df: DataFrame, key: str, value: str, shares: Sequence[float
         )
     targets = bracket.select(key, "n", F.explode(F.array(*wanted)).alias("w")).select(key, "n", "w.*")
     inside = counts.join(targets, key).filter(v.between(F.col("lo"), F.col("hi")))
-    w = Window.partitionBy(key, "i").orderBy(value)
-    before = F.col("below") + F.sum("c").over(w) - F.col("c")
-    hit = inside.withColumn("before", before).filter(
+    inside = summed_before(inside.select(key, "n", value, "c", "i", "rank", "below"), "c", [v.asc()], [key, "i"])
+    hit = inside.withColumn("before", F.col("below") + F.col("before")).filter(
         (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("c"))
     )
     return hit.groupBy(key, "n").agg(
@@ -106,7 +116,7 @@ def adaptive_threshold(
 # ------------------------------------------------------------------ runs below a level
 
 def below_runs(
-    df: DataFrame, key: str, time: str, below: Column, width: float, tie: str | None = None,
+    df: DataFrame, key: str, time: str, below: Column, width: float | None = None, tie: str | None = None,
     min_len: float = 0.0, guard: float = 0.0, min_cut: float | None = None, keep_trailing: bool = True,
     step: float = 0.0,
 ) -> DataFrame:
@@ -117,10 +127,8 @@ def below_runs(
     but not off the end of a series; what is then not longer than ``min_cut`` goes.
     """
     ties = [tie] if tie else []
-    rows = df.select(
-        key, F.col(time).alias("t"), *ties, F.coalesce(below, F.lit(False)).alias("below"),
-        chunk_of(time, width).alias("chunk"),
-    )
+    rows = df.select(key, F.col(time).alias("t"), *ties, F.coalesce(below, F.lit(False)).alias("below"))
+    rows = chunked(rows, key, ["t", *ties], width)
     w = Window.partitionBy(key, "chunk").orderBy("t", *ties)
     marked = rows.select(
         key, "chunk", "t", "below",
@@ -201,9 +209,9 @@ def carry_in(chunk_max: DataFrame, key: str) -> DataFrame:
     )
 
 
-def merge_intervals(df: DataFrame, key: str, width: float, start: str = "start", end: str = "end") -> DataFrame:
+def merge_intervals(df: DataFrame, key: str, width: float | None = None, start: str = "start", end: str = "end") -> DataFrame:
     """Union of overlapping or touching intervals per series."""
-    cut = df.select(key, F.col(start).alias("start"), F.col(end).alias("end"), chunk_of(start, width).alias("chunk"))
+    cut = chunked(df.select(key, F.col(start).alias("start"), F.col(end).alias("end")), key, ["start", "end"], width)
     w = Window.partitionBy(key, "chunk").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opens = cut.withColumn("opens", (reach.isNull() | (F.col("start") > reach)).cast("int"))
@@ -236,14 +244,14 @@ def merge_intervals(df: DataFrame, key: str, width: float, start: str = "start",
     return final.unionByName(tails)
 
 
-def keep_ranges(merged: DataFrame, spans: DataFrame, key: str, width: float) -> DataFrame:
+def keep_ranges(merged: DataFrame, spans: DataFrame, key: str, width: float | None = None) -> DataFrame:
     """What is left of each series' [origin, total] once the merged cuts are taken out.
 
     ``merged`` holds disjoint cuts, ``spans`` one (key, origin, total) row per
     series. The range after the last cut is always given, as is the whole span of
     a series without cuts.
     """
-    cuts = materialize(merged.select(key, "start", "end", chunk_of("start", width).alias("chunk")), "cuts")
+    cuts = materialize(chunked(merged.select(key, "start", "end"), key, ["start"], width), "cuts")
     carried = carry_in(cuts.groupBy(key, "chunk").agg(F.max("end").alias("chunk_end")), key)
     w = Window.partitionBy(key, "chunk").orderBy("start")
     before = cuts.withColumn("_lag", F.lag("end").over(w)).join(carried, [key, "chunk"]).join(spans, key)

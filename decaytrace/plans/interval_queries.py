@@ -43,7 +43,7 @@ register("adaptive_threshold", thresholds, fx.oracle(THRESHOLD, "SELECT * FROM t
 
 def below_threshold(spark, d, **options):
     levels = series(spark, d).join(thresholds(spark, d).select(KEY, "threshold"), KEY)
-    return iv.below_runs(levels, KEY, "t", F.col("value") < F.col("threshold"), width(spark, d), tie="event_id", **options)
+    return iv.below_runs(levels, KEY, "t", F.col("value") < F.col("threshold"), tie="event_id", **options)
 
 
 RUNS = THRESHOLD + """,
@@ -72,7 +72,7 @@ def busy(spark, d):
 
 
 def merged(spark, d):
-    return iv.merge_intervals(busy(spark, d), KEY, width(spark, d))
+    return iv.merge_intervals(busy(spark, d), KEY)
 
 
 MERGED = EVENTS + """,
@@ -91,7 +91,7 @@ def spans(spark, d):
 
 register(
     "keep_ranges",
-    lambda spark, d: iv.keep_ranges(merged(spark, d), spans(spark, d), KEY, width(spark, d)),
+    lambda spark, d: iv.keep_ranges(merged(spark, d), spans(spark, d), KEY),
     fx.oracle(MERGED, f"""
 , p AS (SELECT *, coalesce(lag("end") OVER (PARTITION BY user_id ORDER BY start), {ORIGIN}) AS prev FROM merged)
 SELECT user_id, prev AS start, start AS "end" FROM p WHERE start > prev
@@ -101,7 +101,7 @@ register(
     "overlap_fraction",
     lambda spark, d: iv.overlap_fraction(
         series(spark, d).select(KEY, "event_id", (F.col("t") - HOUR).alias("start"), (F.col("t") + F.col("value") * F.lit(120.0)).alias("end")),
-        iv.merge_intervals(busy(spark, d).filter(F.col("end") - F.col("start") > 6 * HOUR), KEY, width(spark, d)), KEY, width(spark, d),
+        iv.merge_intervals(busy(spark, d).filter(F.col("end") - F.col("start") > 6 * HOUR), KEY), KEY, width(spark, d),
     ).select(KEY, "event_id", "in_drop"),
     fx.oracle(EVENTS, f"""
 , b AS (SELECT user_id, t AS start, t + value * CAST(600 AS DOUBLE) AS "end" FROM e WHERE (t + value * CAST(600 AS DOUBLE)) - t > {6 * HOUR}),

@@ -164,3 +164,58 @@ def test_chunk_width_follows_the_busiest_series(spark):
     df = spark.range(1000).selectExpr("if(id < 900, 'hot', 'cold') k", "cast(id as double) t")
     assert iv.chunk_width(df, "k", "t", 1e9, rows=100) == 899.0 / 9
     assert iv.chunk_width(df, "k", "t", 1e9, rows=5000) == 1e9
+
+
+def burst(seed=5):
+    """Nearly all rows of one series fall on one instant."""
+    rng = random.Random(seed)
+    out = [("hot", i, 50.0, float(rng.choice([-1, -1, -1, 1]))) for i in range(600)]
+    out += [("hot", 1000 + i, float(rng.randint(0, 100)), float(rng.choice([-1, 1]))) for i in range(30)]
+    return out + [(k, i, float(rng.randint(0, 40)), float(rng.choice([-1, 1]))) for k in ("a", "b") for i in range(25)]
+
+
+def test_a_burst_at_one_instant_spans_chunks(spark, monkeypatch):
+    monkeypatch.setattr(iv, "ROWS_PER_CHUNK", 16)
+    data = burst()
+    df = spark.createDataFrame(data, "k string, i int, t double, v double").repartition(5)
+    want = []
+    for key, rs in by_key(data).items():
+        start, rs = None, sorted(rs, key=lambda r: (r[2], r[1]))
+        for r in rs:
+            if r[3] < 0 and start is None:
+                start = r[2]
+            elif r[3] >= 0 and start is not None:
+                want.append((key, start, r[2], False))
+                start = None
+        if start is not None:
+            want.append((key, start, rs[-1][2], True))
+    got = iv.below_runs(df, "k", "t", F.col("v") < 0, tie="i")
+    assert result(got, "k", "start", "end", "open_end") == sorted(want)
+    chunks = iv.chunked(df.select("k", "t", "i"), "k", ["t", "i"], None).groupBy("k", "chunk").count().collect()
+    assert max(r["count"] for r in chunks) == 16 and len(chunks) > 40
+
+    cuts = df.select("k", F.col("t").alias("start"), (F.col("t") + F.col("i") % 3).alias("end"))
+    merged = defaultdict(list)
+    for k, s, e in sorted(tuple(r) for r in cuts.collect()):
+        if merged[k] and s <= merged[k][-1][1]:
+            merged[k][-1][1] = max(merged[k][-1][1], e)
+        else:
+            merged[k].append([s, e])
+    out = iv.merge_intervals(cuts, "k")
+    assert result(out, "k", "start", "end") == sorted((k, *x) for k, xs in merged.items() for x in xs)
+    spans = spark.createDataFrame([(k, 0.0, 200.0) for k in merged], "k string, origin double, total double")
+    gaps = []
+    for k, xs in merged.items():
+        edges = [0.0, *[e for _, e in xs]]
+        gaps += [(k, a, s) for a, (s, _) in zip(edges, xs, strict=False) if s > a] + [(k, edges[-1], 200.0)]
+    assert result(iv.keep_ranges(out, spans, "k"), "k", "start", "end") == sorted(gaps)
+
+
+def test_thresholds_do_not_depend_on_the_sketch(spark, monkeypatch):
+    monkeypatch.setattr(iv, "ACCURACY", 1)  # a sketch this coarse misses most ranks
+    monkeypatch.setattr(iv, "BRACKET", 0.0)
+    rng = random.Random(3)
+    values = {"exp": [2.0 ** rng.randint(-900, 900) for _ in range(400)], "same": [4.0] * 50, "two": [1.0] * 30 + [9.0] * 3, "one": [5.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double").repartition(4)
+    got = {r["k"]: (r["floor_level"], r["peak_level"]) for r in iv.adaptive_threshold(df, "k", "v").collect()}
+    assert got == {k: (sorted(vs)[len(vs) // 20], sorted(vs)[int(len(vs) * 0.9)]) for k, vs in values.items()}
