@@ -105,7 +105,7 @@ def test_secrets_are_told_from_other_tokens(spark):
     assert all(after[i]["text"] == before[i] for i in (901, 902, 903, 904, 905, 906, 4, 5, 6))
     assert secrets.scan(spark.createDataFrame([], SCHEMA), model).count() == 0
     plan = secrets.scan(df, model)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Exchange" not in plan.replace("RoundRobin", "") or "Python" not in plan
+    assert "Python" not in plan and plan.count("Exchange ") == plan.count("Exchange RoundRobin")  # that of the test's own repartition
 
 
 def test_the_compiled_forest_is_the_forest(spark):
