@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from decaytrace.llm import classifier, minhash, packing, secrets, substrings
 from decaytrace.llm.common import findable, table
 from decaytrace.llm.queries import tokenizer_settings
-from decaytrace.session import materialize
+from decaytrace.session import materialize, release
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,18 +15,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return minhash.drop_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return substrings.remove_repeats(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return secrets.redact(docs, secrets.train(secrets.labelled_findings(spark)))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return packing.pack(docs, tokenizer_settings())
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -61,3 +62,10 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of what finished steps left on the driver: Python's handles on their plans first, then
+    the plans themselves, upon which Spark's cleaner also drops their shuffle files and broadcasts."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
