@@ -165,20 +165,46 @@ def train(findings: DataFrame, job: Forest = Forest()) -> RandomForestClassifica
 
 
 def compiled(model: RandomForestClassificationModel, values: Column) -> Column:
-    """The forest as one expression over a feature array: the mean share of secrets in the leaves."""
+    """The forest as one expression over a feature array: the mean share of secrets in the leaves.
 
-    def share(node) -> Column:
-        if node.subtreeDepth() == 0:
+    Every tree is laid out as a complete one, in heap order, in three literal arrays (feature and
+    cut of each node, share of each leaf), and walked level by level: the plan does not grow with
+    the forest. ``values`` is read at every node, so it should be a column or a lambda's variable.
+    """
+    roots = [t._call_java("rootNode") for t in model.trees]
+    depth = max(1, *(root.subtreeDepth() for root in roots))
+    inner = 2**depth - 1
+    splits, cuts, leaves = ([x] * (n * len(roots)) for x, n in ((0, inner), (float("inf"), inner), (0.0, inner + 1)))
+
+    def place(tree: int, at: int, node) -> None:
+        leaf = node.subtreeDepth() == 0
+        if at >= inner:
             harmless, secret = list(node.impurityStats().stats())
-            return F.lit(secret / (harmless + secret))
-        split = node.split()
-        return F.when(values[int(split.featureIndex())] <= F.lit(float(split.threshold())), share(node.leftChild())).otherwise(share(node.rightChild()))
-
-    trees = [share(t._call_java("rootNode")) for t in model.trees]
-    total = trees[0]
-    for t in trees[1:]:
-        total = total + t
-    return total / len(trees)
+            leaves[tree * (inner + 1) + at - inner] = secret / (harmless + secret)
+            return
+        if not leaf:
+            split = node.split()
+            splits[tree * inner + at], cuts[tree * inner + at] = int(split.featureIndex()), float(split.threshold())
+        place(tree, 2 * at + 1, node if leaf else node.leftChild())
+        place(tree, 2 * at + 2, node if leaf else node.rightChild())
+
+    for tree, root in enumerate(roots):
+        place(tree, 0, root)
+
+    def constant(numbers: list, kind: str) -> Column:
+        return F.split(F.lit(",".join("Infinity" if x == float("inf") else repr(x) for x in numbers)), ",").cast(f"array<{kind}>")
+
+    split_of, cut_of, leaf_of = constant(splits, "int"), constant(cuts, "double"), constant(leaves, "double")
+
+    def leaf(tree: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            here = tree * inner + at
+            return 2 * at + F.when(F.get(values, F.get(split_of, here)) <= F.get(cut_of, here), 1).otherwise(2)
+
+        return F.get(leaf_of, tree * (inner + 1) + F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), step) - inner)
+
+    shares = F.transform(F.sequence(F.lit(0), F.lit(len(roots) - 1)), leaf)
+    return F.aggregate(shares, F.lit(0.0), lambda total, x: total + x) / len(roots)
 
 
 def with_candidates(docs: DataFrame, model: RandomForestClassificationModel, path_col: str) -> tuple[DataFrame, str]:

@@ -213,3 +213,29 @@ def test_look_alike_licenses_are_told_apart():
     assert finder.found(b"Licensed under the Apache License, Version 2.7") == []
     numbered = licenses.NOTICES["BSD-2-Clause"].replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in")
     assert [f[2] for f in finder.found(numbered.encode())] == ["BSD-2-Clause"]
+
+
+def test_what_a_view_lends_is_chosen_among_all_unlabelled_rows(spark):
+    job = classifier.CoTraining(lent=7)
+    docs, labels, texts = labelled_documents(spark)
+    docs = docs.unionByName(docs.where("doc_id % 2 = 0").withColumn("doc_id", docs.doc_id + 10_000))  # copies count once
+    model = classifier.train(docs, labels, job)
+    pool = classifier.features(docs)
+    rows = pool.collect()
+    views = [np.stack([np.frombuffer(r[name], np.float16).astype(np.float32) for r in rows]) for name in ("one", "two")]
+    for parts in (1, 9):
+        got = classifier.drawn(pool.repartition(parts), model, 2, job)
+        for k, label, keys, lent in got:
+            p = 1 / (1 + np.exp(-np.clip(model.log_odds(k, views[k]), -30, 30)))
+            sure = p >= job.confident if label else 1 - p >= job.confident
+            with np.errstate(over="ignore"):
+                firsts = sorted({int(classifier.mixed(np.array([r["key"]]).view(np.uint64) + np.uint64(3))[0]) : r["key"] for r, s in zip(rows, sure) if s}.items())[:7]
+            assert [x for _, x in firsts] == keys.view(np.int64).tolist() and len(lent[0]) == len(keys)
+        assert any(len(keys) == 7 for _, _, keys, _ in got)
+
+
+def test_labelled_rows_do_not_empty_the_unlabelled_pool(spark):
+    docs, labels, _ = labelled_documents(spark)
+    many = spark.createDataFrame([(i, int(i % 4 != 0), None) for i in range(290)], labels.schema)
+    assert classifier.train(docs, many, classifier.CoTraining(labelled=40)).combine.tolist() != [1.0, 1.0, 0.0]
+    assert classifier.features(docs).join(many.select("doc_id"), "doc_id", "left_anti").count() == 10
