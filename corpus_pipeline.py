@@ -26,7 +26,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     release(spark)
-    return secrets.redact(docs, secrets.train(secrets.labelled_findings(spark)))
+    forest = secrets.train(secrets.labelled_findings(spark))
+    release(spark)
+    return secrets.redact(docs, forest)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
