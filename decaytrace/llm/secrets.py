@@ -12,6 +12,7 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import materialize
 from .common import fresh
 
 # Alphabet of a candidate and the blanks that end a word.
@@ -91,19 +92,38 @@ def labelled_findings(spark: SparkSession, rows: int = 4_000) -> DataFrame:
     Every second row is a secret in one of the usual forms, short, punctuated and all-digit
     passwords and passphrases among them; the others are what such patterns also hit: commit
     and content hashes, identifiers, slugs, placeholders, version strings, long words, numbers
-    and the words of sentences about passwords and tokens.
+    and the words of sentences about passwords and tokens. They are one partition, so that the
+    forest's draws do not depend on how many cores a session has.
     """
     n = F.col("id")
-    hexes = F.concat(F.sha2(F.concat(n.cast("string"), F.lit("a")), 256), F.md5(n.cast("string")))
-    coded = F.regexp_replace(F.base64(F.unhex(hexes)), "[=]", "")
-    upper = F.regexp_replace(F.upper(coded), "[^A-Z2-7]", "")
     words = F.array(*[F.lit(w) for w in ("north", "lorem", "harbor", "thing", "retion", "stone", "user", "profile", "monthly", "report", "best", "guide")])
+    prose = F.array(*[F.lit(w) for w in ("and", "the", "of", "was", "is", "that", "for", "expired", "field", "must", "reset", "manager", "between", "ring", "north", "thorlyedon", "entionre", "policy")])
+    marks = F.array(*[F.lit(c) for c in "!.@$%#"])
+
+    def drawn(salt: int, size: int, first: int = 0) -> Column:
+        return F.pmod(F.xxhash64(n, F.lit(salt)), F.lit(size)) + first
+
+    def one_of(items: Column, salt: int, size: int) -> Column:
+        return F.element_at(items, drawn(salt, size, 1).cast("int"))
+
+    # what many forms share is made once, in projections of its own: the forms below only name it
+    base = spark.range(0, rows, 1, 1).withColumn("hexes", F.concat(F.sha2(F.concat(n.cast("string"), F.lit("a")), 256), F.md5(n.cast("string"))))
+    base = base.withColumn("coded", F.regexp_replace(F.base64(F.unhex("hexes")), "[=]", ""))
+    base = base.withColumns(
+        {
+            "upper": F.regexp_replace(F.upper("coded"), "[^A-Z2-7]", ""), "plain": F.regexp_replace("coded", "[+/]", ""),
+            "number": drawn(9, 9_000, 1_000), "kind": F.pmod(F.floor(n / 2), F.lit(16)), "mark": one_of(marks, 11, 6),
+            "some": drawn(12, 4, 6).cast("int"), "digits": F.lpad(drawn(13, 10**15).cast("string"), 15, "7"),  # some: 6 to 9
+            "said": one_of(prose, 1, 18), **{f"word_{k}": one_of(words, k, 12) for k in range(1, 7)},
+        }
+    )
+    hexes, coded, upper, plain, number, kind, mark, some, digits, said = (
+        F.col(c) for c in ("hexes", "coded", "upper", "plain", "number", "kind", "mark", "some", "digits", "said")
+    )
 
-    def word(salt: int) -> Column:
-        return F.element_at(words, (F.pmod(F.xxhash64(n, F.lit(salt)), F.lit(12)) + 1).cast("int"))
+    def word(k: int) -> Column:
+        return F.col(f"word_{k}")
 
-    number = F.pmod(F.xxhash64(n, F.lit(9)), F.lit(9_000)) + 1_000
-    kind = F.pmod(F.floor(n / 2), F.lit(16))
     good = n % 2 == 0
 
     def pick(of_secrets: list[Column], of_others: list[Column]) -> Column:
@@ -117,16 +137,6 @@ def labelled_findings(spark: SparkSession, rows: int = 4_000) -> DataFrame:
 
     slug = F.concat_ws("-", word(1), word(2), word(3), number.cast("string"))
     name = F.concat_ws("_", word(1), word(2), F.concat(F.lit("v"), number.cast("string")))
-    plain = F.regexp_replace(coded, "[+/]", "")
-    marks = F.array(*[F.lit(c) for c in "!.@$%#"])
-    mark = F.element_at(marks, (F.pmod(F.xxhash64(n, F.lit(11)), F.lit(6)) + 1).cast("int"))
-    some = (F.pmod(F.xxhash64(n, F.lit(12)), F.lit(4)) + 6).cast("int")  # 6 to 9
-    digits = F.lpad(F.pmod(F.xxhash64(n, F.lit(13)), F.lit(10**15)).cast("string"), 15, "7")
-    prose = F.array(*[F.lit(w) for w in ("and", "the", "of", "was", "is", "that", "for", "expired", "field", "must", "reset", "manager", "between", "ring", "north", "thorlyedon", "entionre", "policy")])
-
-    def said(salt: int) -> Column:
-        return F.element_at(prose, (F.pmod(F.xxhash64(n, F.lit(salt)), F.lit(18)) + 1).cast("int"))
-
     guid = F.concat_ws("-", cut(hexes, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 12))
     value = pick(
         [F.concat(F.lit("AKIA"), cut(upper, 16)), cut(hexes, 18), cut(hexes, 40), cut(coded, 40), F.concat(F.lit("ghp_"), cut(F.regexp_replace(coded, "[+/]", ""), 36)),
@@ -135,8 +145,8 @@ def labelled_findings(spark: SparkSession, rows: int = 4_000) -> DataFrame:
          F.concat(F.lit("AKIA"), cut(F.regexp_replace(upper, "[2-7]", ""), 16)), F.substring(plain, F.lit(1), some), F.concat(cut(word(1), 5), mark, cut(digits, 3)), F.concat(cut(plain, 3), mark, F.substring(plain, F.lit(4), some), mark)],
         [cut(hexes, 40), cut(hexes, 32), guid, slug, name, F.concat(F.lit("your_api_key_"), number.cast("string")), F.concat(word(1), word(2), word(3), number.cast("string")),
          F.concat(F.lit("changeme_example_"), number.cast("string")),
-         F.concat(word(1), word(2), word(3)), said(1), F.concat(F.initcap(word(1)), F.initcap(word(2)), F.initcap(word(3))), F.substring(digits, F.lit(1), some + 6),
-         said(1), F.concat_ws("/", F.lit(""), word(1), word(2), word(3)), F.element_at(F.array(*[F.lit(w) for w in ("changeme", "example", "your_password", "placeholder")]), (number % 4 + 1).cast("int")), F.upper(F.concat_ws("_", word(1), word(2), word(3)))],
+         F.concat(word(1), word(2), word(3)), said, F.concat(F.initcap(word(1)), F.initcap(word(2)), F.initcap(word(3))), F.substring(digits, F.lit(1), some + 6),
+         said, F.concat_ws("/", F.lit(""), word(1), word(2), word(3)), F.element_at(F.array(*[F.lit(w) for w in ("changeme", "example", "your_password", "placeholder")]), (number % 4 + 1).cast("int")), F.upper(F.concat_ws("_", word(1), word(2), word(3)))],
     )
     lead = pick(
         [F.lit(""), F.lit("password="), F.lit('"'), F.lit("aws_secret_access_key="), F.lit(""), F.lit("api_key:"), F.lit("pwd="), F.lit('secret:"'),
@@ -151,16 +161,20 @@ def labelled_findings(spark: SparkSession, rows: int = 4_000) -> DataFrame:
          word(4), F.lit("the password"), word(4), F.concat_ws(" ", word(4), F.lit("number")), F.lit("a token"), word(4), word(4), word(4)],
     )
     path = F.when(n % 7 == 0, "docs/example.md").otherwise(F.concat(F.lit("src"), (n % 50).cast("string")))
-    return spark.range(rows).select(
+    return base.select(
         value.alias("value"), F.concat(lead, value).alias("word"), before.alias("before"), word(5).alias("after"), path.alias("path"), good.cast("double").alias("label")
     )
 
 
 def train(findings: DataFrame, job: Forest = Forest()) -> RandomForestClassificationModel:
-    """A random forest over labelled findings (value, word, before, after, path, label)."""
+    """A random forest over labelled findings (value, word, before, after, path, label).
+
+    The features are written once: training goes over them several times.
+    """
     rows = findings.where("label is not null and value is not null").select(
         F.col("label").cast("double").alias("label"), array_to_vector(features(*(F.col(c) for c in ("value", "word", "before", "after", "path")))).alias("features")
     )
+    rows = materialize(rows, "findings")
     return RandomForestClassifier(numTrees=job.trees, maxDepth=job.depth, seed=job.seed, minInstancesPerNode=5).fit(rows)
 
 
