@@ -125,9 +125,13 @@ def text(c: Column | str, digits: int | None = None) -> Column:
 
 def results_tables(
     feed: DataFrame, mart: DataFrame, scored: DataFrame, segment: str, value, derived: str,
-    inputs: Sequence[str], period: str = "feed_month",
+    inputs: Sequence[str], period: str = "feed_month", source_options: dict | None = None, derived_options: dict | None = None,
 ) -> DataFrame:
-    """The report as rows (section, key, a, b, c, d), every figure computed here."""
+    """The report as rows (section, key, a, b, c, d), every figure computed here.
+
+    The options are those of ``monitor_verdicts`` for either layer; a monitor that could not
+    be measured has no cell.
+    """
     none = F.lit(None).cast("string")
 
     def rows(df, section, key, *cells):
@@ -143,8 +147,8 @@ def results_tables(
         listed("new"), F.sum("rows_in_first_period").alias("n")
     )
     values = profile.value_sets(feed, segment, period).groupBy(period).agg(listed("values")).join(new, period, "left")
-    verdicts = monitors.monitor_sweep({"source": (feed, segment), "derived": (mart, derived)}, period)
-    fires = lambda layer: F.max(F.when(F.col("layer") == layer, F.when(F.col("fires"), "FIRES").otherwise("silent")))
+    verdicts = monitors.monitor_sweep({"source": (feed, segment, source_options or {}), "derived": (mart, derived, derived_options or {})}, period)
+    fires = lambda layer: F.max(F.when(F.col("layer") == layer, F.when(F.col("fires"), "FIRES").when(~F.col("fires"), "silent")))
     by_monitor = verdicts.groupBy("monitor").agg(fires("source").alias("s"), fires("derived").alias("d"))
     zeros = monitors.monitor_metrics(mart, derived, period)
     segments = drift.drift_report(scored, segment, inputs)

@@ -109,35 +109,39 @@ def _swing_pct(volume: str):
 
 def monitor_verdicts(
     df: DataFrame, column: str, period: str = "feed_month", time: str | None = None,
-    max_gap_seconds: float | None = None,
+    max_gap_seconds: float | None = None, schemas: DataFrame | None = None,
 ) -> DataFrame:
-    """One row of verdicts. Freshness is judged where a time column is given.
+    """One row of verdicts, each measured; null where there is nothing to measure it on.
 
-    All periods are read through one schema here, so type and schema are stable
-    by construction; ``monitor_schema`` compares the files themselves.
+    Freshness is judged where a time column is given, type and schema where ``schemas`` are:
+    (period, column, dtype) as declared by each period's files (``schema_rows``), since the
+    rows here are all read through one schema.
     """
     metrics = materialize(monitor_metrics(df, column, period), "metrics")
-    stale = (
-        monitor_freshness(df, time, period, max_gap_seconds).agg(F.coalesce(F.max("fires"), F.lit(False))).scalar()
-        if time
-        else F.lit(False)
-    )
+    unknown = F.lit(None).cast("boolean")
+    stale = stable = reshaped = unknown
+    if time:
+        stale = monitor_freshness(df, time, period, max_gap_seconds).agg(F.coalesce(F.max("fires"), F.lit(False))).scalar()
+    if schemas is not None:
+        stable = schemas.filter(F.col("column") == column).agg(F.when(F.count("dtype") > 0, F.count_distinct("dtype") == 1)).scalar()
+        reshaped = monitor_schema(schemas, period).exists()
+
     def changed(metric):
         return first_exceedance(metrics, metric, period).exists()
 
     return metrics.agg(
         F.lit(column).alias("column"),
         F.lit(df.schema[column].dataType.simpleString()).alias("dtype"),
-        F.lit(True).alias("dtype_stable"),
         F.max("null_pct").alias("max_null_pct"),
         _swing_pct("row_volume").alias("row_volume_swing_pct"),
         (_swing("row_volume") > VOLUME_SWING).alias("volume_fires"),
         (F.max("null_pct") > NULL_PCT).alias("null_count_fires"),
-        F.lit(False).alias("schema_fires"),
         (F.max("empty_count") > 0).alias("empty_count_fires"),
         (F.max("negative_count") > 0).alias("negative_count_fires"),
     ).select(
         "*",
+        stable.alias("dtype_stable"),
+        reshaped.alias("schema_fires"),
         stale.alias("freshness_fires"),
         changed("unique_count").alias("unique_count_fires"),
         changed("zero_count").alias("zero_count_fires"),
@@ -147,11 +151,15 @@ def monitor_verdicts(
 MONITORS = ("freshness", "volume", "null_count", "schema", "empty_count", "negative_count", "unique_count", "zero_count")
 
 
-def monitor_sweep(layers: Mapping[str, tuple[DataFrame, str]], period: str = "feed_month") -> DataFrame:
-    """Verdicts of several (layer, column) pairs, one row per monitor."""
+def monitor_sweep(layers: Mapping[str, tuple], period: str = "feed_month") -> DataFrame:
+    """Verdicts of several layers, one row per monitor; ``fires`` is null where nothing was measured.
+
+    A layer is (rows, column) or (rows, column, options), the options being those of
+    ``monitor_verdicts``: time, max_gap_seconds, schemas.
+    """
     parts = []
-    for layer, (df, column) in layers.items():
-        verdicts = monitor_verdicts(df, column, period)
+    for layer, (df, column, *options) in layers.items():
+        verdicts = monitor_verdicts(df, column, period, **(options[0] if options else {}))
         parts.append(
             verdicts.select(
                 F.lit(layer).alias("layer"),

@@ -79,39 +79,58 @@ FROM (SELECT count(*) AS n FROM feed GROUP BY feed_month)"""),
 )
 
 
-def verdicts_sql(column, source, dtype):
+#: Whether the published files of some periods lack a column that those of others have.
+FEED_RESHAPED = f"(SELECT count(DISTINCT feed_month >= '{fx.TRIP_TYPE_SINCE}') > 1 FROM feed)"
+#: Whether the mart's rows differ in their columns or types.
+MART_RESHAPED = "(SELECT count(DISTINCT typeof(mart)) > 1 FROM mart)"
+
+
+def stale_sql(source):
+    return f"""(SELECT coalesce(bool_or(gap > {int(fx.MAX_GAP_SECONDS)}), false) FROM (
+  SELECT CAST(floor(epoch(t)) AS BIGINT) - CAST(floor(epoch(lag(t) OVER (ORDER BY feed_month))) AS BIGINT) AS gap
+  FROM (SELECT feed_month, max(pickup_at) AS t FROM {source} GROUP BY 1)))"""
+
+
+def verdicts_sql(column, source, dtype, reshaped):
     return f"""
 m AS ({metrics_sql(column, source)}),
 w AS (SELECT *, max(unique_count) OVER e AS pu, max(zero_count) OVER e AS pz FROM m
   WINDOW e AS (ORDER BY feed_month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-v AS (SELECT '{column}' AS "column", '{dtype}' AS dtype, true AS dtype_stable, max(null_pct) AS max_null_pct,
+v AS (SELECT '{column}' AS "column", '{dtype}' AS dtype, (SELECT count(DISTINCT typeof({column})) <= 1 FROM {source}) AS dtype_stable,
+  max(null_pct) AS max_null_pct,
   round((max(row_volume) - min(row_volume)) / CAST(max(row_volume) AS DOUBLE) * 100, 2) AS row_volume_swing_pct,
   (max(row_volume) - min(row_volume)) / CAST(max(row_volume) AS DOUBLE) > 0.5 AS volume_fires,
-  max(null_pct) > 1.0 AS null_count_fires, false AS schema_fires, false AS empty_count_fires,
-  max(negative_count) > 0 AS negative_count_fires, false AS freshness_fires,
+  max(null_pct) > 1.0 AS null_count_fires, {reshaped} AS schema_fires,
+  (SELECT count(*) FILTER (trim(CAST({column} AS VARCHAR)) = '') > 0 FROM {source}) AS empty_count_fires,
+  max(negative_count) > 0 AS negative_count_fires, {stale_sql(source)} AS freshness_fires,
   coalesce(bool_or(unique_count > pu), false) AS unique_count_fires,
   coalesce(bool_or(zero_count > pz), false) AS zero_count_fires FROM w)"""
 
 
+def derived_verdicts(spark, d):
+    rows, options = fx.derived_layer(spark, d)
+    return monitors.monitor_verdicts(rows, "avg_speed_mph", **options)
+
+
 register(
-    "monitor_verdicts",
-    lambda spark, d: monitors.monitor_verdicts(fx.mart(spark, d), "avg_speed_mph"),
-    fx.oracle(MART, ", " + verdicts_sql("avg_speed_mph", "mart", "double") + " SELECT * FROM v"),
+    "monitor_verdicts", derived_verdicts,
+    fx.oracle(MART, ", " + verdicts_sql("avg_speed_mph", "mart", "double", MART_RESHAPED) + " SELECT * FROM v"),
 )
 
 
 def sweep(spark, d):
+    (source, measured), (derived, options) = fx.source_layer(spark, d), fx.derived_layer(spark, d)
     return monitors.monitor_sweep(
-        {"source_column": (fx.feed(spark, d), "vendor_id"), "derived_feature": (fx.mart(spark, d), "avg_speed_mph")}
+        {"source_column": (source, "vendor_id", measured), "derived_feature": (derived, "avg_speed_mph", options)}
     )
 
 
 def sweep_sql(tail):
     parts = []
-    for i, (layer, column, source, dtype) in enumerate(
-        [("source_column", "vendor_id", "feed", "int"), ("derived_feature", "avg_speed_mph", "mart", "double")]
+    for layer, column, source, dtype, reshaped in (
+        ("source_column", "vendor_id", "feed", "int", FEED_RESHAPED), ("derived_feature", "avg_speed_mph", "mart", "double", MART_RESHAPED)
     ):
-        v = f"(WITH {verdicts_sql(column, source, dtype)} SELECT * FROM v)"
+        v = f"(WITH {verdicts_sql(column, source, dtype, reshaped)} SELECT * FROM v)"
         parts.append(
             f"SELECT '{layer}' AS layer, \"column\", unnest([{', '.join(repr(m) for m in monitors.MONITORS)}]) AS monitor, "
             f"unnest([{', '.join(m + '_fires' for m in monitors.MONITORS)}]) AS fires FROM {v}"

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..operators import features, scoring
+from ..operators import features, monitors, scoring
 from ..session import scratch_path
 from ..sources import feeds, tables
 
@@ -18,6 +18,10 @@ TRAIN_PERIODS = ("1995", "1996", "1997", "1998", "1999")
 CONTROL_PERIODS = TRAIN_PERIODS + ("2000",)
 SCORE_PERIOD = "2001"
 ALL_PERIODS = CONTROL_PERIODS + (SCORE_PERIOD,)
+# The period from which the published files carry one more code column.
+TRIP_TYPE_SINCE = "1998"
+# A period is stale when its latest pickup is more than a leap year after that of the period before.
+MAX_GAP_SECONDS = 366 * 86400.0
 
 
 _SCHEMAS: dict[str, T.StructType] = {}
@@ -88,6 +92,18 @@ def published_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def period_files(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, str]]:
+    """The published feed as one folder of files per period; early ones lack ``trip_type``."""
+    published = published_feed(spark, sf_dir).withColumn("trip_type", (1 + F.col("payment_type") % 2).cast("int"))
+    root = scratch_path(spark, "published")
+    for name, part in {
+        "early": published.filter(F.col("feed_month") < TRIP_TYPE_SINCE).drop("trip_type"),
+        "late": published.filter(F.col("feed_month") >= TRIP_TYPE_SINCE),
+    }.items():
+        part.hint("rebalance", "feed_month").write.partitionBy("feed_month").parquet(f"{root}/{name}")
+    return root, {p: f"{root}/{'early' if p < TRIP_TYPE_SINCE else 'late'}/feed_month={p}" for p in ALL_PERIODS}
+
+
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.scan_feed(published_feed(spark, sf_dir), keep=("trip_id", "feed_month"))
 
@@ -100,6 +116,20 @@ def mart(spark: SparkSession, sf_dir: str, encoder: features.Encoder = features.
     return features.mart_features(staged(spark, sf_dir), encoder, keep=("trip_id",))
 
 
+def source_layer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    """The feed and what its monitors measure besides values: pickups, and each published file's schema."""
+    schemas = monitors.schema_rows(spark, period_files(spark, sf_dir)[1])
+    return feed(spark, sf_dir), {"time": "pickup_at", "max_gap_seconds": MAX_GAP_SECONDS, "schemas": schemas}
+
+
+def derived_layer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    """The mart as a written table, and what its monitors measure besides values."""
+    path = scratch_path(spark, "mart")
+    rows = tables.write_mart(mart(spark, sf_dir), path)
+    schemas = monitors.schema_rows(spark, {p: f"{path}/feed_month={p}" for p in ALL_PERIODS})
+    return rows, {"time": "pickup_at", "max_gap_seconds": MAX_GAP_SECONDS, "schemas": schemas}
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both stand-in arms over the scored period."""
     rows = mart(spark, sf_dir)

@@ -9,7 +9,7 @@ from ..session import materialize
 from ..streaming import monitors as streaming
 from . import fixture as fx
 from .catalog import register
-from .evidence_queries import DID_SQL, DRIFT_SQL, zero_sql
+from .evidence_queries import DID_SQL, DRIFT_SQL, FEED_RESHAPED, MART_RESHAPED, stale_sql, zero_sql
 from .feature_queries import word_sql
 
 FEED, STAGED, MART, SCORED = fx.FEED_CTE, fx.STAGED_CTE, fx.MART_CTE, fx.SCORED_CTE
@@ -275,12 +275,19 @@ r AS (SELECT round(avg(abs_error) - avg(control_abs_error), 6) AS lift FROM scor
 SELECT 'raw.orders' AS dataset, 'vendor_id 7 appeared in ' || (SELECT min(feed_month) FROM feed WHERE vendor_id = 7) AS title,
   round(round(naive - lift, 4) * n, 2) AS amount, 'ACTIVE' AS state FROM g, r"""),
 )
-register(
-    "results_tables",
-    lambda spark, d: diagnose.results_tables(
-        fx.feed(spark, d), fx.mart(spark, d), fx.served(spark, d), "vendor_id", fx.NEW_CODE, "avg_speed_mph",
+
+
+def results(spark, d):
+    (source, measured), (derived, options) = fx.source_layer(spark, d), fx.derived_layer(spark, d)
+    return diagnose.results_tables(
+        source, derived, fx.served(spark, d), "vendor_id", fx.NEW_CODE, "avg_speed_mph",
         ["trip_distance", "trip_minutes", "avg_speed_mph", *features.KNOWN_VENDORS],
-    ),
+        source_options=measured, derived_options=options,
+    )
+
+
+register(
+    "results_tables", results,
     fx.oracle(SCORED, """
 , vs AS (SELECT feed_month, string_agg(CAST(vendor_id AS VARCHAR), ', ' ORDER BY CAST(vendor_id AS VARCHAR)) AS a FROM (SELECT DISTINCT feed_month, vendor_id FROM feed) GROUP BY 1),
 seven AS (SELECT min(feed_month) AS fm FROM feed WHERE vendor_id = 7),
@@ -289,10 +296,11 @@ ms AS (SELECT feed_month, count(*) AS row_volume, 100.0 * sum(CASE WHEN vendor_i
   count(*) FILTER (vendor_id = 0) AS z, count(*) FILTER (vendor_id < 0) AS neg FROM feed GROUP BY 1),
 md AS (SELECT feed_month, count(*) AS row_volume, 100.0 * sum(CASE WHEN avg_speed_mph IS NULL THEN 1 ELSE 0 END) / count(*) AS np, count(DISTINCT avg_speed_mph) AS u,
   count(*) FILTER (avg_speed_mph = 0) AS z, count(*) FILTER (avg_speed_mph < 0) AS neg FROM mart GROUP BY 1),
-both_layers AS (SELECT 's' AS layer, * FROM ms UNION ALL SELECT 'd', * FROM md),
+both_layers AS (SELECT 's' AS layer, *, CAST(""" + FEED_RESHAPED + """ AS INTEGER) AS reshaped, CAST(""" + stale_sql("feed") + """ AS INTEGER) AS stale FROM ms
+  UNION ALL SELECT 'd', *, CAST(""" + MART_RESHAPED + """ AS INTEGER), CAST(""" + stale_sql("mart") + """ AS INTEGER) FROM md),
 w AS (SELECT *, max(u) OVER e AS pu, max(z) OVER e AS pz FROM both_layers WINDOW e AS (PARTITION BY layer ORDER BY feed_month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT layer, unnest(['freshness', 'volume', 'null_count', 'schema', 'empty_count', 'negative_count', 'unique_count', 'zero_count']) AS monitor,
-  unnest([false, (max(row_volume) - min(row_volume)) / CAST(max(row_volume) AS DOUBLE) > 0.5, max(np) > 1, false, false, max(neg) > 0,
+  unnest([max(stale) = 1, (max(row_volume) - min(row_volume)) / CAST(max(row_volume) AS DOUBLE) > 0.5, max(np) > 1, max(reshaped) = 1, false, max(neg) > 0,
     coalesce(bool_or(u > pu), false), coalesce(bool_or(z > pz), false)]) AS fires FROM w GROUP BY layer),
 seg AS (SELECT vendor_id, count(*) AS n, round(avg(abs_error), 4) AS p, round(avg(control_abs_error), 4) AS c, sum(total_amount) AS t,
   round(avg(abs_error) - avg(control_abs_error), 4) AS naive, round(sum(abs_error - control_abs_error), 2) AS na,

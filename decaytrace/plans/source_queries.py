@@ -13,24 +13,6 @@ from .catalog import register
 
 FEED, STAGED, MART, SCORED = fx.FEED_CTE, fx.STAGED_CTE, fx.MART_CTE, fx.SCORED_CTE
 
-# The period from which the published files carry one more code column.
-TRIP_TYPE_SINCE = "1998"
-
-
-def period_files(spark, d):
-    """The published feed as one folder of files per period; early ones lack ``trip_type``."""
-    published = fx.published_feed(spark, d).withColumn("trip_type", (1 + F.col("payment_type") % 2).cast("int"))
-    root = scratch_path(spark, "published")
-    for name, part in {
-        "early": published.filter(F.col("feed_month") < TRIP_TYPE_SINCE).drop("trip_type"),
-        "late": published.filter(F.col("feed_month") >= TRIP_TYPE_SINCE),
-    }.items():
-        part.hint("rebalance", "feed_month").write.partitionBy("feed_month").parquet(f"{root}/{name}")
-    return root, {
-        p: f"{root}/{'early' if p < TRIP_TYPE_SINCE else 'late'}/feed_month={p}" for p in fx.ALL_PERIODS
-    }
-
-
 PER_PERIOD = "SELECT feed_month, count(*) AS rows, CAST(sum(trip_id) AS DECIMAL(38,0)) AS id_sum, round(sum(total_amount), 2) AS total FROM {source} GROUP BY 1"
 
 
@@ -42,25 +24,25 @@ def per_period(df):
 
 
 def tagged(spark, d):
-    root, _ = period_files(spark, d)
+    root, _ = fx.period_files(spark, d)
     return feeds.tag_period(spark, root, r"feed_month=([0-9]{4})").select("trip_id", "feed_month")
 
 
 register("tag_period", tagged, fx.oracle(FEED, "SELECT trip_id, feed_month FROM feed"))
 register(
     "union_periods",
-    lambda spark, d: per_period(feeds.union_periods(spark, period_files(spark, d)[1], keep=("trip_id",))),
+    lambda spark, d: per_period(feeds.union_periods(spark, fx.period_files(spark, d)[1], keep=("trip_id",))),
     fx.oracle(FEED, PER_PERIOD.format(source="feed")),
 )
 TOLERANT = ["trip_type", "payment_type", "store_and_fwd_flag"]
 register(
     "scan_tolerant",
     lambda spark, d: profile.code_counts_all(
-        feeds.scan_tolerant(spark, period_files(spark, d)[1], TOLERANT), TOLERANT, present="present_columns"
+        feeds.scan_tolerant(spark, fx.period_files(spark, d)[1], TOLERANT), TOLERANT, present="present_columns"
     ),
     fx.oracle(FEED, f"""
 , codes AS (
-  SELECT feed_month, 'trip_type' AS "column", CAST(1 + payment_type % 2 AS VARCHAR) AS code FROM feed WHERE feed_month >= '{TRIP_TYPE_SINCE}'
+  SELECT feed_month, 'trip_type' AS "column", CAST(1 + payment_type % 2 AS VARCHAR) AS code FROM feed WHERE feed_month >= '{fx.TRIP_TYPE_SINCE}'
   UNION ALL SELECT feed_month, 'payment_type', CAST(payment_type AS VARCHAR) FROM feed
   UNION ALL SELECT feed_month, 'store_and_fwd_flag', coalesce(store_and_fwd_flag, 'None') FROM feed)
 SELECT feed_month, "column", code, count(*) AS rows FROM codes GROUP BY ALL"""),
@@ -68,7 +50,7 @@ SELECT feed_month, "column", code, count(*) AS rows FROM codes GROUP BY ALL"""),
 register(
     "scan_codes_tolerant",
     lambda spark, d: profile.scan_codes(
-        feeds.scan_tolerant(spark, period_files(spark, d)[1], [*TOLERANT, "VendorID"]), [*TOLERANT, "VendorID"], present="present_columns"
+        feeds.scan_tolerant(spark, fx.period_files(spark, d)[1], [*TOLERANT, "VendorID"]), [*TOLERANT, "VendorID"], present="present_columns"
     ),
     fx.oracle(FEED, """
 , counts AS (SELECT feed_month, CAST(vendor_id AS VARCHAR) AS code, count(*) AS rows FROM feed GROUP BY ALL),
@@ -77,8 +59,8 @@ SELECT * FROM firsts WHERE first_seen > (SELECT min(first_seen) FROM firsts)""")
 )
 register(
     "monitor_schema",
-    lambda spark, d: monitors.monitor_schema(monitors.schema_rows(spark, period_files(spark, d)[1])),
-    f"SELECT '{TRIP_TYPE_SINCE}' AS feed_month, 'trip_type' AS \"column\", 'added' AS change, CAST(NULL AS VARCHAR) AS before, 'int' AS after",
+    lambda spark, d: monitors.monitor_schema(monitors.schema_rows(spark, fx.period_files(spark, d)[1])),
+    f"SELECT '{fx.TRIP_TYPE_SINCE}' AS feed_month, 'trip_type' AS \"column\", 'added' AS change, CAST(NULL AS VARCHAR) AS before, 'int' AS after",
 )
 register(
     "write_raw",

@@ -154,6 +154,32 @@ def test_empty_and_negative_monitors(spark):
     assert verdict["negative_count_fires"] and not verdict["zero_count_fires"] and not verdict["freshness_fires"]
 
 
+def test_every_monitor_fires_where_it_should_and_is_silent_elsewhere(spark, tmp_path):
+    def layer(name, rows_of, kind="string"):
+        paths = {}
+        for period, values, month in rows_of:
+            paths[period] = str(tmp_path / name / period)
+            rows = [(period, v, f"{month}-{d + 1:02d} 00:00:00") for d, v in enumerate(values)]
+            made = spark.createDataFrame(rows, "feed_month string, x string, at string")
+            if kind != "string" and period == "3":
+                made = made.withColumn("x", F.col("x").cast(kind)).withColumn("extra", F.lit(1))
+            made.write.parquet(paths[period])
+        read = spark.read.schema("feed_month string, x string, at string").parquet(*[p for k, p in paths.items() if kind == "string" or k != "3"])
+        rows = read.select("feed_month", "x", F.col("at").cast("timestamp_ntz").alias("at"))
+        return rows, "x", {"time": "at", "max_gap_seconds": 40 * 86400.0, "schemas": monitors.schema_rows(spark, paths)}
+
+    quiet = layer("quiet", [("1", ["1", "2"], "2001-01"), ("2", ["2", "1"], "2001-02"), ("3", ["1", "2"], "2001-03")])
+    loud = layer("loud", [("1", ["1", "1", "1", "1", "1"], "2001-01"), ("2", ["0", "-1", "", None], "2001-06"), ("3", ["1"], "2001-07")], "int")
+    loud = (loud[0].unionByName(spark.createDataFrame([("3", "7")], "feed_month string, x string").selectExpr("*", "timestamp_ntz'2001-07-01 00:00:00' as at")), *loud[1:])
+    fires = {(r.layer, r.monitor): r.fires for r in monitors.monitor_sweep({"quiet": quiet, "loud": loud}).collect()}
+    assert {m for layer_, m in fires if layer_ == "loud" and fires[layer_, m]} == set(monitors.MONITORS)
+    assert [fires["quiet", m] for m in monitors.MONITORS] == [False] * len(monitors.MONITORS)
+    assert monitors.monitor_verdicts(loud[0], "x", **loud[2]).first()["dtype_stable"] is False
+    assert monitors.monitor_verdicts(quiet[0], "x", **quiet[2]).first()["dtype_stable"] is True
+    unmeasured = monitors.monitor_verdicts(quiet[0], "x").first()
+    assert unmeasured["schema_fires"] is None and unmeasured["freshness_fires"] is None and unmeasured["dtype_stable"] is None
+
+
 def test_schema_changes_between_periods(spark):
     df = spark.createDataFrame(
         [("1", "a", "int"), ("1", "b", "int"), ("2", "a", "bigint"), ("2", "c", "int")], "feed_month string, column string, dtype string")
