@@ -1,5 +1,7 @@
 """Traps between SQL dialects, and the odd cases each operator must keep or repair."""
 
+import threading
+
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -254,3 +256,20 @@ def test_the_registered_arms_have_the_settings_of_the_reference(spark, monkeypat
     monkeypatch.setattr(scoring.GbtArm, "fit", lambda arm, rows, target: seen.append(dict(arm.settings)))
     record_queries.boosted(spark, "/root/testdata/sf0.001")
     assert seen == [scoring.GBT_SETTINGS] * 2 and scoring.GBT_SETTINGS["maxIter"] == 250
+
+
+def test_arms_are_trained_at_the_same_time(spark):
+    both = threading.Barrier(2, timeout=60)  # broken if one arm waits for the other to end
+
+    class Meeting(scoring.GbtArm):
+        def fit(self, rows, target):
+            both.wait()
+            return super().fit(rows, target)
+
+    data = spark.range(400).selectExpr("id % 7 as a", "cast(id % 3 as string) as feed_month", "double(id % 7 + id % 2) as y")
+    few = {"maxIter": 2, "maxDepth": 2, "seed": 42}
+    arms = {"predicted_total": Meeting(["a"], ["0", "1"], few), "control_predicted_total": Meeting(["a"], ["0", "1", "2"], few)}
+    models = scoring.fit_arms(data, arms, "y")
+    assert [models[n].stages[-1].getNumTrees for n in arms] == [2, 2]
+    out = scoring.score_models(data, models, "y")
+    assert out.count() == 400 and out.where("predicted_total is null or control_predicted_total is null").isEmpty()
