@@ -153,3 +153,57 @@ def test_names_that_share_a_hash_are_numbered_one_by_one(spark, monkeypatch):
     monkeypatch.setattr(lineage.F, "xxhash64", lambda c: F.length(F.col(c)).cast("long"))
     e = edges(spark, ("b", "a"), ("c", "b"), ("c", "a"), ("d", "c"))
     assert walk(lineage.lineage_upstream(e, starts(spark, "a"))) == [(0, "a", "b"), (0, "a", "c"), (1, "b", "c"), (1, "c", "d"), (2, "d", "")]
+
+
+def layered(cyclic):
+    pairs = [(f"top{k % 3}", f"mid{k % 7}") for k in range(21)] + [(f"mid{k * 5 % 7}", f"low{k // 2}") for k in range(80)]
+    pairs += [("top0", "roof"), ("low0", "low1"), ("top2", "low2"), ("low4", "low4")]
+    return pairs + ([("low3", "top1"), ("roof", "top0")] if cyclic else []), [f"low{k}" for k in range(40)] + ["alone", "top0"]
+
+
+def test_paths_of_many_starts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "SHARED_FROM", 2)
+    monkeypatch.setattr(lineage, "LIST", 2)
+    called = []
+    real = lineage.handed_down
+    monkeypatch.setattr(lineage, "handed_down", lambda *a: called.append(1) or real(*a))
+    for cyclic in (False, True):
+        pairs, names = layered(cyclic)
+        e, s, ends = edges(spark, *pairs, *pairs[:5]), starts(spark, *names, names[0], None), ["top1", "mid3", "top0", "low1"]
+        paths = {(a, b): brute_paths(pairs, a, b) for a in names for b in ends if a != b}
+        some = [(a, b) for a, b in paths if (len(a) + len(b)) % 2]
+        asked = spark.createDataFrame(some, "start string, target string") if cyclic else None
+        wanted = paths if asked is None else {p: paths[p] for p in some}
+        got = lineage.lineage_paths_between(e, s, starts(spark, *ends), pairs=asked).collect()
+        assert sorted(r["path"] for r in got) == sorted(x for p in wanted.values() for x in p)
+        assert all((r["start"], r["target"], r["nodes"]) == (r["path"][0], r["path"][-1], len(r["path"])) for r in got)
+        short = lineage.lineage_paths_between(e, s, starts(spark, *ends), 2).collect() if cyclic else []
+        assert not cyclic or sorted(r["path"] for r in short) == sorted(x for p in paths.values() for x in p if len(x) <= 3)
+        counts = {(r["start"], r["target"]): r for r in lineage.lineage_path_counts(e, s, starts(spark, *ends)).collect()}
+        assert {p for p in counts if p[0] != p[1]} == {p for p, x in paths.items() if x}
+        assert {p: tuple(r)[2:] for p, r in counts.items() if p[0] == p[1]} == {(n, n): (0, 1, 1) for n in ("low1", "top0")}
+        for p, x in paths.items():
+            if x:
+                least = min(map(len, x))
+                assert counts[p]["hops"] == least - 1 and counts[p]["shortest_paths"] == sum(len(y) == least for y in x)
+                assert counts[p]["paths"] == len(x) or counts[p]["paths"] is None
+                assert cyclic or p[0] == "low4" or counts[p]["paths"] is not None
+    assert called
+
+
+def test_tables_and_counts_of_many_starts_equal_the_walk(spark, monkeypatch):
+    pairs, names = layered(True)
+    urn = lambda n: f"urn:li:dataset:(urn:li:dataPlatform:{'dbt' if n[-1] in '02468' else 'duckdb'},a.b.{n.rstrip('0123456789')}.x,PROD)-{n}"
+    e, s = edges(spark, *[(urn(a), urn(b)) for a, b in pairs]), starts(spark, *map(urn, names))
+    walk_ = lineage.lineage_upstream(e, s)
+    want = [sorted(map(str, rows(df))) for df in (lineage.hop_dedupe(walk_.select("start", "hop", "dataset").distinct()), lineage.lineage_hops(walk_))]
+    for shared in (2, 10**9):
+        monkeypatch.setattr(lineage, "SHARED_FROM", shared)
+        got = lineage.lineage_tables(e, s), lineage.lineage_hops(lineage.lineage_upstream(e, s, counted=True))
+        assert [sorted(map(str, rows(df))) for df in got] == want
+
+
+def test_names_that_no_walk_meets_are_not_kept(spark):
+    graph = lineage.numbered(edges(spark, ("b", "a"), ("c", "b"), ("c", "x")), starts(spark, "a", "alone"))
+    assert sorted(r["name"] for r in graph.nodes.collect()) == ["b", "c"] and sorted(r["name"] for r in graph.first.collect()) == ["a", "alone"]
+    assert graph.own.count() == 1 and graph.inner.count() == 1 and graph.lonely.count() == 1
