@@ -273,3 +273,23 @@ def test_arms_are_trained_at_the_same_time(spark):
     assert [models[n].stages[-1].getNumTrees for n in arms] == [2, 2]
     out = scoring.score_models(data, models, "y")
     assert out.count() == 400 and out.where("predicted_total is null or control_predicted_total is null").isEmpty()
+
+
+def test_features_are_listed_of_found_columns_only_and_dealt_once(spark):
+    cat = spark.createDataFrame([("d", "c", "old"), ("d", "x", "kept")], "dataset string, column string, description string")
+    found = spark.createDataFrame([("d", "c", "changed.")], "dataset string, column string, change string")
+    feats = spark.range(4000).selectExpr("'d' as dataset", "if(id % 2 = 0, 'c', 'x') as column", "concat('f', id % 8) as feature")
+    out = ledger.annotate_column(cat, found, feats, tasks=3)
+    assert sorted(rows(out)) == [("d", "c", "old\n\n[decay] changed. Feeds 4: f0, f2, f4, f6."), ("d", "x", "kept")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "3), REPARTITION_BY_NUM" in plan
+
+
+def test_notes_of_parts_deal_numbers_into_tasks_by_their_lines(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    before = sorted(rows(record_queries.part_notes(spark, d)))
+    monkeypatch.setattr(record_queries, "LINES_A_TASK", 1000)
+    many = record_queries.part_notes(spark, d)
+    tasks = -(-fx.table(spark, d, "lineitem").count() // 1000)
+    assert tasks > 1 and f"{tasks}), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(rows(many)) == before
