@@ -293,3 +293,17 @@ def test_notes_of_parts_deal_numbers_into_tasks_by_their_lines(spark, monkeypatc
     tasks = -(-fx.table(spark, d, "lineitem").count() // 1000)
     assert tasks > 1 and f"{tasks}), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
     assert sorted(rows(many)) == before
+
+
+def test_the_report_derives_the_feed_once(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    want = sorted(rows(fx.feed(spark, d)), key=str)
+
+    def again(*_):
+        raise AssertionError("the feed is derived once more")
+
+    monkeypatch.setattr(fx, "feed", again)
+    source, _ = fx.source_layer(spark, d)
+    assert "l_orderkey" not in source._jdf.queryExecution().executedPlan().toString()
+    assert sorted(rows(source), key=str) == want
+    assert record_queries.results(spark, d).where("section = 'impact'").count() == 1
