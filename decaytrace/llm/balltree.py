@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +18,9 @@ class TopK:
     scale         components become floor(scale * x)
     shard_rows    vectors in a shard, and so in one tree
     leaf_rows     vectors in a leaf
-    query_rows    queries that meet a shard together
+    query_rows    queries in a block
+    tile_bytes    components of the shards, and of the blocks, that meet in one task, at 8 bytes each
+    tiles         tasks that are made, shards permitting, before a task gets several shards
     """
 
     k: int = 5
@@ -27,8 +28,12 @@ class TopK:
     shard_rows: int = 4_096
     leaf_rows: int = 256
     query_rows: int = 512
+    tile_bytes: int = 64 << 20
+    tiles: int = 64
 
 
+EXACT_32 = 2.0**24  # sums of integers that stay below this are exact in 32-bit floats
+CHUNK = 4_096  # queries that search a tree together
 SAFE = 2.0**26  # below this, 64-bit sums of products are exact and far from overflow for any usual width
 
 
@@ -62,6 +67,19 @@ class BallTree:
                     self.order[b:e] = self.order[b:e][side]
                 self.begin[2 * i + 1], self.end[2 * i + 1] = b, half
                 self.begin[2 * i + 2], self.end[2 * i + 2] = half, e
+        self.points, self.longest = points[self.order], np.sqrt((points**2).sum(axis=1).max(initial=0))
+
+    def bounds(self, queries: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """What no row of a leaf exceeds: the least bound of the leaf and the nodes above it, a column per leaf."""
+        value = queries @ self.centre.T + length[:, None] * self.radius
+        value += 1e-9 * (np.abs(value) + length[:, None] * (np.abs(self.centre).max(axis=1, initial=0) + self.radius) + 1)
+        for i in range(1, value.shape[1]):
+            np.minimum(value[:, i], value[:, (i - 1) // 2], out=value[:, i])
+        return value[:, 2**self.depth - 1 :]
+
+    def leaf(self, i: int) -> slice:
+        at = 2**self.depth - 1 + i
+        return slice(self.begin[at], self.end[at])
 
 
 def exact_scores(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -86,64 +104,49 @@ class Best:
         """The kth score, minus infinity while there are fewer."""
         return np.where(self.valid[:, -1], self.score[:, -1].astype(np.float64), -np.inf)
 
-    def add(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray, ok: np.ndarray) -> None:
-        s = np.concatenate([self.score[rows], score], axis=1)
-        i = np.concatenate([self.ids[rows], np.broadcast_to(ids, score.shape)], axis=1)
-        v = np.concatenate([self.valid[rows], ok], axis=1)
-        order = np.lexsort((i, -s.astype(np.float64), ~v), axis=1) if np.abs(s[v]).max(initial=0) < 2**52 else np.array(
-            [sorted(range(s.shape[1]), key=lambda c, r=r: (not v[r, c], -int(s[r, c]), int(i[r, c]))) for r in range(len(s))]
-        )
-        order = order[:, : self.k]
-        self.score[rows], self.ids[rows], self.valid[rows] = (np.take_along_axis(a, order, axis=1) for a in (s, i, v))
+    def add(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Candidates of queries (``rows``), any number of each."""
+        touched, at = np.unique(rows, return_inverse=True)
+        r = np.concatenate([np.repeat(np.arange(len(touched)), self.k), at])
+        s = np.concatenate([self.score[touched].ravel(), score])
+        i = np.concatenate([self.ids[touched].ravel(), ids])
+        v = np.concatenate([self.valid[touched].ravel(), np.ones(len(rows), bool)])
+        order = np.lexsort((i, ~s, ~v, r))  # ~s falls as s rises, also where -s would overflow
+        order = order[np.searchsorted(r[order], np.arange(len(touched)))[:, None] + np.arange(self.k)]
+        self.score[touched], self.ids[touched], self.valid[touched] = s[order], i[order], v[order]
 
 
-def search(tree: BallTree, points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, k: int) -> Best:
-    """Branch and bound for a block of queries that know their kth score elsewhere (``floor``).
+def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, best: Best) -> None:
+    """Branch and bound for queries that know their best so far, which it improves.
 
-    Each query first goes down to its most promising leaf, then level by level drops the nodes
-    whose bound lies below its kth score, and takes the leaves that are left in falling order
-    of their bound, while the kth score goes on rising.
+    Each query takes its most promising leaf first, and then, leaf by leaf, those whose bound does
+    not lie below its kth score, which goes on rising meanwhile.
     """
-    best, n = Best(len(queries), k), len(queries)
     length = np.sqrt((queries**2).sum(axis=1))
-    slack = 1e-9
-
-    def bound(q: np.ndarray, node: np.ndarray) -> np.ndarray:
-        value = np.einsum("ij,ij->i", queries[q], tree.centre[node]) + length[q] * tree.radius[node]
-        return value + slack * (np.abs(value) + length[q] * (np.abs(tree.centre[node]).max(axis=1) + tree.radius[node]) + 1)
-
-    def take(q: np.ndarray, leaf: np.ndarray) -> None:
-        order = np.argsort(leaf, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
-            if len(part):
-                rows = tree.order[tree.begin[leaf[part[0]]] : tree.end[leaf[part[0]]]]
-                if len(rows):
-                    best.add(q[part], exact_scores(queries[q[part]], points[rows]), ids[rows], ids[rows][None, :] != query_ids[q[part]][:, None])
-
-    every = np.arange(n)
-    node = np.zeros(n, np.int64)
-    for _ in range(tree.depth):
-        left, right = bound(every, 2 * node + 1), bound(every, 2 * node + 2)
-        node = np.where(left >= right, 2 * node + 1, 2 * node + 2)
-    take(every, node)
-    first = node
-    known = lambda: np.maximum(floor, best.floor())
-    q, node = every, np.zeros(n, np.int64)
-    for _ in range(tree.depth):
-        q, node = np.concatenate([q, q]), np.concatenate([2 * node + 1, 2 * node + 2])
-        open_ = bound(q, node) >= known()[q]
-        q, node = q[open_], node[open_]
-    new = node != first[q]
-    q, node = q[new], node[new]
-    limit = bound(q, node)
-    order = np.lexsort((-limit, q))
-    q, node, limit = q[order], node[order], limit[order]
-    wave = np.arange(len(q)) - np.searchsorted(q, q)
-    for w in range(int(wave.max(initial=-1)) + 1):
-        at = wave == w
-        at[at] = limit[at] >= known()[q[at]]
-        take(q[at], node[at])
-    return best
+    bound, ids = tree.bounds(queries, length), ids[tree.order]
+    short = tree.longest * length.max(initial=0) < EXACT_32
+    asked, points = (queries.astype(np.float32), tree.points.astype(np.float32)) if short else (queries, tree.points)
+
+    def take(who: np.ndarray, rows: slice, floor: np.ndarray) -> None:
+        score = asked[who] @ points[rows].T if short else exact_scores(asked[who], points[rows])
+        hit = (score.max(axis=1, initial=-(2**63)) >= floor[who]).nonzero()[0]
+        if len(hit):
+            who, score = who[hit], score[hit]
+            ok = ids[rows][None, :] != query_ids[who][:, None]
+            if score.shape[1] > best.k:
+                least = -np.inf if short else np.iinfo(np.int64).min
+                ok &= score >= np.partition(np.where(ok, score, least), -best.k, axis=1)[:, [-best.k]]
+            ok &= score >= floor[who][:, None]
+            i, c = ok.nonzero()
+            best.add(who[i], score[i, c].astype(np.int64), ids[rows][c])
+
+    home = bound.argmax(axis=1)
+    for first in (True, False):
+        for leaf in range(bound.shape[1]):
+            floor = best.floor()
+            who = (((home == leaf) == first) & (bound[:, leaf] >= floor)).nonzero()[0]
+            if len(who):
+                take(who, tree.leaf(leaf), floor)
 
 
 def usable(vec: Column) -> Column:
@@ -153,12 +156,48 @@ def usable(vec: Column) -> Column:
 
 
 def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a shard or block as one, components in the shortest type that holds all of them."""
+    points = np.stack(pdf["x"].to_numpy()).astype(np.float64)
+    most = np.abs(points).max(initial=0)
+    kind = "<i2" if most < 2**15 else "<i4" if most < 2**31 else "<f8"
     return pd.DataFrame({
-        "shard": [pdf["shard"].iloc[0]], "width": [pdf["width"].iloc[0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()],
-        "points": [np.stack(pdf["x"].to_numpy()).astype(np.float64).tobytes()],
+        "width": [pdf["width"].iloc[0]], "place": [pdf["place"].iloc[0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()],
+        "kind": [kind], "points": [points.astype(kind).tobytes()],
     })
 
 
+def _unpacked(row) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(row.ids, np.int64), np.frombuffer(row.points, row.kind).reshape(-1, row.width).astype(np.float64)
+
+
+def met(shards: pd.DataFrame, blocks: pd.DataFrame, job: TopK) -> pd.DataFrame:
+    """The best of a tile: all its queries over all its shards, one tree built and searched after the other."""
+    asked = [_unpacked(b) for b in blocks.itertuples(index=False)] if len(shards) else []
+    if not asked:
+        return pd.DataFrame({c: np.empty(0, np.int64) for c in ("query_id", "vec_id", "score")})
+    query_ids, queries = (np.concatenate(x) for x in zip(*asked, strict=True))
+    parts = [slice(b, b + CHUNK) for b in range(0, len(queries), CHUNK)]
+    bests = [Best(len(query_ids[p]), job.k) for p in parts]
+    for shard in shards.itertuples(index=False):
+        ids, points = _unpacked(shard)
+        tree = BallTree(points, job.leaf_rows)
+        for part, best in zip(parts, bests, strict=True):
+            search(tree, ids, queries[part], query_ids[part], best)
+    found = [(p.start + q, best.ids[q, c], best.score[q, c]) for p, best in zip(parts, bests, strict=True) for q, c in [best.valid.nonzero()]]
+    q, ids, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pd.DataFrame({"query_id": query_ids[q], "vec_id": ids, "score": score})
+
+
+def tiled(sizes: DataFrame, job: TopK) -> DataFrame:
+    """How many groups the shards and the blocks of a width are dealt into; a group of shards and a
+    group of blocks meet in one task. A vector is sent once for every group of the other side."""
+    fit = lambda rows: F.greatest(F.lit(1), F.floor(job.tile_bytes / (8 * rows * F.col("width"))))
+    block_groups = F.ceil(F.col("blocks") / fit(job.query_rows))
+    return sizes.withColumn("block_groups", block_groups).withColumn(
+        "shard_groups", F.least("shards", F.greatest(F.ceil(F.col("shards") / fit(job.shard_rows)), F.ceil(job.tiles / F.col("block_groups"))))
+    )
+
+
 def top_k(vectors: DataFrame, is_query: Column, job: TopK = TopK(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest integer inner products.
 
@@ -170,65 +209,39 @@ def top_k(vectors: DataFrame, is_query: Column, job: TopK = TopK(), id_col: str
     give no rows.
 
     Vectors go to shards of bounded size by a hash, one ball tree each, and queries to blocks.
-    A block first searches one shard; the kth scores found there then bound its search in all
-    others. What meets are blocks and shards, in tasks of their own, and never a whole side.
+    What meets are groups of shards and groups of blocks (``tiled``), in tasks of their own, and
+    never a whole side. There queries first search one shard, and the kth scores found so far
+    bound their search in the next; a tree is built once in a task.
     """
     scaled = F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * job.scale).cast("double"))
     base = vectors.where(usable(F.col(vec_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), scaled.alias("x"), F.size(vec_col).alias("width"), F.coalesce(is_query, F.lit(False)).alias("asks")
     )
     base = materialize(base, "vectors")
-    sizes = materialize(
-        base.groupBy("width").agg(F.ceil(F.count("*") / job.shard_rows).alias("shards"), F.greatest(F.lit(1), F.ceil(F.sum(F.col("asks").cast("long")) / job.query_rows)).alias("blocks")),
-        "shards",
-    )
-    dealt = base.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "width")
-    shape = "shard string, width int, ids binary, points binary"
-    shards = materialize(
-        dealt.select(F.concat_ws("/", "width", F.pmod(F.xxhash64("id", "x"), "shards")).alias("shard"), "width", "id", "x").groupBy("shard").applyInPandas(_packed, shape), "shards"
+    counted = base.groupBy("width").agg(F.ceil(F.count("*") / job.shard_rows).alias("shards"), F.ceil(F.count_if("asks") / job.query_rows).alias("blocks"))
+    sizes = materialize(tiled(counted.where("blocks > 0"), job), "sizes")
+    few, tasks = sizes.agg(F.count("*") <= 10_000, F.least(F.lit(10_000), F.sum(F.col("shard_groups") * F.col("block_groups")))).first()
+    sized = F.broadcast(sizes) if few else sizes
+    dealt = base.join(sized, "width")
+    shape = "width int, place long, ids binary, kind string, points binary"
+
+    def packed(rows: DataFrame, place: Column, name: str) -> DataFrame:
+        rows = rows.select("width", place.alias("place"), "id", "x")
+        return materialize(rows.groupBy("width", "place").applyInPandas(_packed, shape), name).join(sized, "width")
+
+    def sent(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """Every row once for each group of the other side, at its tile."""
+        groups = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_groups") - 1)).alias(other)
+        at = rows.select("width", F.pmod("place", F.col(f"{own}_groups")).alias(own), groups, "ids", "kind", "points")
+        return at.repartition(tasks or 1, "width", "shard", "block")
+
+    shards = packed(dealt, F.pmod(F.xxhash64("id", "x"), "shards"), "shards")
+    blocks = packed(dealt.where("asks").dropDuplicates(["id", "width"]), F.pmod(F.xxhash64("id"), "blocks"), "blocks")
+    tile = ["width", "shard", "block"]
+    found = sent(shards, "shard", "block").groupBy(*tile).cogroup(sent(blocks, "block", "shard").groupBy(*tile)).applyInPandas(
+        lambda some, asking: met(some, asking, job), "query_id long, vec_id long, score long"
     )
-    asked = dealt.where("asks").dropDuplicates(["id", "width"])
-    blocks = materialize(
-        asked.select(F.concat_ws("/", "width", F.pmod(F.xxhash64("id"), "blocks")).alias("shard"), "width", "id", "x").groupBy("shard").applyInPandas(_packed, shape)
-        .select(F.col("shard").alias("block"), "width", F.col("ids").alias("query_ids"), F.col("points").alias("queries")).join(sizes.select("width", "shards"), "width"),
-        "blocks",
-    )
-
-    def met(pairs: DataFrame) -> DataFrame:
-        out = "block string, query_id long, vec_id long, score long"
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                for r in pdf.itertuples(index=False):
-                    points = np.frombuffer(r.points, np.float64).reshape(-1, r.width)
-                    queries = np.frombuffer(r.queries, np.float64).reshape(-1, r.width)
-                    ids, query_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.query_ids, np.int64)
-                    floor = np.frombuffer(r.floor, np.float64) if r.floor else np.full(len(queries), -np.inf)
-                    best = search(BallTree(points, job.leaf_rows), points, ids, queries, query_ids, floor, job.k)
-                    keep = best.valid & (best.score.astype(np.float64) >= np.nextafter(floor, -np.inf)[:, None])
-                    q, c = np.nonzero(keep)
-                    yield pd.DataFrame({"block": r.block, "query_id": query_ids[q], "vec_id": best.ids[q, c], "score": best.score[q, c]})
-
-        return pairs.select("block", "width", "ids", "points", "query_ids", "queries", "floor").repartition(F.xxhash64("block", "shard")).mapInPandas(run, out)
-
-    home = F.pmod(F.xxhash64("block"), F.col("shards"))
-    first = blocks.withColumn("shard", F.concat_ws("/", "width", home)).join(shards.drop("width"), "shard").withColumn("floor", F.lit(None).cast("binary"))
-    at_home = materialize(met(first), "first")
-
-    def floors(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The kth score of every query of a block, in the block's order."""
-        ids = np.frombuffer(pdf["query_ids"].iloc[0], np.int64)
-        got = pdf.dropna(subset=["query_id"])
-        kth = got.groupby("query_id")["score"].agg(lambda s: s.nlargest(job.k).min() if len(s) >= job.k else np.nan).astype(float)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "floor": [np.nan_to_num(kth.reindex(ids).to_numpy(), nan=-np.inf).tobytes()]})
-
-    bounds = blocks.select("block", "query_ids").join(at_home.select("block", "query_id", "score"), "block", "left").groupBy("block").applyInPandas(floors, "block string, floor binary")
-    rest = blocks.withColumn("home", F.concat_ws("/", "width", home)).withColumn(
-        "shard", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1), lambda s: F.concat_ws("/", "width", s)))
-    ).where("shard <> home")
-    elsewhere = met(rest.join(bounds, "block").join(shards.drop("width"), "shard"))
-    found = at_home.unionByName(elsewhere).select("query_id", "vec_id", "score")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "vec_id", "score"))), 1, job.k).alias("top"))
+    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.bitwise_not("score").alias("low"), "vec_id", "score"))), 1, job.k).alias("top"))
     return best.select("query_id", F.posexplode("top").alias("pos", "t")).select(
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), F.col("t.score").alias("score")
     )

@@ -118,6 +118,32 @@ def test_top_k_equals_brute_force(spark, shard_rows):
     assert balltree.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_vectors_are_sent_to_groups_and_not_to_every_pair(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-40, 40, (4_000, 2))
+    df = spark.createDataFrame([(i, [float(v) / 256 for v in r]) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    sent, deal = [], type(df).repartition
+
+    def counted(self, *how):
+        sent.append(self.count())
+        return deal(self, *how)
+
+    monkeypatch.setattr(type(df), "repartition", counted)
+    got = balltree.top_k(df, F.col("vec_id") % 4 == 0, balltree.TopK(shard_rows=20, leaf_rows=8, query_rows=10)).collect()
+    assert sum(sent) < 7_000  # 200 shards and 100 blocks are 20,000 pairs
+    score = x[::4] @ x.T
+    score[np.arange(1_000), np.arange(0, 4_000, 4)] = -(10**6)
+    order = np.argsort(-score, axis=1, kind="stable")[:, :5]
+    want = [(4 * q, r + 1, int(v), int(score[q, v])) for q in range(1_000) for r, v in enumerate(order[q])]
+    assert sorted(map(tuple, got)) == want
+
+
+def test_scores_that_are_clipped_have_ranks(spark):
+    df = spark.createDataFrame([(0, [2.0**36, 1.0]), (1, [-(2.0**36), 0.0]), (2, [2.0**36, 0.0])], "vec_id long, embedding array<double>")
+    got = balltree.top_k(df, F.col("vec_id") == 0).collect()
+    assert [tuple(r) for r in sorted(got)] == [(0, 1, 2, 2**63 - 1), (0, 2, 1, -(2**63))]
+
+
 def test_huge_components_are_exact():
     q, p = np.array([[2.0**40, -1.0]]), np.array([[2.0**20, 3.0], [2.0**30, 0.0]])
     assert balltree.exact_scores(q, p).tolist() == [[2**60 - 3, 2**63 - 1]]
