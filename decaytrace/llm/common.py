@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import findable as findable
+
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -41,15 +41,6 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
 
-def findable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did, for sessions that were
-    started elsewhere and without it on their path; where it is installed this changes nothing."""
-    root = str(Path(__file__).resolve().parents[2])
-    given = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in given.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (given, root) if x)
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer, element by element."""
     x = x.astype(np.uint64, copy=True)

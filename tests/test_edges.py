@@ -2,11 +2,15 @@
 
 import threading
 
+import numpy as np
+import pytest
 from conftest import rows
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from decaytrace.functions import encoding as enc, numbers, text, times
-from decaytrace.operators import attribution, claims, diagnose, drift, ledger, monitors, profile, scoring
+from decaytrace.operators import attribution, boosting, claims, diagnose, drift, ledger, monitors, profile, scoring
 from decaytrace.plans import fixture as fx, record_queries
 from decaytrace.sources import registry
 
@@ -258,6 +262,68 @@ def test_the_registered_arms_have_the_settings_of_the_reference(spark, monkeypat
     assert seen == [scoring.GBT_SETTINGS] * 2 and scoring.GBT_SETTINGS["maxIter"] == 250
 
 
+def training_rows(spark, n):
+    noise = lambda i, m: F.abs(F.hash("id", F.lit(i))) % m
+    data = spark.range(0, n, 1, 3).select(
+        (noise(0, 1000) / 7).alias("a"), (noise(2, 300) - 100).alias("b"), noise(3, 2).alias("c"),
+        noise(4, 24).alias("d"), F.lit(1).alias("e"), noise(5, 2).alias("f"), noise(6, 5).cast("double").alias("g"),
+    )
+    return data.withColumn("y", F.col("a") * F.col("d") / 50 + F.col("b") / 9 + F.col("c") * F.col("g") * 3)
+
+
+@pytest.mark.parametrize(("n", "settings"), [
+    (2, {"maxIter": 3, "maxDepth": 4, "seed": 42}), (4_000, {"maxIter": 12, "stepSize": 0.3, "maxDepth": 8, "seed": 42}), (24_000, {"maxIter": 4, "maxDepth": 5, "seed": 7}),
+])
+def test_trees_are_those_of_mllib(spark, monkeypatch, n, settings):
+    monkeypatch.setattr(boosting, "KEPT_TREES", 5)
+    data, names = training_rows(spark, n), ["a", "b", "c", "d", "e", "f", "g"]
+    arm = scoring.GbtArm(names, ["1"], settings, "e")
+    ours = arm.fit(data, "y").stages[-1]
+    rows = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(data)
+    theirs = GBTRegressor(labelCol="y", **settings).fit(rows)
+    both = theirs.transform(rows).withColumnRenamed("prediction", "p")
+    off = F.max(F.abs(F.col("p") - F.col("prediction")))
+    assert ours.transform(both).agg(F.count("*"), off < 1e-9).first()[:] == (n, True)
+    assert ours.getNumTrees == theirs.getNumTrees and ours.treeWeights == theirs.treeWeights
+    assert list(ours.featureImportances) == pytest.approx(list(theirs.featureImportances), abs=0.02)
+
+
+def test_blocks_come_back_chunk_by_chunk(monkeypatch):
+    monkeypatch.setattr(boosting, "ROWS_A_CHUNK", 4)
+    codes, left = np.arange(22, dtype=np.uint8).reshape(2, 11), np.arange(11.0)
+    block = boosting.Block([np.ascontiguousarray(codes[:, b : b + 4]) for b in (0, 4, 8)], left)
+    back = boosting.unpacked(block.packed())
+    assert [c.tolist() for c in back.codes] == [c.tolist() for c in block.codes] and back.left.tolist() == left.tolist()
+
+
+def test_values_that_are_null_or_missing_stop_the_training(spark):
+    arm = scoring.GbtArm(["a"], ["1"], {"maxIter": 2, "maxDepth": 2, "seed": 42}, "p")
+    with pytest.raises(Exception, match="Null or NaN"):
+        arm.fit(spark.createDataFrame([(1.0, "1", 2.0), (2.0, "1", None)], "a double, p string, y double"), "y")
+    with pytest.raises(Exception, match="Null, NaN or Infinity"):
+        arm.fit(spark.createDataFrame([(1.0, "1", 2.0), (None, "1", 3.0)], "a double, p string, y double"), "y")
+    with pytest.raises(ValueError, match="no rows"):
+        arm.fit(spark.createDataFrame([(1.0, "2", 2.0)], "a double, p string, y double"), "y")
+
+
+def test_training_holds_a_row_in_a_few_bytes(spark):
+    n, most, done = 40_000, [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.02):
+            most.append(sum(x.memSize() + x.diskSize() for x in spark.sparkContext._jsc.sc().getRDDStorageInfo()))
+
+    rows = training_rows(spark, n).repartition(2)
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        scoring.GbtArm(["a", "b", "c", "d", "e", "f", "g"], ["1"], {"maxIter": 5, "maxDepth": 4, "seed": 42}, "e").fit(rows, "y")
+    finally:
+        done.set()
+        watcher.join()
+    assert 0 < max(most) < 50 * n  # objects of a row took more than 100
+
+
 def test_arms_are_trained_at_the_same_time(spark):
     both = threading.Barrier(2, timeout=60)  # broken if one arm waits for the other to end
 
